@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewright.llm import decontaminate, fingerprint, langid, license_scan, ngram_lm, packing, pii, simhash
+from lanewright.llm import decontaminate, fingerprint, html_extract, langid, license_scan, ngram_lm, packing, pii, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_lm.language_model_scores(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op3_decontamination, op4_lm_score, op6_simhash, op7_fingerprint, op8_language_id, op9_pii, op10_best_fit_packing)
+    f.__name__: f for f in (op1_license_scan, op3_decontamination, op4_lm_score, op5_html_extraction, op6_simhash, op7_fingerprint, op8_language_id, op9_pii, op10_best_fit_packing)
 }
 ORACLE: dict[str, str] = {}
