@@ -18,6 +18,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -194,6 +195,16 @@ NAMES = (
 )
 
 
+_GROUP = {tag: k for k, group in enumerate(GROUPS) for tag in group}
+
+
+@lru_cache(4096)
+def _told(attrs: str) -> tuple[bool, ...]:
+    """For each list of TOKENS whether an attribute names one of its words; last, whether the element is hidden."""
+    words = {w.lower() for _, value in _ATTRIBUTE.findall(attrs) for w in _WORD.findall(value)}
+    return (*(not words.isdisjoint(group) for group in TOKENS), _HIDDEN.search(attrs) is not None)
+
+
 def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a row per node, parents by row, depths), all pages one after the other."""
     base = np.concatenate(([0], np.cumsum([len(p.tag) for p in pages]))).astype(np.int64)
@@ -210,14 +221,10 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k, (p, b) in enumerate(zip(pages, base, strict=False)):
         for j in range(1, len(p.tag)):
             depth[b + j] = depth[b + p.parent[j]] + 1
-            for g, group in enumerate(GROUPS):
-                if p.tag[j] in group:
-                    tag[b + j, g] = 1
+            if (g := _GROUP.get(p.tag[j], -1)) >= 0:
+                tag[b + j, g] = 1
             if p.attrs[j]:
-                words = {w.lower() for _, value in _ATTRIBUTE.findall(p.attrs[j]) for w in _WORD.findall(value)}
-                for g, group in enumerate(TOKENS):
-                    own[b + j, g] = not words.isdisjoint(group)
-                own[b + j, -1] = _HIDDEN.search(p.attrs[j]) is not None
+                own[b + j] = _told(p.attrs[j])
         for node, text, linked in zip(p.node, p.text, p.linked, strict=True):
             sums[b + node] += (len(text), linked, text.count(",") + text.count(".") + text.count("。") + text.count("、"), 1, len(text) > 80)
             start[b + node] = min(start[b + node], total[k])
