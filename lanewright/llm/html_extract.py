@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES = 900
 TREES, DEPTH, RATE, BINS = 50, 3, 0.25, 24
+#: Stands before every main block of a synthetic page.
+MARK = "\ue000"
 
 # HTML's elements by the way they are handled.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -318,7 +320,7 @@ def _words(rng: random.Random, low: int, high: int) -> str:
 
 
 def synthetic_page(rng: random.Random) -> tuple[str, list[str]]:
-    """A page of random layout, its main text marked by the character U+E000 at the start of each block; its main blocks."""
+    """A page of random layout, its main text marked by MARK at the start of each block; its main blocks."""
     main: list[str] = []
 
     def mine(tag: str, low: int, high: int) -> str:
@@ -329,7 +331,7 @@ def synthetic_page(rng: random.Random) -> tuple[str, list[str]]:
             k = rng.randrange(len(cut))
             cut[k] = f'<a href="/x">{cut[k]}</a>' if rng.random() < 0.5 else f"<b>{cut[k]}</b>"
             text = " ".join(cut)
-        return f"<{tag}>{text}" + (f"</{tag}>" if rng.random() < 0.9 else "")
+        return f"<{tag}>{MARK}{text}" + (f"</{tag}>" if rng.random() < 0.9 else "")
 
     def attr(*names: str, bare: float = 0.12) -> str:
         if rng.random() < bare:
@@ -390,8 +392,8 @@ def labels(page: Page) -> np.ndarray:
     """1 for nodes that hold a marked block; the marks are taken off."""
     out = np.zeros(len(page.tag))
     for k, text in enumerate(page.text):
-        if "" in text:
-            page.text[k] = text.replace("", "")
+        if MARK in text:
+            page.text[k] = text.replace(MARK, "")
             node = page.node[k]
             while node >= 0:
                 out[node] = 1
