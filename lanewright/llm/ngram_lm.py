@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,8 @@ END = U64(0x454E44000000002B)
 #: Bytes of text for each range of the model.
 RANGE_BYTES = 8_000_000
 LEAST_RANGES = 64
+#: Bytes of text that are scored at once (a text is never cut).
+SCORE_BYTES = 4_000_000
 #: Tokens that a map task collapses at once.
 FLUSH = 3_000_000
 _A, _B, _S = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
@@ -106,6 +109,12 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame
         yield now, pd.concat(held)
 
 
+@lru_cache(8192)
+def _mapped(path: str) -> np.ndarray | None:
+    """The array mapped into memory; every run has a folder of its own, so a path never changes its content."""
+    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+
+
 @dataclass(frozen=True)
 class Model:
     """Where the arrays are and what the driver knows: ranges, tokens, distinct tokens, bigram types, discounts."""
@@ -120,8 +129,7 @@ class Model:
     counts_of_types: tuple[int, int, int]
 
     def _open(self, name: str, part: int) -> np.ndarray | None:
-        path = f"{self.path}/{name}-{part}.npy"
-        return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+        return _mapped(f"{self.path}/{name}-{part}.npy")
 
     def _lookup(self, keys: np.ndarray, name: str, columns: int, shift: int) -> np.ndarray:
         """Values (columns x keys, 0 if absent) for sorted keys."""
@@ -257,11 +265,19 @@ def train(docs: DataFrame) -> Model:
     return Model(path, ranges, s[10], s[11], s[4], discounts(s[:4]), discounts(s[5:9]), (s[5], s[6], s[9]))
 
 
+def slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows in slices of about SCORE_BYTES."""
+    for b in batches:
+        part = np.cumsum(b["text"].str.len().to_numpy(np.int64)) // SCORE_BYTES
+        for k in np.unique(part):
+            yield b[part == k]
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for rows of doc_id, held_out, text."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             before, cur, n = sequences(b["text"].tolist())
             count, logp = model.score(before, cur)
             base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
