@@ -56,4 +56,36 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_suffix_dedup, op3_decontamination, op4_lm_score, op5_html_extraction, op6_simhash, op7_fingerprint, op8_language_id, op9_pii, op10_best_fit_packing)
 }
-ORACLE: dict[str, str] = {}
+
+
+def _canonical(text: str) -> str:
+    """The canonical form of license_scan in SQL."""
+    x = f"translate(coalesce({text}, ''), '{license_scan.UPPER}', '{license_scan.LOWER}')"
+    x = f"' ' || regexp_replace(regexp_replace({x}, '{license_scan.COPYRIGHT_LINE}', '\\1', 'g'), '{license_scan.NOT_WORD}', ' ', 'g') || ' '"
+    for other, kept in license_scan.SPELLINGS:
+        x = f"replace({x}, ' {other} ', ' {kept} ')"
+    return f"trim({x})"
+
+
+def _known() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(n)}, {quoted(t)})" for n, t in license_scan.KNOWN)
+
+
+_OP1 = f"""WITH known AS (SELECT digest, min(license) AS license FROM (SELECT license, sha256({_canonical("text")}) AS digest FROM (VALUES {_known()}) k(license, text)) GROUP BY digest),
+lines AS (SELECT k.doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) k JOIN known USING (digest) GROUP BY k.doc_id)
+SELECT d.doc_id, d.digest, k.license, coalesce(l.notices, '') AS notices FROM (SELECT doc_id, CASE WHEN {_canonical("text")} <> '' THEN sha256({_canonical("text")}) END AS digest FROM documents) d
+LEFT JOIN known k USING (digest) LEFT JOIN lines l ON l.doc_id = d.doc_id"""
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+_OP3 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM (SELECT *, least(13, len(w)) AS n FROM i WHERE len(w) > 0))),
+dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw))),
+hits AS (SELECT dw.doc_id, dw.k, dw.n, iw.item_id FROM dw JOIN iw USING (g, n)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM (SELECT DISTINCT doc_id, k, n FROM hits)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+#: The other operators train models, iterate to a fixed point or use hashes that SQL lacks; tests hold them against brute force.
+ORACLE: dict[str, str] = {"op1_license_scan": _OP1, "op3_decontamination": _OP3}

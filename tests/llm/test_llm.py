@@ -373,3 +373,13 @@ def test_pipeline(spark: SparkSession, tmp_path_factory: pytest.TempPathFactory)
     assert {r["doc_id"] for r in frames[-1].collect()} == set(said[4])
     whole = corpus_pipeline.run(spark, at)
     assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, frames[-1].collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["op1_license_scan", "op3_decontamination"])
+def test_query_equals_sql(spark: SparkSession, name: str) -> None:
+    from compare import DATA, connection, difference
+
+    from lanewright.llm import queries
+
+    sf_dir = f"{DATA}/sf0.001"
+    assert difference(queries.QUERIES[name](spark, sf_dir), connection(sf_dir), queries.ORACLE[name]) == ""
