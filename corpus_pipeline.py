@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lanewright.llm import decontaminate as benchmark
 from lanewright.llm import langid, packing, pii, simhash
-from lanewright.llm.common import id_remainder, shared_dir, written
+from lanewright.llm.common import broadcast_if_small, id_remainder, shared_dir, written
+
+#: Ids of 8 bytes that are broadcast at most to drop rows.
+LIST_ROWS = 500_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,16 +19,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Adds __key: the id or, without one, a negative number from the text, so that no decision is lost on a null id."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(2**63)))))
+
+
+def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose __key is not listed: a filter in place while the list is short, else a join by shuffle."""
+    return docs.join(broadcast_if_small(keys.select("__key").distinct(), LIST_ROWS), "__key", "left_anti")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every near-duplicate class."""
-    classes = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The document with the least id of every near-duplicate class; of repeated rows one."""
+    rows = keyed(docs)
+    classes = written(simhash.near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text")))
+    kept = without(rows, classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__key")))
+    if not classes.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["__key"])
+    return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
-    judged = benchmark.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(judged.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+    rows = keyed(docs)
+    judged = benchmark.decontaminate(rows.select(F.col("__key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = written(judged.where("contaminated").select(F.col("doc_id").alias("__key")))
+    return without(rows, bad).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -355,6 +355,7 @@ def test_pipeline(spark: SparkSession, tmp_path_factory: pytest.TempPathFactory)
     at = str(tmp_path_factory.mktemp("sf"))
     base = [(d, t) for d, t in texts() if d is not None][:-2]
     base = [(d, t, "en", f"src{d % 3}", len(t or "")) for d, t in dict(base).items()]
+    base += [(None, "Nobody numbered this text of mine", None, None, None), (None, PASSAGE, None, None, None)]
     spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "decontamination", "personal_data", "best_fit_packing"]
@@ -362,7 +363,8 @@ def test_pipeline(spark: SparkSession, tmp_path_factory: pytest.TempPathFactory)
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, frames[-1], at).write.parquet(f"{at}/{k}")
         frames.append(spark.read.parquet(f"{at}/{k}"))
-    said = [{r["doc_id"]: r["text"] for r in f.collect()} for f in frames[:-1]]
+    said = [{r["doc_id"]: r["text"] for r in f.where("doc_id is not null").collect()} for f in frames[:-1]]
+    assert [f.where("doc_id is null").count() for f in frames] == [2, 2, 2, 1, 1, 1]
     assert all(f.columns == frames[0].columns for f in frames[:-1])
     assert set(said[1]) == {d for d, t in said[0].items() if t and any(c.isalpha() for c in t)}
     ids = sorted(said[1])
@@ -370,7 +372,7 @@ def test_pipeline(spark: SparkSession, tmp_path_factory: pytest.TempPathFactory)
     assert set(said[2]) == set(own)
     assert set(said[3]) == {d for d, t in said[2].items() if PASSAGE not in t}
     assert set(said[4]) == set(said[3]) and all(not base_spans(t) or "<" not in t for t in said[4].values())
-    assert {r["doc_id"] for r in frames[-1].collect()} == set(said[4])
+    assert {r["doc_id"] for r in frames[-1].collect()} == {*said[4], None}
     whole = corpus_pipeline.run(spark, at)
     assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, frames[-1].collect()), key=repr)
 
