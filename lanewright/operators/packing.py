@@ -60,10 +60,10 @@ def batch_id(index: str = "batch_index") -> Column:
     return F.format_string("batch_%06d", index)
 
 
-def pieces(spark: SparkSession, sf_dir: str, context: int = P.context) -> DataFrame:
+def pieces(spark: SparkSession, sf_dir: str, tokens: DataFrame, context: int = P.context) -> DataFrame:
     """A row per document and sequence with the SHA-256 of the document's words in it; texts never leave their scan's row."""
     docs = laned_documents(spark, sf_dir).select(*SHARD, "doc_id", words(F.col("text")).alias("w"))
-    offs = offsets(docs.select(*SHARD, "doc_id", F.size("w").cast("long").alias("n"))).select("shard_id", "doc_id", "off")
+    offs = offsets(tokens).select("shard_id", "doc_id", "off")
     rows = docs.where(F.size("w") > 0).join(offs, ["shard_id", "doc_id"])
     lo, hi = F.floor(F.col("off") / context), F.floor((F.col("off") + F.size("w") - 1) / context)
 
@@ -75,9 +75,9 @@ def pieces(spark: SparkSession, sf_dir: str, context: int = P.context) -> DataFr
     return rows.select(*SHARD, "doc_id", F.explode(F.transform(F.sequence(lo, hi), piece)).alias("x")).select(*SHARD, "doc_id", "x.seq", "x.hash")
 
 
-def sequence_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sequence_hashes(spark: SparkSession, sf_dir: str, tokens: DataFrame) -> DataFrame:
     """SHARD, seq, hash: over the pieces in order (a sequence holds at most `context` of them)."""
-    return pieces(spark, sf_dir).groupBy(*SHARD, "seq").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "hash"))), lambda x: x["hash"]), "\n"), 256).alias("hash"))
+    return pieces(spark, sf_dir, tokens).groupBy(*SHARD, "seq").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "hash"))), lambda x: x["hash"]), "\n"), 256).alias("hash"))
 
 
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

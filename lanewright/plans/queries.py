@@ -12,6 +12,7 @@ from lanewright.operators import audit, gates, ledger, mixture, packing
 from lanewright.operators.ordered import prefix_sum
 from lanewright.plans.oracle import sql
 from lanewright.plans.params import FLOORS, STAGES, P
+from lanewright.sources.shared import materialised
 from lanewright.sources.tables import laned_documents, lanes, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,18 +38,25 @@ class Corpus:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        self._tokens: DataFrame | None = None
+        self._over: DataFrame | None = None
 
     def docs(self) -> DataFrame:
         return table(self.spark, self.dir, "documents")
 
     def tokens(self) -> DataFrame:
-        return packing.token_counts(self.spark, self.dir)
+        """Token counts, written once: the texts are read a single time however often a query needs them."""
+        if self._tokens is None:
+            self._tokens = materialised(packing.token_counts(self.spark, self.dir))
+        return self._tokens
 
     def totals(self) -> DataFrame:
         return packing.shard_totals(self.tokens())
 
     def over(self) -> DataFrame:
-        return packing.overlaps(packing.offsets(self.tokens()))
+        if self._over is None:
+            self._over = packing.overlaps(packing.offsets(self.tokens()))
+        return self._over
 
     def seqs(self) -> DataFrame:
         return packing.sequences(self.over())
@@ -268,7 +276,7 @@ def j9_replay_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _printed(c: Corpus) -> DataFrame:
-    hashes = packing.sequence_hashes(c.spark, c.dir)
+    hashes = packing.sequence_hashes(c.spark, c.dir, c.tokens())
     full = ledger.batches(c.training_seqs(), hashes).select("batch_index", "batch_id", "seq_count", "input_hash")
     return full.join(c.consumption().select("batch_index", "sample_ids"), "batch_index")
 
@@ -471,7 +479,7 @@ def a12_batch_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT batch_index, input_hash FROM inputs")
 def a13_input_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return ledger.batches(c.training_seqs(), packing.sequence_hashes(spark, sf_dir)).select("batch_index", "input_hash")
+    return ledger.batches(c.training_seqs(), packing.sequence_hashes(spark, sf_dir, c.tokens())).select("batch_index", "input_hash")
 
 
 @query("SELECT count_if(event = 'FIREWALL_BLOCK') AS blocked, count_if(event = 'SHARD_ALLOWED') AS allowed, count_if(event = 'EVAL_SHARD_USED_FOR_EVAL') AS used_for_eval, array_to_string(list_sort(list(DISTINCT dataset) FILTER (event = 'FIREWALL_BLOCK')), ',') AS blocked_datasets FROM events_")

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewright.plans.queries import Corpus, query
+from lanewright.sources.shared import shared_folder
 from lanewright.sources.tables import table
 from lanewright.streaming import ledger
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base}/stream-{tempfile.mktemp(dir='')[1:]}" if base else tempfile.mkdtemp(prefix="lanewright-")
-
-
 @query("SELECT batch_index, batch_id, seq_count, token_count, real_token_count, step FROM batches")
 def t2_streamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T3, T6 and T7 too: the stream stops with an error after its second epoch's write and is started again."""
-    at = _folder(spark)
+    at = shared_folder(spark)
     Corpus(spark, sf_dir).batches().select("batch_index", "batch_id", "seq_count", "token_count", "real_token_count").repartition(4, "batch_index").write.parquet(f"{at}/batches")
 
     def crash(epoch: int) -> None:
@@ -40,7 +33,7 @@ def t2_streamed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def t11_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extra outside the data path: tumbling event-time windows with a watermark, run as a stream over the events table."""
-    at = _folder(spark)
+    at = shared_folder(spark)
     events = table(spark, sf_dir, "events").select("ts", "event_type", "value")
     events.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{at}/events")
     stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{at}/events")
