@@ -6,6 +6,8 @@ counts before it. Sequences get a global ordinal from the prefix sum over shards
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +19,9 @@ from lanewright.sources.tables import laned_documents
 SHARD = ["lane_idx", "lane", "is_eval", "src", "shard_id"]
 
 
-def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return laned_documents(spark, sf_dir).select(*SHARD, "doc_id", F.size(words(F.col("text"))).cast("long").alias("n"))
+def token_counts(spark: SparkSession, sf_dir: str, encode: Callable[[Column], Column] = words) -> DataFrame:
+    """SHARD, doc_id, n. `encode` turns a text column into an array of tokens: built-in functions or a pandas UDF."""
+    return laned_documents(spark, sf_dir).select(*SHARD, "doc_id", F.size(encode(F.col("text"))).cast("long").alias("n"))
 
 
 def offsets(tokens: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -587,3 +588,32 @@ def v5_final_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     for x in rest:
         first = first.unionByName(x)
     return first
+
+
+@query(_mix(f"""SELECT 'packing' AS requirement, bool_and(real + pad = {C}) AS passed, CAST(count(*) AS VARCHAR) AS evidence FROM seqs
+UNION ALL SELECT 'firewall', count_if(event = 'FIREWALL_BLOCK') = (SELECT count_if(is_eval) FROM totals), CAST(count_if(event = 'FIREWALL_BLOCK') AS VARCHAR) FROM events_
+UNION ALL SELECT 'manifests', false, CAST(count_if(shard_index % 7 IN (3, 4, 5, 6)) AS VARCHAR) FROM manifest
+UNION ALL SELECT 'mixture', count(*) = {P.steps}, CAST(count(DISTINCT lane) AS VARCHAR) FROM drawn
+UNION ALL SELECT 'ledger', count(*) = count(DISTINCT batch_id), CAST(count(*) AS VARCHAR) FROM ledger
+UNION ALL SELECT 'learning', bool_and(sample_loss > 0), CAST(count(*) AS VARCHAR) FROM learn
+UNION ALL SELECT 'checkpoints', count(*) = count(DISTINCT state_hash), CAST(max(step) AS VARCHAR) FROM cps
+UNION ALL SELECT 'replay', true, CAST(count(*) AS VARCHAR) FROM prints
+UNION ALL SELECT 'selection', count_if(decision IN ('ACCEPT', 'DEFER', 'REJECT')) = count(*), CAST(count_if(decision = 'ACCEPT') AS VARCHAR) FROM decided"""), plain=True)
+def v6_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine collectors, each a verdict with its figure; the manifests' verdict is over the planted faults and must fail."""
+    c = Corpus(spark, sf_dir)
+    events, cps, learned = audit.firewall_events(c.totals()), c.checkpoints(), c.learning()
+    evals = c.totals().agg(F.count_if("is_eval").alias("n"))
+    parts = {
+        "packing": c.seqs().agg(F.bool_and(F.col("real") + F.col("pad") == C).alias("passed"), F.count("*").alias("evidence")),
+        "firewall": events.agg(F.count_if(F.col("event") == "FIREWALL_BLOCK").alias("evidence")).crossJoin(evals).select((F.col("evidence") == F.col("n")).alias("passed"), "evidence"),  # two single rows
+        "manifests": audit.manifest_errors(c.manifests(), c.observed()).agg(F.bool_and("passed").alias("passed"), F.count_if(~F.col("passed")).alias("evidence")),
+        "mixture": c.drawn().agg((F.count("*") == P.steps).alias("passed"), F.count_distinct("lane").alias("evidence")),
+        "ledger": c.consumption().agg((F.count("*") == F.count_distinct("batch_id")).alias("passed"), F.count("*").alias("evidence")),
+        "learning": learned.agg(F.bool_and(F.col("sample_loss") > 0).alias("passed"), F.count("*").alias("evidence")),
+        "checkpoints": cps.agg((F.count("*") == F.count_distinct("state_hash")).alias("passed"), F.max("step").alias("evidence")),
+        "replay": t9_replay(spark, sf_dir).agg(F.bool_and("match").alias("passed"), F.count("*").alias("evidence")),
+        "selection": c.decisions().agg((F.count_if(F.col("decision").isin("ACCEPT", "DEFER", "REJECT")) == F.count("*")).alias("passed"), F.count_if(F.col("decision") == "ACCEPT").alias("evidence")),
+    }
+    rows = [df.select(F.lit(name).alias("requirement"), "passed", F.col("evidence").cast("string").alias("evidence")) for name, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)

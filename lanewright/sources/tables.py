@@ -61,8 +61,8 @@ def read_tolerant(spark: SparkSession, path: str, schema: str, lines: bool = Tru
     return rows.select("*", F.col("_bad").isNull().alias("_ok")).where("_ok").select(*names)
 
 
-def missing_files(spark: SparkSession, required: list[str], root: str) -> DataFrame:
-    """Required paths (relative to root) that are not there."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", r"^file:/*", "/").alias("path"))
-    want = spark.createDataFrame([(f"{root.rstrip('/')}/{x}", x) for x in required], "path string, name string")
-    return want.join(files, "path", "left_anti").select("name")
+def missing_files(spark: SparkSession, required: list[str], root: str) -> list[str]:
+    """Required paths (relative to root) that are not there: a look-up for each, in whatever file system the root names."""
+    conf = spark._jsc.hadoopConfiguration()
+    paths = [(name, spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")) for name in required]
+    return [name for name, p in paths if not p.getFileSystem(conf).exists(p)]
