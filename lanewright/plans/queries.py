@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lanewright.functions.columns import sorted_join, token_id, words
-from lanewright.operators import audit, gates, ledger, mixture, packing
+from lanewright.operators import audit, ledger, mixture, packing
 from lanewright.operators.ordered import prefix_sum
 from lanewright.plans.oracle import sql
 from lanewright.plans.params import FLOORS, STAGES, P
