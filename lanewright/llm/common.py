@@ -18,6 +18,18 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+#: Stands for a null id inside Python functions, where a column of longs with a null would turn into floats.
+NO_ID = -(2**63)
+
+
+def marked(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return df.withColumn(id_col, F.coalesce(id_col, F.lit(NO_ID)))
+
+
+def unmarked(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return df.withColumn(id_col, F.nullif(F.col(id_col), F.lit(NO_ID)))
+
+
 def id_remainder(mod: int, id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, mod `mod`; a null id counts as the empty string."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(mod))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import U64, mix, texts
+from lanewright.llm.common import U64, marked, mix, texts, unmarked
 
 LEVELS = (2, 3)
 MINIMA = 64
@@ -136,7 +136,7 @@ def edited(text: str, other: str) -> str:
 def _with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     """Rows dealt by ranges of doc_id, each range also holding the first row of the range below (`helper`)."""
     spark = docs.sparkSession
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63))))
+    docs = marked(docs.withColumn("key", F.col("doc_id")), "key")
     parts = max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) or []})
     bounds = np.array(cuts, np.int64)
@@ -145,13 +145,13 @@ def _with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     def part_of(key: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64), "right").astype(np.int32))
 
-    tops = sorted((r[0], r[1]) for r in docs.select("key").withColumn("part", part_of("key")).groupBy("part").agg(F.max("key")).collect())  # one row a range
+    tops = sorted((r[1], r[0]) for r in docs.select("key").withColumn("part", part_of("key")).groupBy("part").agg(F.max("key")).collect())  # one row a range
     # The highest key of each range helps the range above; the highest of all follows the lowest.
-    helps = [(key, tops[(k + 1) % len(tops)][0]) for k, (_, key) in enumerate(tops)]
+    helps = [(key, tops[(k + 1) % len(tops)][1]) for k, (key, _) in enumerate(tops)]
     helper = F.broadcast(spark.createDataFrame(helps, "key long, helps int"))  # a row a range
     rows = docs.withColumn("part", part_of("key")).join(helper, "key", "left")
-    rows = rows.select("doc_id", "key", "text", F.explode(F.array_compact(F.array(F.struct("part", F.lit(False).alias("helper")), F.when(F.col("helps").isNotNull(), F.struct(F.col("helps").alias("part"), F.lit(True).alias("helper")))))).alias("x"))
-    return rows.select("doc_id", "key", "text", "x.part", "x.helper"), parts
+    rows = rows.select("key", "text", F.explode(F.array_compact(F.array(F.struct("part", F.lit(False).alias("helper")), F.when(F.col("helps").isNotNull(), F.struct(F.col("helps").alias("part"), F.lit(True).alias("helper")))))).alias("x"))
+    return rows.select("key", "text", "x.part", "x.helper"), parts
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -177,7 +177,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
         hexed = lambda x: [r.astype(">u2").tobytes().hex() for r in x]
         return pd.DataFrame(
             {
-                "doc_id": b["doc_id"].iloc[own],
+                "doc_id": b["key"].iloc[own],
                 "n_chars": [len(text[k]) for k in own],
                 "edited_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in changed],
                 "fingerprint": hexed(first[own]),
@@ -188,4 +188,4 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
         )
 
     dealt = rows.repartition(parts, "part").sortWithinPartitions("part", "helper", F.desc("key"), "text")
-    return dealt.mapInPandas(each, SCHEMA)
+    return unmarked(dealt.mapInPandas(each, SCHEMA))

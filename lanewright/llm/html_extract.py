@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewright.llm.common import marked, unmarked
+
 TRAIN_PAGES = 900
 TREES, DEPTH, RATE, BINS = 50, 3, 0.25, 24
 #: Stands before every main block of a synthetic page.
@@ -444,4 +446,4 @@ def extract_pages(pages: DataFrame, model: Trees | None = None) -> DataFrame:
                 yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInPandas(each, "page_id long, url string, text string, n_chars long")
+    return unmarked(marked(rows, "page_id").mapInPandas(each, "page_id long, url string, text string, n_chars long"), "page_id")

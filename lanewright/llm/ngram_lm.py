@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import U64, id_remainder, local_path, mix, shared_dir, texts, token_hashes
+from lanewright.llm.common import U64, id_remainder, local_path, marked, mix, shared_dir, texts, token_hashes, unmarked
 
 START = U64(0x5354415254000001)
 END = U64(0x454E44000000002B)
@@ -285,7 +285,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             add = lambda x: np.add.reduceat(x, first) if len(n) else x[:0]
             yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "n_tokens": n.astype(np.int64), "n_known": add((count > 0).astype(np.int64)), "train_tokens": model.tokens, "base_score": add(base), "score": add(logp)})
 
-    return docs.mapInPandas(each, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return unmarked(marked(docs).mapInPandas(each, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
 
 
 def language_model_scores(docs: DataFrame) -> DataFrame:

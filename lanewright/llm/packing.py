@@ -14,11 +14,12 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import texts
+from lanewright.llm.common import marked, texts, unmarked
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Fixed cost of a bin in tokens, and the mean number of documents that one shard packs.
@@ -66,8 +67,6 @@ def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard: i
     full = F.floor(F.col("n") / most)
     rest = F.col("n") - full * most
     rows = rows.withColumns({"shard": F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"), "full": full, "rest": rest})
-    whole = rows.where("full > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"))
-    whole = whole.select("doc_id", "piece", (F.col("piece") * most).alias("start"), F.lit(most).cast("long").alias("n_tokens"), F.format_string("full-%d-%d", "doc_id", "piece").alias("bin_id"), F.lit(most).cast("int").alias("capacity"))
     none = rows.where("n = 0").select("doc_id", F.lit(-1).cast("long").alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("capacity"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -82,10 +81,16 @@ def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard: i
             yield done(rest)
 
     def done(part: pd.DataFrame) -> pd.DataFrame:
-        bins, sizes = pack(part["rest"].tolist(), capacities, overhead)
-        name = f"{int(part['shard'].iloc[0])}-"
-        return pd.DataFrame({"doc_id": part["doc_id"], "piece": part["full"], "start": part["full"] * most, "n_tokens": part["rest"], "bin_id": [f"{name}{k}" for k in bins], "capacity": [sizes[k] for k in bins]})
-
-    dealt = rows.where("rest > 0").select("shard", "doc_id", "full", "rest").repartition("shard").sortWithinPartitions("shard", F.desc("rest"), F.asc_nulls_first("doc_id"))
-    packed = dealt.mapInPandas(each, "doc_id long, piece long, start long, n_tokens long, bin_id string, capacity int")
-    return packed.unionByName(whole).unionByName(none)
+        shard = int(part["shard"].iloc[0])
+        left = part[part["rest"] > 0]
+        bins, sizes = pack(left["rest"].tolist(), capacities, overhead)
+        ends = pd.DataFrame({"doc_id": left["doc_id"], "piece": left["full"], "start": left["full"] * most, "n_tokens": left["rest"], "bin_id": [f"{shard}-{k}" for k in bins], "capacity": [sizes[k] for k in bins]})
+        long = part[part["full"] > 0]
+        count = long["full"].to_numpy(np.int64)
+        piece = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        full = pd.DataFrame({"doc_id": np.repeat(long["doc_id"].to_numpy(np.int64), count), "piece": piece, "start": piece * most, "n_tokens": most, "bin_id": [f"{shard}-full-{k}" for k in range(len(piece))], "capacity": most})
+        return pd.concat([ends, full])
+
+    dealt = marked(rows.where("n > 0").select("shard", "doc_id", "full", "rest")).repartition("shard").sortWithinPartitions("shard", F.desc("rest"), "doc_id")
+    packed = unmarked(dealt.mapInPandas(each, "doc_id long, piece long, start long, n_tokens long, bin_id string, capacity int"))
+    return packed.unionByName(none)

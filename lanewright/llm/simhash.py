@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import remove, shared_dir, texts, written
+from lanewright.llm.common import marked, remove, shared_dir, texts, unmarked, written
 
 SEED = 42
 MAX_BITS = 3
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t) for t in b["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
 
-    return texts(docs).mapInPandas(each, "doc_id long, fp long")
+    return unmarked(marked(texts(docs)).mapInPandas(each, "doc_id long, fp long"))
 
 
 def _syndrome(bits31: np.ndarray) -> np.ndarray:

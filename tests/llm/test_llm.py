@@ -33,7 +33,7 @@ def texts() -> list[tuple[int | None, str | None]]:
     out += [(140, "Sich " * 120), (141, "x" * 900), (142, prose(6000))]
     out += [(150, "mail me: a.b@mail.example.com, ip 10.0.0.256 or 192.168.1.20, card 4111 1111 1111 1111, call +49 (030) 1234-567 now"), (151, "phone: (499) 555-6503, version 1.2.3.4, +1 2, 4111111111111112"), (152, "é@x é a@b.c😀 1.2.3.4.5 +12345678")]
     out += [(160, "Released under the MIT Licence."), (161, "Some prose.\nLicensed under the Apache License, Version 2.0.\nMore."), (162, "Copyright (c) 2020 Someone\nreleased   under the mit license")]
-    out += [out[3], out[25], (None, "Without an id at all, some words here and there"), (None, None)]
+    out += [out[3], out[25], (None, "Without an id at all, some words here and there"), (None, None), (2**60 + 1, "A large id"), out[46], out[46]]
     return out
 
 
@@ -331,6 +331,7 @@ def test_packing(docs: DataFrame, empty: DataFrame, rows: list) -> None:
             assert r["n_tokens"] == 0 and r["piece"] == -1
         else:
             bins[r["bin_id"]].append(r)
+    assert sum(1 for r in out if r["doc_id"] == 142) == -(-count(dict(rows)[142]) // 512)
     for b in bins.values():
         used = sum(r["n_tokens"] for r in b)
         assert len({r["capacity"] for r in b}) == 1 and b[0]["capacity"] == min(c for c in (64, 128, 512) if c >= used)
@@ -353,7 +354,7 @@ def test_pipeline(spark: SparkSession, tmp_path_factory: pytest.TempPathFactory)
     import corpus_pipeline
 
     at = str(tmp_path_factory.mktemp("sf"))
-    base = [(d, t) for d, t in texts() if d is not None][:-2]
+    base = [(d, t) for d, t in texts() if d is not None][:-5]
     base = [(d, t, "en", f"src{d % 3}", len(t or "")) for d, t in dict(base).items()]
     base += [(None, "Nobody numbered this text of mine", None, None, None), (None, PASSAGE, None, None, None)]
     spark.createDataFrame(base, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
