@@ -71,39 +71,43 @@ KNOWN = WHOLE + tuple((license, sentence.format(article + name)) for license, na
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"(^|\n)[^0-9a-z\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
-NOT_WORD = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
+NOT_WORD = r"[^0-9a-z\n\x{80}-\x{10FFFF}]+"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; an empty string if nothing is left."""
-    x = F.translate(text, UPPER, LOWER)
-    # The patterns run only over texts that can match them.
+def canonical_lines(rows: DataFrame, out: str = "forms") -> DataFrame:
+    """Adds the canonical forms of the lines of `text` that have any; joined by blanks they are the form of the whole text.
+
+    A column per step, so that each step is computed once. Words stand apart by two blanks until spellings are replaced.
+    """
+    rows = rows.withColumn(out, F.translate("text", UPPER, LOWER))
+    x = F.col(out)
+    # The pattern runs only over texts that can match it.
     some = F.contains(x, F.lit("copyright")) | F.contains(x, F.lit("(c)")) | F.contains(x, F.lit("©")) | F.contains(x, F.lit("all rights"))
-    x = F.when(some, F.regexp_replace(x, COPYRIGHT_LINE, "$1")).otherwise(x)
-    x = F.concat(F.lit(" "), F.regexp_replace(x, NOT_WORD, " "), F.lit(" "))
+    rows = rows.withColumn(out, F.when(some, F.regexp_replace(x, COPYRIGHT_LINE, "$1")).otherwise(x))
+    x = F.concat(F.lit(" "), F.replace(F.regexp_replace(out, NOT_WORD, "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for other, kept in SPELLINGS:
         x = F.replace(x, F.lit(f" {other} "), F.lit(f" {kept} "))
-    return F.trim(x)
+    return rows.withColumn(out, F.array_remove(F.transform(F.split(F.replace(x, F.lit("  "), F.lit(" ")), "\n"), lambda line: F.trim(line)), ""))
 
 
-def digest(text: Column) -> Column:
-    form = canonical(text)
+def digest(form: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
 def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    rows = spark.createDataFrame(list(known), "license string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license").where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+    rows = canonical_lines(spark.createDataFrame(list(known), "license string, text string"))
+    rows = rows.select(digest(F.array_join("forms", " ")).alias("digest"), "license")
+    return rows.where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, digest and license of the whole text, and notices: the licences of its lines."""
     spark = docs.sparkSession
-    # The built-in table is a fixed handful of rows; a caller's own is joined as Spark sees fit.
+    # The built-in table is a fixed list of rows; a caller's own is joined as Spark sees fit.
     known = F.broadcast(known_digests(spark)) if known is None else known
-    rows = texts(docs).withColumn("key", F.md5("text"))
-    lines = rows.select("key", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("line <> ''")
-    found = lines.select("key", digest(F.col("line")).alias("digest")).join(known, "digest").groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
-    whole = rows.select("doc_id", "key", digest(F.col("text")).alias("digest")).join(known, "digest", "left")
+    rows = canonical_lines(texts(docs).withColumn("key", F.md5("text")))
+    lines = rows.select("key", F.explode(F.array_distinct("forms")).alias("form")).select("key", F.sha2("form", 256).alias("digest"))
+    found = lines.join(known, "digest").groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
+    whole = rows.select("doc_id", "key", digest(F.array_join("forms", " ")).alias("digest")).join(known, "digest", "left")
     out = whole.join(found, "key", "left")
     return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
