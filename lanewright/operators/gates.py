@@ -15,6 +15,11 @@ def ngrams(w: Column, n: int) -> Column:
     return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
 
 
+def distinct_ngrams(column: str, n: int) -> Column:
+    """Hashes of the distinct n-grams of a column of words (a column: an expression would be evaluated for every n-gram)."""
+    return F.array_distinct(F.transform(ngrams(F.col(column), n), lambda x: F.xxhash64(x)))
+
+
 def repetition(docs: DataFrame, n: int = 5) -> DataFrame:
     """doc_id, n_words, repeated: 1 - distinct / all n-grams (0 if there is none)."""
     rows = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.transform(ngrams(F.col("w"), n), lambda x: F.xxhash64(x)).alias("g"))
@@ -65,8 +70,8 @@ def snapshot_duplicates(docs: DataFrame, by: list[str]) -> DataFrame:
 
 def overlap_with_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 5, text_col: str = "text", key: str = "doc_id") -> DataFrame:
     """key, item_id, share of the item's distinct n-grams that the document holds. An inverted index: equi-join on n-grams."""
-    mine = docs.select(key, F.explode(F.array_distinct(F.transform(ngrams(words(F.col(text_col)), n), lambda x: F.xxhash64(x)))).alias("g"))
-    items = benchmark.select("item_id", F.array_distinct(F.transform(ngrams(words(F.col("text")), n), lambda x: F.xxhash64(x))).alias("gs"))
+    mine = docs.select(key, words(F.col(text_col)).alias("w")).select(key, F.explode(distinct_ngrams("w", n)).alias("g"))
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).select("item_id", distinct_ngrams("w", n).alias("gs"))
     index = items.select("item_id", F.size("gs").alias("size"), F.explode("gs").alias("g"))
     hits = mine.join(index, "g").groupBy(key, "item_id", "size").count()
     return hits.select(key, "item_id", F.round(F.col("count") / F.col("size"), 6).alias("share"))
@@ -78,11 +83,10 @@ def similar_lines(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n:
     Only distinct lines are compared; candidates share a shingle, counted by an equi-join; sets that differ too much in size
     to reach the threshold are dropped in the join.
     """
-    shingles = lambda c: F.array_distinct(F.transform(ngrams(words(c), n), lambda x: F.xxhash64(x)))
     lines = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).withColumn("lh", F.md5("line"))
-    text = lines.groupBy("lh").agg(F.first("line").alias("line")).select("lh", shingles(F.col("line")).alias("gs"))
+    text = lines.groupBy("lh").agg(F.first("line").alias("line")).select("lh", words(F.col("line")).alias("w")).select("lh", distinct_ngrams("w", n).alias("gs"))
     a = text.select("lh", F.size("gs").alias("na"), F.explode("gs").alias("g"))
-    items = benchmark.select("item_id", shingles(F.col("text")).alias("gs"))
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).select("item_id", distinct_ngrams("w", n).alias("gs"))
     b = items.select("item_id", F.size("gs").alias("nb"), F.explode("gs").alias("g"))
     near = a.join(b, "g").where((F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)).groupBy("lh", "item_id", "na", "nb").count()
     near = near.where(F.col("count") >= least * (F.col("na") + F.col("nb") - F.col("count"))).select("lh", "item_id")
