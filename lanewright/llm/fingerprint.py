@@ -140,10 +140,15 @@ def _with_next(docs: DataFrame) -> tuple[DataFrame, int]:
     parts = max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts) or []})
     bounds = np.array(cuts, np.int64)
+    # A range's number is one whose hash leaves a remainder of its own, so no two ranges meet in one task.
+    spread = spark.range(20 * parts + 100).select(F.col("id").cast("int").alias("id")).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("r")).agg(F.min("id"))
+    numbers = [r[1] for r in spread.collect()]  # a row a range
+    numbers += [k for k in range(-1, -parts - 1, -1)][: parts - len(numbers)]
+    number = np.array(numbers, np.int32)
 
     @F.pandas_udf("int")
     def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(np.int64), "right").astype(np.int32))
+        return pd.Series(number[np.searchsorted(bounds, key.to_numpy(np.int64), "right")])
 
     tops = sorted((r[1], r[0]) for r in docs.select("key").withColumn("part", part_of("key")).groupBy("part").agg(F.max("key")).collect())  # one row a range
     # The highest key of each range helps the range above; the highest of all follows the lowest.
