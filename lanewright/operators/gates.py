@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewright.functions.columns import words
+from lanewright.sources.shared import materialised
 
 
-def ngrams(w: Column, n: int) -> Column:
+def ngrams(w: Column, n: int | Column) -> Column:
     """All runs of n words, joined by a blank; none if the text has fewer words."""
     last = F.size(w) - n
     grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
@@ -93,6 +96,51 @@ def similar_lines(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n:
     return lines.select("doc_id", "lh").join(near, "lh").select("doc_id", "item_id").distinct()
 
 
+def window_reaches(text: np.ndarray, item: np.ndarray, least: float) -> bool:
+    """Whether the distinct shingles of some run of the text's have Jaccard >= `least` with the item's distinct ones.
+
+    The best run starts and ends at shingles of the item and holds at most len(item) / least distinct ones.
+    """
+    hit, at = np.isin(text, item), np.arange(len(text))
+    order = np.argsort(text, kind="stable")
+    before = np.full(len(text), -1)  # where the same shingle stood last
+    before[order[1:]] = np.where(text[order[1:]] == text[order[:-1]], order[:-1], -1)
+    for start in at[hit]:
+        size = 4 * len(item)
+        while True:
+            new = before[start : start + size] < start
+            union, common = np.cumsum(new), np.cumsum(new & hit[start : start + size])
+            if (common / (len(item) + union - common) >= least).any():
+                return True
+            if start + size >= len(text) or union[-1] * least > len(item):
+                break
+            size *= 4
+    return False
+
+
+def similar_windows(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n: int = 5) -> DataFrame:
+    """doc_id, item_id of documents with a window (any run of n-word shingles) of Jaccard >= `least` with a whole item's.
+
+    Line breaks are white space on both sides. Items of fewer than n words count as one shingle of their own length.
+    Candidates hold `least` of an item's shingles, counted by an equi-join; only their texts are read again.
+    """
+    items = benchmark.select("item_id", F.md5("text").alias("ih"), words(F.col("text")).alias("w")).withColumn("k", F.least(F.size("w"), F.lit(n))).where("k > 0")
+    items = items.select("item_id", "ih", "k", F.array_distinct(F.transform(ngrams(F.col("w"), F.col("k")), lambda x: F.xxhash64(x))).alias("gs"))
+    texts = docs.select("doc_id", F.md5("text").alias("h"), words(F.col("text")).alias("w"))
+    sizes = F.broadcast(items.select("k").distinct())  # n rows at most
+    mine = texts.crossJoin(sizes).select("h", "k", F.explode(F.array_distinct(F.transform(ngrams(F.col("w"), F.col("k")), lambda x: F.xxhash64(x)))).alias("g"))
+    index = items.dropDuplicates(["ih"]).select("ih", "k", F.size("gs").alias("size"), F.explode("gs").alias("g"))
+    held = mine.join(index, ["k", "g"]).groupBy("h", "ih", "k", "size").agg(F.count_distinct("g").alias("held"))
+    pairs = materialised(held.where(F.col("held") / F.col("size") >= least).select("h", "ih", "k"))
+
+    @F.pandas_udf("boolean")
+    def reaches(text: pd.Series, item: pd.Series) -> pd.Series:
+        return pd.Series([window_reaches(t, i, least) for t, i in zip(text, item, strict=True)], dtype=bool)
+
+    found = texts.join(pairs, "h").select("doc_id", "ih", F.transform(ngrams(F.col("w"), F.col("k")), lambda x: F.xxhash64(x)).alias("g"))
+    return found.join(items.select("item_id", "ih", "gs"), "ih").where(reaches("g", "gs")).select("doc_id", "item_id").distinct()
+
+
 def similar_vectors(vectors: DataFrame, every: int = 100, least: float = 0.85, block: int = 512) -> DataFrame:
     """Queries (ids divisible by `every`) against all vectors: query_id, vec_id, similarity over the threshold.
 

@@ -99,6 +99,23 @@ def g2a_lexical_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.similar_lines(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_RUNS = ngrams("w", "k")
+
+
+@query(
+    f"""WITH i AS (SELECT item_id, k, list_distinct({_RUNS}) AS gs FROM (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {WORDS} AS w FROM benchmark)) WHERE k > 0),
+d AS (SELECT doc_id, k, {_RUNS} AS g FROM (SELECT doc_id, {WORDS} AS w FROM documents), (SELECT DISTINCT k FROM i)),
+pairs AS (SELECT doc_id, item_id, g, gs FROM d JOIN i USING (k) WHERE 5 * len(list_intersect(list_distinct(g), gs)) >= 4 * len(gs)),
+spots AS (SELECT doc_id, item_id, len(gs) AS n, p, list_contains(gs, s) AS hit, coalesce(lag(p) OVER (PARTITION BY doc_id, item_id, s ORDER BY p), 0) AS before FROM (SELECT doc_id, item_id, gs, unnest(range(1, len(g) + 1)) AS p, unnest(g) AS s FROM pairs)),
+runs AS (SELECT a.doc_id, a.item_id, a.n, count(*) FILTER (b.before < a.p) OVER w AS all_, count(*) FILTER (b.before < a.p AND b.hit) OVER w AS common FROM spots a JOIN spots b ON a.doc_id = b.doc_id AND a.item_id = b.item_id AND b.p >= a.p WHERE a.hit WINDOW w AS (PARTITION BY a.doc_id, a.item_id, a.p ORDER BY b.p))
+SELECT DISTINCT doc_id, item_id FROM runs WHERE 5 * common >= 4 * (n + all_ - common)""",
+    plain=True,
+)
+def g2a_window_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a window, over any lines or part of one, whose 5-word shingles have a Jaccard of 0.8 or more with a whole item's."""
+    return gates.similar_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _FIVE = ngrams("w", 5)
 
 

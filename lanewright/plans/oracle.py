@@ -24,7 +24,7 @@ SPACES = "' \\t\\n\\x0B\\f\\r'"
 WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
 
 
-def ngrams(w: str, n: int) -> str:
+def ngrams(w: str, n: int | str) -> str:
     return f"list_transform(range(1, greatest(len({w}) - {n} + 2, 1)), lambda i: array_to_string({w}[i:i + {n} - 1], ' '))"
 
 

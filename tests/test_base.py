@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import numpy as np
 import pytest
 from compare import DATA, connection, difference
 from pyspark.sql import DataFrame, SparkSession
@@ -197,6 +198,31 @@ def test_gates_on_edges(spark: SparkSession) -> None:
     assert kept(["source"]) == [1, 3] and kept([]) == [1]
 
 
+def test_windows_find_items_over_lines_and_inside_one(spark: SparkSession) -> None:
+    item = [f"q{k}" for k in range(40)]
+    lines = "\n".join(" ".join(item[k : k + 10]) for k in range(0, 40, 10))
+    benchmark = spark.createDataFrame([(1, lines), (2, " ".join(f"z{k}" for k in range(30))), (3, "two words"), (4, None), (5, "")], "item_id long, text string")
+    pad = " ".join(f"p{k}" for k in range(500))
+    changed = item[:20] + ["other"] + item[21:]
+    docs = [(1, f"{pad}\n{lines}\n{pad}"), (2, f"{pad} {' '.join(item)} {pad}"), (3, " ".join(item[:30] + pad.split() + item[30:])), (4, " ".join([*item[:39], "x"])), (5, f"{pad} {' '.join(changed)} {pad}"), (6, "a two\nwords b"), (7, None), (8, ""), (None, " ".join(item))]
+    out = gates.similar_windows(spark.createDataFrame(docs, "doc_id long, text string"), benchmark)
+    # Document 3 holds all but 4 of the item's shingles, too far apart; one changed word in the middle leaves 31 of 41.
+    assert {tuple(r) for r in out.collect()} == {(1, 1), (2, 1), (4, 1), (6, 3), (None, 1)}
+
+
+def test_windows_by_brute_force() -> None:
+    draw = np.random.default_rng(5)
+    seen = set()
+    for _ in range(300):
+        item = np.unique(draw.integers(0, 30, draw.integers(1, 12)))
+        text = np.concatenate([draw.integers(0, 40, draw.integers(0, 20)), *(draw.permutation(item)[: draw.integers(1, 12)] for _ in range(2)), draw.integers(0, 40, 10)])
+        runs = (set(text[a:b]) for a in range(len(text)) for b in range(a + 1, len(text) + 1))
+        want = any(5 * len(r & set(item)) >= 4 * len(r | set(item)) for r in runs)
+        assert gates.window_reaches(text, item, 0.8) == want
+        seen.add(want)
+    assert seen == {True, False}
+
+
 def test_rest_imports_without_the_training_data_operators() -> None:
     import subprocess
     import sys
