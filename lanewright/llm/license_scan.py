@@ -13,6 +13,11 @@ gives an empty result; very long texts are hashed whole; other columns are ignor
 
 from __future__ import annotations
 
+import functools
+import re
+import textwrap
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +50,8 @@ SPELLINGS = (
 )
 
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
-# Whole licence texts.
-WHOLE = (
+# Whole licence texts that come without a file.
+BODIES = (
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. ' + _WARRANTY),
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
 )
@@ -67,12 +72,64 @@ NAMES = (
     ("CC-BY-NC-4.0", ("CC BY-NC 4.0", "Creative Commons Attribution-NonCommercial 4.0 International License")),
 )
 SENTENCES = ("Released under {}", "Licensed under {}", "Distributed under {}", "This work is licensed under {}", "This project is licensed under {}", "This software is licensed under {}", "This file is licensed under {}", "SPDX-License-Identifier: {}")
-KNOWN = WHOLE + tuple((license, sentence.format(article + name)) for license, names in NAMES for name in names for sentence in SENTENCES for article in ("", "the ", "a ", "the terms of the "))
+# Notices that name a licence by a sentence of their own.
+OTHER_NOTICES = (("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."), ("Unlicense", "This is free and unencumbered software released into the public domain."))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT_LINE = r"(^|\n)[^0-9a-z\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[^0-9a-z\n\x{80}-\x{10FFFF}]+"
 
+# Files of whole texts, their own leading title lines, and titles that stand before texts without one.
+FILES = (
+    ("Apache-2.0", 3, ()),
+    ("BSD-2-Clause", 0, ("BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License")),
+    ("CC-BY-SA-4.0", 2, ("Creative Commons Attribution-ShareAlike 4.0 International Public License",)),
+    ("CC0-1.0", 2, ("CC0 1.0 Universal",)),
+    ("GPL-2.0", 2, ()),
+    ("GPL-3.0", 2, ()),
+    ("LGPL-3.0", 2, ()),
+    ("MPL-2.0", 2, ()),
+    ("Unlicense", 0, ("The Unlicense", "Unlicense")),
+)
+TITLES = {"MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"), "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"), "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License")}
+FSF = "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"
+FSF_OTHERS = ("59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "<https://fsf.org/>", "")
+CLAUSE_3 = "3. Neither the name of the {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def _whole() -> list[tuple[str, str]]:
+    """Whole texts with and without title, appendix and numbers, with http or https, in their usual addresses and line breaks."""
+    texts: list[tuple[str, str]] = [(license, f"{title}\n{x}") for license, body in BODIES for x in (body, re.sub(" (?=The above copyright|THE SOFTWARE IS)", "\n", body)) for title in ("", *TITLES[license])]
+    for name, own, titles in FILES:
+        full = (Path(__file__).parent / "licenses" / f"{name}.txt").read_text().strip("\n")
+        bare = "\n".join([x for x in full.split("\n") if x.strip()][own:])
+        bodies = [full, bare, *(f"{title}\n{bare}" for title in titles)]
+        bodies += [m[0] for x in (full, bare) if (m := re.match(r"(?s).*END OF TERMS AND CONDITIONS", x))]
+        bodies += [x.replace(a, b) for x in bodies for a, b in (("http:", "https:"), ("https:", "http:"))]
+        if name == "GPL-2.0":
+            bodies += [x.replace(FSF, other, 1) for x in bodies for other in FSF_OTHERS] + [x.replace(FSF, FSF_OTHERS[0]) for x in bodies]
+        if name == "CC0-1.0":
+            bodies += [x.replace("Creative Commons Legal Code", "", 1) for x in bodies]
+        texts += [(name, x) for x in bodies]
+        if name == "BSD-2-Clause":
+            before, after = bare.split("THIS SOFTWARE IS PROVIDED")
+            for holder in ("copyright holder", "copyright holders"):
+                texts += [("BSD-3-Clause", "\n".join((title, before, CLAUSE_3.format(holder), f"THIS SOFTWARE IS PROVIDED{after}"))) for title in ("", *TITLES["BSD-3-Clause"])]
+            regents = after.replace("THE COPYRIGHT HOLDERS AND", "THE REGENTS AND").replace("THE COPYRIGHT HOLDER OR", "THE REGENTS OR")
+            texts += [("BSD-3-Clause", "\n".join((title, before, CLAUSE_3.format("University"), f"THIS SOFTWARE IS PROVIDED{regents}"))) for title in ("", *TITLES["BSD-3-Clause"])]
+    texts += [(license, re.sub(r"(?m)^[123]\. ", "", x)) for license, x in texts if license.startswith("BSD")]
+    # A line that starts with "copyright" has no canonical form, so texts differ by where their lines break.
+    known, fill = {}, functools.cache(textwrap.fill)
+    for license, x in texts:
+        broken = [x, *("\n".join(fill(y, width) for y in x.split("\n")) for width in range(60, 101) if len(x) < 4000)]
+        for y in broken:
+            known.setdefault((license, " ".join(re.sub(COPYRIGHT_LINE, r"\1", y.lower()).split())), y)
+    return [(license, x) for (license, _), x in known.items()]
+
+
+WHOLE = tuple(_whole())
+KNOWN = WHOLE + OTHER_NOTICES + tuple((license, sentence.format(article + name)) for license, names in NAMES for name in names for sentence in SENTENCES for article in ("", "the ", "a ", "the terms of the "))
+
 
 def canonical_lines(rows: DataFrame, out: str = "forms") -> DataFrame:
     """Adds the canonical forms of the lines of `text` that have any; joined by blanks they are the form of the whole text.

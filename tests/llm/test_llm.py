@@ -7,7 +7,9 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -66,6 +68,22 @@ def test_license(spark: SparkSession, docs: DataFrame, empty: DataFrame, rows: l
     assert license_scan.scan(docs).count() == len(rows) and license_scan.scan(empty).count() == 0
 
 
+def test_whole_licenses(spark: SparkSession) -> None:
+    folder = Path(license_scan.__file__).parent / "licenses"
+    files = [(f.stem, f.read_text()) for f in sorted(folder.glob("*.txt"))]
+    assert {"Apache-2.0", "BSD-2-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0"} <= {name for name, _ in files}
+    bodies = dict(license_scan.BODIES)
+    isc = "ISC License\n\nCopyright (c) 2020, A\n\n" + "\n\n".join(textwrap.fill(x, 72) for x in bodies["ISC"].split(" THE SOFTWARE IS")[:1]) + "\n\nTHE SOFTWARE IS" + bodies["ISC"].split(" THE SOFTWARE IS", 1)[1]
+    assert "\ncopyright notice" in isc  # a line break before "copyright"
+    bsd2 = (folder / "BSD-2-Clause.txt").read_text()
+    bsd3 = "BSD 3-Clause License\n\n" + bsd2.replace("THIS SOFTWARE IS PROVIDED BY", "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n\nTHIS SOFTWARE IS PROVIDED BY")
+    apache = (folder / "Apache-2.0.txt").read_text()
+    files += [("MIT", "MIT License\n\nCopyright (c) 2020 A\n\n" + textwrap.fill(bodies["MIT"], 79)), ("MIT", textwrap.fill(bodies["MIT"], 60)), ("ISC", isc), ("BSD-3-Clause", bsd3), ("Apache-2.0", apache[: apache.index("   APPENDIX")]), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "2020 A"))]
+    files += [("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."), ("Unlicense", "This is free and unencumbered software released into the public domain."), (None, apache + "\nMore."), (None, "MIT License of prose")]
+    out = license_scan.scan(spark.createDataFrame([(k, x) for k, (_, x) in enumerate(files)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["license"] for r in out} == {k: name for k, (name, _) in enumerate(files)}
+
+
 def repeats(items: list[bytes]) -> list[tuple[int, int, int, str]]:
     counts = collections.Counter(b[i : i + 200] for b in items for i in range(len(b) - 199))
     out = []
