@@ -20,31 +20,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Adds __key: the id or, without one, a negative number from the text, so that no decision is lost on a null id."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(2**63)))))
+    """Adds __key, the id or (without one) a negative number from the text, and __row, a hash of id and text by which rows are dropped."""
+    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
+    return docs.withColumns({"__key": F.coalesce(doc_id, F.xxhash64(text).bitwiseOR(F.lit(-(2**63)))), "__row": F.xxhash64(doc_id, text)})
 
 
-def without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows whose __key is not listed: a filter in place while the list is short, else a join by shuffle."""
-    return docs.join(broadcast_if_small(keys.select("__key").distinct(), LIST_ROWS), "__key", "left_anti")
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose __row is not listed: a filter in place while the list is short, else a join by shuffle."""
+    return docs.join(broadcast_if_small(gone.select("__row").distinct(), LIST_ROWS), "__row", "left_anti")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every near-duplicate class; of repeated rows one."""
+    """The document with the least id of every near-duplicate class; of repeated rows (equal id and text) one."""
     rows = keyed(docs)
-    classes = written(simhash.near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text")))
-    kept = without(rows, classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__key")))
-    if not classes.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["__key"])
+    classes = written(simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))).withColumnRenamed("doc_id", "__row")
+    ids = rows.select("__row", "__key").distinct()
+    least = classes.select("__row", "component_id").join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("__key", "__row")).alias("first"))
+    kept = without(rows, written(classes.select("__row").join(least.select("first.__row"), "__row", "left_anti")))
+    if not classes.groupBy("__row").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["__row"])
     return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
     rows = keyed(docs)
-    judged = benchmark.decontaminate(rows.select(F.col("__key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = written(judged.where("contaminated").select(F.col("doc_id").alias("__key")))
+    judged = benchmark.decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = written(judged.where("contaminated").select(F.col("doc_id").alias("__row")))
     return without(rows, bad).select(*docs.columns)
 
 

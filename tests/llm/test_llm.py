@@ -396,6 +396,22 @@ def test_pipeline(spark: SparkSession, tmp_path_factory: pytest.TempPathFactory)
     assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, frames[-1].collect()), key=repr)
 
 
+def test_pipeline_drops_one_of_two_texts_that_share_an_id(spark: SparkSession, tmp_path) -> None:
+    import corpus_pipeline
+
+    one, two = " ".join(f"first{k}" for k in range(40)), " ".join(f"second{k}" for k in range(40))
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(3, one), (7, one), (7, two), (7, two), (9, PASSAGE), (9, "Nothing of the benchmark stands here"), (None, two), (None, PASSAGE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # Rows without an id come before all others, as their keys are negative.
+    deduped = {tuple(r) for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()}
+    assert deduped == {(3, one), (None, two), (None, PASSAGE), rows[5]}
+    named = docs.where("doc_id is not null")
+    assert sorted(map(tuple, corpus_pipeline.near_dedup(spark, named, str(tmp_path)).collect())) == sorted({(3, one), (7, two), *rows[4:6]})
+    clean = corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()
+    assert sorted(map(tuple, clean), key=repr) == sorted([*rows[:4], rows[5], rows[6]], key=repr)
+
+
 @pytest.mark.parametrize("name", ["op1_license_scan", "op3_decontamination"])
 def test_query_equals_sql(spark: SparkSession, name: str) -> None:
     from compare import DATA, connection, difference
