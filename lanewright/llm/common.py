@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-
+import re
 import tempfile
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 U64 = np.uint64
 
@@ -35,20 +37,41 @@ def id_remainder(mod: int, id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(mod))
 
 
+#: Folders of intermediate tables that this process has made, in order.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or (unset, as in tests) a fresh one."""
+    """A fresh folder under `spark.checkpoint.dir`, which driver and executors share. Only a local run may leave that unset."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lanewright_shared", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_lanewright_shared", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="lanewright-")
         sc._lanewright_shared = base
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/lanewright-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{base.rstrip('/')}/lanewright-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
 
 
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def made() -> int:
+    """How many intermediate folders there are: a mark for drop_intermediates."""
+    return len(_made)
+
+
+def drop_intermediates(spark: SparkSession, since: int = 0, keep: str = "") -> None:
+    """Deletes the intermediate tables made after the mark. Only for when no frame that reads them is still to be run."""
+    for path in _made[since:]:
+        if path != keep:
+            remove(spark, path)
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -59,6 +82,23 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the frame does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    """The frame's columns as they are named, dots and all."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def local_path(uri: str) -> str:
     """file:///x, file:/x or /x as a plain path."""
     if uri.startswith("file:"):
@@ -68,9 +108,28 @@ def local_path(uri: str) -> str:
     return uri
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint only when the rows, counted no further than the bound, are few; else the plain frame."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Bytes of a side that is broadcast at most.
+BROADCAST_BYTES = 32_000_000
+
+
+def _bytes(field: StructField, column: Column) -> Column:
+    """About what a value takes in a broadcast table."""
+    kind = field.dataType
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16
+    if isinstance(kind, ArrayType):
+        each = F.aggregate(column, F.lit(0).cast("long"), lambda s, x: s + _bytes(StructField("x", kind.elementType), x))
+        return F.coalesce(each, F.lit(0).cast("long")) + 16
+    if isinstance(kind, StructType):
+        return reduce(lambda a, b: a + b, [_bytes(f, column[f.name]) for f in kind.fields], F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint only when the rows, counted and measured no further than the bounds, are few and small; else the plain frame."""
+    size = reduce(lambda a, b: a + b, [_bytes(f, F.col(quoted(f.name))) for f in df.schema.fields])
+    n, total = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and total <= max_bytes else df
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,5 +178,3 @@ def token_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         out[lo:hi] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U64))
         lo = hi
     return out, start
-
-
