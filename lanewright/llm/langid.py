@@ -5,22 +5,24 @@ each language's: every n-gram adds the difference of its two ranks, or the profi
 
 Defined cases: null text or a text without letters gives `und` with score 0; equal frequencies rank by n-gram code;
 equal distances go to the smaller language name; repeated rows count once each; an empty table or no labelled row
-gives `und` throughout; other columns of the input are ignored.
+gives `und` throughout; very long texts are counted whole, CHUNK code points at a time; other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewright.llm.common import id_remainder
 
 PROFILE = 400
+CHUNK = 1 << 20
 _GAP = 1
 
 
@@ -28,7 +30,7 @@ _GAP = 1
 def _letters() -> np.ndarray:
     """Each code point if it is a letter, else 0."""
     table = np.zeros(0x110000, np.int64)
-    known = [c for c in range(0x32000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha()]
+    known = [c for c in range(len(table)) if chr(c).isalpha()]
     table[known] = known
     return table
 
@@ -44,9 +46,19 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     code = np.concatenate(([_GAP], code[keep], [_GAP]))
     if code[-2] == _GAP:
         code = code[:-1]
+    if len(code) <= CHUNK:
+        return _counted(code)
+    parts = [_counted(code[lo : lo + CHUNK + 2], CHUNK) for lo in range(0, len(code), CHUNK)]
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
+def _counted(code: np.ndarray, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the n-grams that start among the first `size` codes."""
     two = (code[:-1] << 21) | code[1:]
     three = (two[:-1] << 21) | code[2:]
-    return np.unique(np.concatenate((code[code != _GAP], two, three)), return_counts=True)
+    one = code[:size]
+    return np.unique(np.concatenate((one[one != _GAP], two[:size], three[:size])), return_counts=True)
 
 
 def top(keys: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
@@ -94,22 +106,20 @@ class Ranker:
         return self.names[best], 1.0 - far[best] / (self.size * len(own))
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PROFILE, text_col: str = "text") -> DataFrame:
-    """All columns of the input, then lang_pred and score."""
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+def guess(profiles: dict[str, np.ndarray], size: int = PROFILE) -> Callable[[Column], Column]:
+    """A function of a text column that gives a struct of lang_pred and score."""
 
-    @F.pandas_udf(StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
-    def guess(text: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(text: pd.Series) -> pd.DataFrame:
         model = Ranker(profiles, size)
         return pd.DataFrame([model.predict(t) for t in text], columns=["lang_pred", "score"])
 
-    found = docs.select("*", guess(F.col(text_col).cast("string")).alias("__guess"))
-    return found.drop("lang_pred", "score").select("*", "__guess.lang_pred", "__guess.score").drop("__guess")
+    return predict
 
 
 def language_id(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     """Learn from the documents whose id remainder mod 3 is not 1, then predict for every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     profiles = train_profiles(rows.where(id_remainder(3) != 1), size)
-    held = rows.select("doc_id", (id_remainder(3) == 1).alias("held_out"), "text")
-    return identify(held, profiles, size).select("doc_id", "held_out", "lang_pred", "score")
+    found = rows.select("doc_id", (id_remainder(3) == 1).alias("held_out"), guess(profiles, size)(F.col("text")).alias("x"))
+    return found.select("doc_id", "held_out", "x.lang_pred", "x.score")
