@@ -10,11 +10,13 @@ compares it only with the members not yet reached, so a dense group costs about
 
 Defined cases: null or empty text, or one without words, has fingerprint 0 and is linked like any other; 1 or 2 words
 form one shingle; repeated rows share a class; a null doc_id is kept and never names a class while another id is
-there; an empty table gives an empty result; other columns are ignored.
+there; a bit that is set in exactly half the shingles is 0; very long texts are read whole, LONG bytes at a time; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,26 +31,56 @@ SEED = 42
 MAX_BITS = 3
 
 
+#: Bytes of a long text whose words are held at once.
+LONG = 1 << 22
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _word_lists(data: bytes) -> Iterator[list[bytes]]:
+    """The words in lists of about LONG bytes; each but the first begins with the last two words of the one before."""
+    at, carry = 0, []
+    while at < len(data):
+        cut = _SPACE.search(data, at + LONG) if at + LONG < len(data) else None
+        end = cut.start() if cut else len(data)
+        words = carry + data[at:end].split()
+        yield words
+        at, carry = end, words[-2:]
+
+
 def fingerprint(text: str) -> int:
     """64-bit SimHash of the 3-word shingles, repeats included, by XXH64 with seed 42."""
-    w = text.encode("utf-8", "replace").lower().split()
-    if not w:
-        return 0
-    shingles = map(b" ".join, zip(w, w[1:], w[2:], strict=False)) if len(w) > 2 else [b" ".join(w)]
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), ">u8", max(1, len(w) - 2))
-    ones = np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * ones.astype(np.int64) > len(h)).tobytes(), "big")
+    total, ones, few = 0, np.zeros(64, np.int64), []
+    for w in _word_lists(text.encode("utf-8", "replace").lower()):
+        few = w
+        if len(w) > 2:
+            h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(w, w[1:], w[2:], strict=False))), ">u8", len(w) - 2)
+            total += len(h)
+            for lo in range(0, len(h), 1 << 20):
+                ones += np.add.reduce(np.unpackbits(h[lo : lo + (1 << 20)].view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint32)
+    if not total:
+        return xxhash.xxh64_intdigest(b" ".join(few), SEED) if few else 0
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
+    return unmarked(_with_prints(marked(texts(docs)), "doc_id long"))
+
+
+def fingerprints_of(rows: DataFrame) -> DataFrame:
+    """row, doc_id, fp for rows of row, doc_id, text."""
+    return unmarked(_with_prints(marked(rows), "row string, doc_id long"))
+
+
+def _with_prints(rows: DataFrame, schema: str) -> DataFrame:
+    names = rows.drop("text").columns
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield b[names].assign(fp=fp.view(np.int64))
 
-    return unmarked(marked(texts(docs)).mapInPandas(each, "doc_id long, fp long"))
+    return rows.mapInPandas(each, f"{schema}, fp long")
 
 
 def _syndrome(bits31: np.ndarray) -> np.ndarray:
@@ -162,13 +194,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def roots(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """fp, root (one fingerprint of its class) for the distinct fingerprints of rows that have fp."""
+    distinct = written(prints.select("fp").distinct())
+    root = components(written(links(replicate(distinct), max_bits)))
+    return distinct.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
     fp = written(fingerprints(docs))
-    distinct = written(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    edges = written(links(replicate(distinct.select("fp")), max_bits))
-    root = components(edges)
-    named = distinct.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = fp.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots(fp, max_bits), "fp")
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(best, "root").select("fp", "component_id")
     return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
