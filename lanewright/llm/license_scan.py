@@ -21,7 +21,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import texts
+from lanewright.llm.common import broadcast_if_small, texts, written
+
+#: Rows of notices by text that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 # Words that licence texts spell in several ways, and the spelling kept.
 SPELLINGS = (
@@ -163,8 +166,12 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     # The built-in table is a fixed list of rows; a caller's own is joined as Spark sees fit.
     known = F.broadcast(known_digests(spark)) if known is None else known
     rows = canonical_lines(texts(docs).withColumn("key", F.md5("text")))
-    lines = rows.select("key", F.explode(F.array_distinct("forms")).alias("form")).select("key", F.sha2("form", 256).alias("digest"))
-    found = lines.join(known, "digest").groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
-    whole = rows.select("doc_id", "key", digest(F.array_join("forms", " ")).alias("digest")).join(known, "digest", "left")
-    out = whole.join(found, "key", "left")
+    # One pass: each document's first line carries the digest of the whole; other lines stay only if they are known.
+    lines = rows.select("doc_id", "key", digest(F.array_join("forms", " ")).alias("digest"), F.posexplode_outer("forms").alias("at", "form"))
+    lines = lines.withColumn("line", F.sha2("form", 256)).join(known.select(F.col("digest").alias("line"), F.col("license").alias("notice")), "line", "left")
+    first = F.coalesce("at", F.lit(0)) == 0
+    lines = written(lines.where(first | F.col("notice").isNotNull()).select("doc_id", "key", F.when(first, F.col("digest")).alias("digest"), first.alias("first"), "notice"))
+    found = lines.where("notice is not null").groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("notice")), ",").alias("notices"))
+    whole = lines.where("first").select("doc_id", "key", "digest").join(known, "digest", "left")
+    out = whole.join(broadcast_if_small(found, BROADCAST_ROWS), "key", "left")
     return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
