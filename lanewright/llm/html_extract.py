@@ -7,7 +7,9 @@ and no dropped node a kept descendant. The classifier is fitted on pages that `s
 (`TRAIN_PAGES` of them, a fixed bound); the table to be extracted is not used for fitting.
 
 Defined cases: null or empty html gives empty text; unclosed, stray and wrongly nested tags are repaired as browsers
-mostly do; a page without elements is one block of text; repeated rows give equal rows; an empty table gives an empty
+mostly do, a head ends where something else than its elements begins; text in formulas, drawings and the fallback of
+media is text like any other, while form controls (button, select, textarea) go with forms; noscript is a notice; a page
+without elements is one block of text; repeated rows give equal rows; an empty table gives an empty
 result; very long pages are read whole; other columns are ignored.
 """
 
@@ -35,7 +37,9 @@ MARK = "\ue000"
 # HTML's elements by the way they are handled.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noscript noembed noframes".split())
-DROPPED = frozenset("head script style textarea title xmp iframe noscript noembed noframes template select option button svg math canvas object audio video map datalist".split())
+# Not rendered (head, scripts, styles, templates, frames' fallback, annotations), shown without scripts only, or parts of forms.
+DROPPED = frozenset("head script style textarea title xmp iframe noscript noembed noframes template annotation annotation-xml desc metadata select option optgroup button datalist".split())
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title html".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table caption tbody td tfoot th thead tr ul".split()
 )
@@ -123,9 +127,17 @@ def parse(source: str) -> Page:
             links -= tag == "a"
             dropped -= tag in DROPPED
 
+    def end_head() -> None:
+        """What cannot stand in a head ends an open one."""
+        depth = next((k for k in range(1, len(stack)) if stack[k][0] == "head"), 0)
+        if depth and (depth == len(stack) - 1 or dropped == 1):
+            close(depth)
+
     while at < len(source):
         m = _TOKEN.search(source, at)
         piece = source[at : m.start()] if m else source[at:]
+        if dropped and piece and not piece.isspace() and stack[-1][0] == "head":
+            end_head()
         if piece and not dropped:
             buffer.append(piece)
             if links:
@@ -144,6 +156,8 @@ def parse(source: str) -> Page:
             elif tag in BLOCK:
                 flush()
             continue
+        if dropped and tag not in HEAD:
+            end_head()
         if tag in VOID:
             if tag == "hr":
                 flush()
@@ -157,10 +171,6 @@ def parse(source: str) -> Page:
                 at = source.find(">", end.start()) + 1 or len(source)
             continue
         if tag in BLOCK:
-            if tag == "body":
-                depth = next((k for k in range(1, len(stack)) if stack[k][0] == "head"), 0)
-                if depth:
-                    close(depth)
             over = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] in SCOPE), 0)
             if over and stack[over][0] == "p":  # a block ends an open paragraph
                 close(over)
