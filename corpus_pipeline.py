@@ -2,81 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from lanewright.llm.pipeline import STAGES, run
 
-from lanewright.llm import decontaminate as benchmark
-from lanewright.llm import langid, packing, pii, simhash
-from lanewright.llm.common import broadcast_if_small, id_remainder, shared_dir, written
-
-#: Ids of 8 bytes that are broadcast at most to drop rows.
-LIST_ROWS = 500_000
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the profiles name; those without letters (`und`) go."""
-    profiles = langid.train_profiles(docs.where(id_remainder(3) != 1))
-    return langid.identify(docs, profiles).where(F.col("lang_pred") != "und").select(*docs.columns)
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """Adds __key, the id or (without one) a negative number from the text, and __row, a hash of id and text by which rows are dropped."""
-    text, doc_id = F.coalesce(F.col("text"), F.lit("")), F.col("doc_id").cast("long")
-    return docs.withColumns({"__key": F.coalesce(doc_id, F.xxhash64(text).bitwiseOR(F.lit(-(2**63)))), "__row": F.xxhash64(doc_id, text)})
-
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows whose __row is not listed: a filter in place while the list is short, else a join by shuffle."""
-    return docs.join(broadcast_if_small(gone.select("__row").distinct(), LIST_ROWS), "__row", "left_anti")
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every near-duplicate class; of repeated rows (equal id and text) one."""
-    rows = keyed(docs)
-    classes = written(simhash.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"))).withColumnRenamed("doc_id", "__row")
-    ids = rows.select("__row", "__key").distinct()
-    least = classes.select("__row", "component_id").join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("__key", "__row")).alias("first"))
-    kept = without(rows, written(classes.select("__row").join(least.select("first.__row"), "__row", "left_anti")))
-    if not classes.groupBy("__row").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["__row"])
-    return kept.select(*docs.columns)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
-    rows = keyed(docs)
-    judged = benchmark.decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = written(judged.where("contaminated").select(F.col("doc_id").alias("__row")))
-    return without(rows, bad).select(*docs.columns)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its personal data replaced by the kind of data."""
-    clean = pii.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their bins."""
-    return packing.best_fit(docs)
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("personal_data", personal_data),
-    ("best_fit_packing", best_fit_packing),
-]
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
 
 #: Trained profiles and near-duplicate classes have no SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, shared_dir(spark))
-    return docs
