@@ -1,17 +1,25 @@
-"""Removal of repeated byte strings by merging Burrows-Wheeler transforms of shards.
+"""Removal of repeated byte strings by merging Burrows-Wheeler transforms of document shards.
 
 A byte goes if a string of SPAN = 200 bytes that covers it also starts anywhere else. Every start of such a string belongs
 to the group of its least CONTEXT-byte hash (equal strings hold equal hashes, so they share the group), and neighbouring
-starts of one group travel as one segment. Groups met once in the corpus drop out before any text moves. Equal segments
-are collapsed. The segments left are dealt to shards; each shard's suffixes are sorted once and give its transform, and
-the transforms are merged by interleave refinement: a round stably deals the merged order by the preceding symbol, which
+starts of one group travel as one segment. Groups met once in the corpus drop out before any text moves.
+
+A shard is the documents that one task reads together. It sends its segments, equal ones once and weighted, to the tasks of
+their groups. There every shard's segments get a transform of their own, sorted within the shard alone, and the transforms
+of all shards are merged by interleave refinement: a round stably deals the merged order by the preceding symbol, which
 sorts it by one more symbol, and marks where neighbours begin to differ (their common prefix). Symbols are 8 bytes at
-8 phases, so SPAN / 8 = 25 rounds give all intervals of at least 200 common bytes, without sorting all suffixes again.
+8 phases, so SPAN / 8 = 25 rounds give all intervals of at least 200 common bytes without sorting all suffixes together.
+A start is repeated if the weights of its interval come to two or more; nothing else decides between shards. Within a
+shard, a segment that stands at two places is an interval of weight two by itself: its places are known there and then,
+and only one segment of weight two goes on to tell the other shards.
+
+Hot groups (a passage of very many documents) are split by the hash of each start's whole 200 bytes before they meet: a
+shard that meets a group LOCAL times or more sends the runs to tasks dealt by shard, and only a mark to the group's own
+task. So the group's task gets fewer than LOCAL runs from each shard, and the task of one 200-byte string one segment.
 
 Documents whose whole texts are equal (MD5) count as copies: of 200 bytes or more, all goes. One of them stands for
-the others. Groups over HOT starts' segments (a passage of very many documents) are split by the hash of each start's
-whole 200 bytes before the merge, so a task holds at most HOT segments or copies of one string, which collapse. Texts
-are told apart by the first 64 bits of their MD5.
+the others. Tasks know texts by 64 bits of the digest; the texts of which these 64 bits are not their own (few in any
+corpus: they are counted, and listed up to CLASHES) go by the other 64.
 
 Defined cases: null or empty text keeps its zero bytes; texts under 200 bytes keep all; repeated rows are copies of
 each other; an empty table gives an empty result; very long and periodic texts travel as segments of at most SEGMENT
@@ -35,7 +43,9 @@ SPAN = 200
 CONTEXT = 100
 HOT = 4000
 SEGMENT = 4096
-SHARDS = 4
+#: Runs of a group in one shard from which on the group is hot; most texts that may share 64 bits of their digests.
+LOCAL = 32
+CLASHES = 10_000
 #: Suffixes that one merge takes together (a group that is larger is merged alone).
 MERGE = 60_000
 #: Bytes of text for each part of the group hashes, and bytes hashed at once.
@@ -148,8 +158,8 @@ def _sorted_shard(rank: np.ndarray, after: np.ndarray, rounds: int) -> np.ndarra
     return np.argsort(rank, kind="stable")
 
 
-def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
-    """For each segment and each start in it whether its SPAN bytes also start elsewhere in the segments."""
+def repeated_starts(segments: list[bytes], shard: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+    """For each segment and each start in it whether the weights of all places where its SPAN bytes start come to two or more."""
     n = np.array([len(s) for s in segments])
     size = n + 1  # the last 8 suffixes of a segment are empty, one of each phase
     begin = np.cumsum(size) - size
@@ -164,37 +174,27 @@ def repeated_starts(segments: list[bytes]) -> list[np.ndarray]:
     cls[full] += 1
     before = np.where(place >= 8, cls[np.maximum(np.arange(m) - 8, 0)], 0)  # the transform's symbol, 0 where a segment's phase begins
     kind = np.uint16 if len(values) < 65_535 else np.int64
-    rounds = int(np.ceil(np.log2(SPAN // 8)))
-
-    # Each shard sorted for itself, and its transform.
-    shards = min(SHARDS, len(segments))
-    order, bwt, of = [], [], []
-    for k in range(shards):
-        ids = np.flatnonzero(seg % shards == k)
-        back = np.full(m, -1)
-        back[ids] = np.arange(len(ids))
-        after = np.where(full[ids], back[np.minimum(ids + 8, m - 1)], -1)
-        own = ids[_sorted_shard(cls[ids], after, rounds)]
-        order.append(own)
-        bwt.append(before[own])
-        of.append(np.full(len(own), k, np.uint8))
-    first = np.cumsum([0] + [len(x) for x in order[:-1]])
-    suffix, symbol_before, owner = np.concatenate(order), np.concatenate(bwt).astype(kind), np.concatenate(of)
+
+    # Each shard sorted for itself (its number leads), and its transform.
+    names, own = np.unique(shard, return_inverse=True)
+    owner = own[seg]
+    first = np.unique(owner * (len(values) + 1) + cls, return_inverse=True)[1]
+    suffix = _sorted_shard(first, np.where(full, np.minimum(np.arange(m) + 8, m - 1), -1), int(np.ceil(np.log2(SPAN // 8))))
+    transform = before[suffix].astype(kind)
 
     # The interleave: which shard each merged place belongs to; block: places whose prefixes are equal so far.
-    interleave, at, block = owner, np.arange(m), np.zeros(m, np.int64)
+    interleave = owner[suffix].astype(np.uint16 if len(names) < 65_536 else np.int64)
+    at, block = np.arange(m), np.zeros(m, np.int64)
     for _ in range(SPAN // 8):
-        c = symbol_before[at]
+        c = transform[at]
         o = np.argsort(c, kind="stable")
         c, b = c[o], block[o]
         interleave = interleave[o]
         block = np.cumsum(np.concatenate(([0], (c[1:] != c[:-1]) | (b[1:] != b[:-1]))))
         at = np.empty(m, np.int64)
-        for k in range(shards):
-            own = np.flatnonzero(interleave == k)
-            at[own] = first[k] + np.arange(len(own))
+        at[np.argsort(interleave, kind="stable")] = np.arange(m)  # the next of its shard, each in turn
     hit = np.zeros(m, bool)
-    hit[suffix[at]] = np.bincount(block)[block] > 1
+    hit[suffix[at]] = np.bincount(block, weight[seg[suffix[at]]])[block] > 1
     return [hit[b : b + k - SPAN + 1] for b, k in zip(begin, n, strict=True)]
 
 
@@ -204,43 +204,124 @@ def _intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo, hi - lo
 
 
-def shared_starts(group: np.ndarray, key: np.ndarray, start: np.ndarray, segments: list[bytes]) -> Iterator[tuple[int, int, int]]:
-    """(text, first start, number of starts) of the repeated strings among the segments, which come with their group."""
-    where: dict[tuple[int, bytes], list[int]] = {}
-    for k, (g, s) in enumerate(zip(group.tolist(), segments, strict=True)):
-        where.setdefault((g, s), []).append(k)
-    by_group: dict[int, list[tuple[bytes, list[int]]]] = {}
-    for (g, s), at in where.items():
-        at = list({(int(key[k]), int(start[k])): k for k in at}.values())  # a segment that came twice is one
-        by_group.setdefault(g, []).append((s, at))
-        if len(at) > 1:
-            for k in at:
-                yield int(key[k]), int(start[k]), len(s) - SPAN + 1
-    held: list[tuple[bytes, list[int]]] = []
+def shared_starts(shard: np.ndarray, group: np.ndarray, weight: np.ndarray, key: np.ndarray, start: np.ndarray, segments: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """(text, first start, number of starts) of the repeated strings among the segments of weight 1, group after group."""
+    order = np.argsort(group, kind="stable")
+    cut = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0, [True]))) if len(order) else np.zeros(1, int)
+    held: list[int] = []
+    total = 0
 
     def merge() -> Iterator[tuple[int, int, int]]:
-        for (_, at), flags in zip(held, repeated_starts([s for s, _ in held]), strict=True):
-            if len(at) == 1:
+        own = np.array(held)
+        for k, flags in zip(held, repeated_starts([segments[k] for k in held], shard[own], weight[own]), strict=True):
+            if weight[k] == 1:
                 for lo, count in zip(*_intervals(flags), strict=True):
-                    yield int(key[at[0]]), int(start[at[0]] + lo), int(count)
-        held.clear()
+                    yield int(key[k]), int(start[k] + lo), int(count)
 
-    total = 0
-    for own in by_group.values():
-        if all(len(at) > 1 for _, at in own) or (len(own) == 1 and len(own[0][0]) == SPAN):
-            continue
-        size = sum(len(s) + 1 for s, _ in own)
+    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+        own = order[lo:hi].tolist()
+        if len(own) == 1 and len(segments[own[0]]) == SPAN:
+            continue  # one string at one place, or one whose places its shard knows
+        size = sum(len(segments[k]) + 1 for k in own)
         if held and total + size > MERGE:
             yield from merge()
-            total = 0
-        held.extend(own)
+            held, total = [], 0
+        held += own
         total += size
     if held:
         yield from merge()
 
 
-def _key(text: bytes) -> int:
-    return int.from_bytes(hashlib.md5(text).digest()[:8], "big", signed=True)
+def shard_runs(keys: np.ndarray, texts_: list[bytes], parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed runs) of a shard. Bit 31 of a count: may repeat itself; bit 30: its group is hot; a count of 0 marks a hot group."""
+    group, text, start, count, twice = runs(texts_)
+    count = count.astype(np.uint32) | (twice.astype(np.uint32) << np.uint32(31))
+    part = (group % U64(parts)).astype(np.int64)
+    names, at, many = np.unique(group, return_inverse=True, return_counts=True)
+    hot = many[at] >= LOCAL
+    if hot.any():
+        marks = names[many >= LOCAL]
+        count[hot] |= np.uint32(1 << 30)
+        part[hot] = int(mix(keys[:1].view(U64))[0] % U64(parts))
+        zero = np.zeros(len(marks), np.int64)
+        part = np.concatenate((part, (marks % U64(parts)).astype(np.int64)))
+        group, text, start = np.concatenate((group, marks)), np.concatenate((text, zero)), np.concatenate((start, zero))
+        count = np.concatenate((count, np.zeros(len(marks), np.uint32)))
+    yield from _pack(part, group, keys[text] if len(text) else keys[:0], start.astype(np.uint32), count)
+
+
+def groups_met_twice(blobs: list[bytes]) -> pd.DataFrame:
+    """key, g, s, c, hot: the runs of one part whose group is met twice, may repeat itself or is hot."""
+    cols: list[list[np.ndarray]] = [[], [], [], []]
+    for b in blobs:
+        n, at = int.from_bytes(b[:8], "little"), 8
+        for c, kind in zip(cols, ("<u8", "<i8", "<u4", "<u4"), strict=True):
+            c.append(np.frombuffer(b, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    group, keys, start, count = (np.concatenate(c) for c in cols)
+    marked_ = np.isin(group, np.unique(group[(count & np.uint32(0x3FFFFFFF)) == 0]))
+    hot = marked_ | ((count >> np.uint32(30)) & np.uint32(1) > 0)
+    order = np.argsort(group, kind="stable")
+    g = group[order]
+    same = np.concatenate(([False], g[1:] == g[:-1], [False]))
+    order = order[(same[1:] | same[:-1] | (count[order] >> np.uint32(31) > 0) | hot[order]) & (count[order] & np.uint32(0x3FFFFFFF) > 0)]
+    order = order[np.lexsort((start[order], keys[order], group[order]))]
+    g, k, s, c, hot = group[order], keys[order], start[order], count[order], hot[order]
+    new = np.concatenate(([True], (g[1:] != g[:-1]) | (k[1:] != k[:-1]) | (s[1:] != s[:-1]))) if len(g) else np.zeros(0, bool)
+    g, k, s, c, hot = g[new], k[new], s[new], c[new], hot[new]
+    at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, int)
+    many = np.repeat(np.diff(at, append=len(g)), np.diff(at, append=len(g)))
+    ok = (many > 1) | (c >> np.uint32(31) > 0) | hot
+    c = c & np.uint32(0x3FFFFFFF)
+    return pd.DataFrame({"key": k[ok], "g": g[ok].view(np.int64), "s": s[ok].astype(np.int32), "c": c[ok].astype(np.int32), "hot": hot[ok] | (many[ok] > HOT)})
+
+
+#: A segment of a shard: its group, weight (2: at several places), and text and start if it stands at one.
+_HEAD = np.dtype([("group", "<i8"), ("key", "<i8"), ("start", "<i4"), ("size", "<i4"), ("weight", "<i4")])
+
+
+def shard_segments(keys: list[int], texts_: list[bytes], lists: list[list], parts: int) -> tuple[list[tuple[int, bytes]], list[tuple[int, int, int]]]:
+    """(part, packed segments) that a shard sends, and (text, start, starts) of the segments that it holds twice."""
+    pack = zstandard.ZstdCompressor(level=1)
+    places: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    for k, data, own in zip(keys, texts_, lists, strict=True):
+        hashes = None
+        for r in own:
+            g, s, c = r["g"], r["s"], r["c"]
+            if not r["hot"]:
+                places.setdefault((g, data[s : s + c + SPAN - 1]), []).append((k, s))
+                continue
+            if hashes is None:
+                hashes = gram_hashes(np.frombuffer(data, np.uint8), SPAN).view(np.int64)
+            for j in range(s, s + c):
+                places.setdefault((int(hashes[j]), data[j : j + SPAN]), []).append((k, j))
+    out: dict[int, tuple[list[tuple], list[bytes]]] = {}
+    known = []
+    for (g, segment), at in places.items():
+        at = list(dict.fromkeys(at))
+        if len(at) > 1:
+            known += [(k, s, len(segment) - SPAN + 1) for k, s in at]
+        heads, bodies = out.setdefault((g & 0xFFFFFFFFFFFFFFFF) % parts, ([], []))
+        heads.append((g, *(at[0] if len(at) == 1 else (0, 0)), len(segment), min(len(at), 2)))
+        bodies.append(segment)
+    rows = [(p, len(heads).to_bytes(8, "little") + pack.compress(np.array(heads, _HEAD).tobytes() + b"".join(bodies))) for p, (heads, bodies) in out.items()]
+    return rows, known
+
+
+def merged_parts(blobs: list[bytes]) -> Iterator[tuple[int, int, int]]:
+    """The repeated starts among the segments of one part; a blob is a shard's."""
+    open_ = zstandard.ZstdDecompressor()
+    heads, shard, found = [], [], []
+    for j, b in enumerate(blobs):
+        n = int.from_bytes(b[:8], "little")
+        raw = open_.decompress(b[8:])
+        head = np.frombuffer(raw, _HEAD, n)
+        end = np.cumsum(head["size"].astype(np.int64)) + n * _HEAD.itemsize
+        found += [raw[e - k : e] for e, k in zip(end.tolist(), head["size"].tolist(), strict=True)]
+        heads.append(head)
+        shard.append(np.full(n, j))
+    head = np.concatenate(heads)
+    yield from shared_starts(np.concatenate(shard), head["group"], head["weight"], head["key"], head["start"].astype(np.int64), found)
 
 
 def remaining(data: bytes, intervals: list[tuple[int, int]]) -> tuple[int, int, str]:
@@ -281,83 +362,37 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[list[bytes]]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    key = F.conv(F.substring(F.md5("text"), 1, 16), 16, -10).cast("long")
-    rows = texts(docs).withColumn("key", key)
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    half = lambda at: F.conv(F.substring("md5", at, 16), 16, -10).cast("long")
+    rows = texts(docs).withColumn("md5", F.md5("text"))
+    # A document per text, and how many have it. A null id stands for a text only where no other id does.
+    same = written(rows.select("doc_id", "md5", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")))
+    by_text = written(same.groupBy("md5").agg(F.coalesce(F.min("doc_id"), F.lit(-(2**63))).alias("doc_id"), F.count("*").alias("n")).withColumn("key", half(1)))
+    clashes = [r[0] for r in by_text.join(by_text.groupBy("key").count().where("count > 1").select("key"), "key", "left_semi").select("md5").limit(CLASHES + 1).collect()]
+    if len(clashes) > CLASHES:
+        raise ValueError("too many texts share 64 bits of their digests")
+    key = F.when(F.col("md5").isin(*clashes), half(17)).otherwise(half(1)) if clashes else half(1)
+    rows, same, by_key = rows.withColumn("key", key).drop("md5"), same.withColumn("key", key).drop("md5"), by_text.withColumn("key", key).drop("md5")
+    size = same.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(64, -(-size // PART_BYTES))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = b.drop_duplicates("key")
-            keys = own["key"].to_numpy(np.int64)
-            group, text, start, count, twice = runs([t.encode("utf-8", "replace") for t in own["text"]])
-            part = (group % U64(parts)).astype(np.int64)
-            yield pd.DataFrame(_pack(part, group, keys[text], start.astype(np.uint32), count.astype(np.uint32) | (twice.astype(np.uint32) << np.uint32(31))), columns=["part", "data"])
+            yield pd.DataFrame(shard_runs(own["key"].to_numpy(np.int64), [t.encode("utf-8", "replace") for t in own["text"]], parts), columns=["part", "data"])
 
     def met_twice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for blobs in _grouped(batches):
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            for b in blobs:
-                n, at = int.from_bytes(b[:8], "little"), 8
-                for c, kind in zip(cols, ("<u8", "<i8", "<u4", "<u4"), strict=True):
-                    c.append(np.frombuffer(b, kind, n, at))
-                    at += n * np.dtype(kind).itemsize
-            group, keys, start, count = (np.concatenate(c) for c in cols)
-            order = np.argsort(group, kind="stable")
-            g = group[order]
-            same = np.concatenate(([False], g[1:] == g[:-1], [False]))
-            order = order[same[1:] | same[:-1] | (count[order] >> np.uint32(31) > 0)]  # other groups of one run are done
-            order = order[np.lexsort((start[order], keys[order], group[order]))]
-            g, k, s, c = group[order], keys[order], start[order], count[order]
-            new = np.concatenate(([True], (g[1:] != g[:-1]) | (k[1:] != k[:-1]) | (s[1:] != s[:-1]))) if len(g) else np.zeros(0, bool)
-            g, k, s, c = g[new], k[new], s[new], c[new]
-            at = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, int)
-            many = np.repeat(np.diff(at, append=len(g)), np.diff(at, append=len(g)))
-            ok = (many > 1) | (c >> np.uint32(31) > 0)
-            c = c & np.uint32(0x7FFFFFFF)
-            yield pd.DataFrame({"key": k[ok], "g": g[ok].view(np.int64), "s": s[ok].astype(np.int32), "c": c[ok].astype(np.int32), "hot": many[ok] > HOT})
+            yield groups_met_twice(blobs)
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            out: dict[int, list[tuple[int, int, int, bytes]]] = {}
-            for k, text, own in zip(b["key"], b["text"], b["runs"], strict=True):
-                data = text.encode("utf-8", "replace")
-                hashes = None
-                for r in own:
-                    g, s, c = r["g"], r["s"], r["c"]
-                    if not r["hot"]:
-                        out.setdefault((g & 0xFFFFFFFFFFFFFFFF) % parts, []).append((g, k, s, data[s : s + c + SPAN - 1]))
-                        continue
-                    if hashes is None:
-                        hashes = gram_hashes(np.frombuffer(data, np.uint8), SPAN).view(np.int64)
-                    for j in range(s, s + c):
-                        h = int(hashes[j])
-                        out.setdefault((h & 0xFFFFFFFFFFFFFFFF) % parts, []).append((h, k, j, data[j : j + SPAN]))
-            rows = []
-            for p, items in out.items():
-                distinct = {x: j for j, x in enumerate(dict.fromkeys(i[3] for i in items))}
-                head = np.array([(g, k) for g, k, _, _ in items], np.int64).T.tobytes() + np.array([(s, distinct[x]) for _, _, s, x in items], np.int64).T.tobytes()
-                lens = np.array([len(x) for x in distinct], np.int64).tobytes()
-                rows.append((p, len(items).to_bytes(8, "little") + len(distinct).to_bytes(8, "little") + pack.compress(head + lens + b"".join(distinct))))
-            yield pd.DataFrame(rows, columns=["part", "data"])
+            sent, known = shard_segments(b["key"].tolist(), [t.encode("utf-8", "replace") for t in b["text"]], b["runs"].tolist(), parts)
+            yield pd.DataFrame(sent, columns=["part", "data"]).assign(known=None)
+            yield pd.DataFrame({"part": -1, "data": None, "known": [[{"key": k, "s": s, "c": c} for k, s, c in known]]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_ = zstandard.ZstdDecompressor()
         for blobs in _grouped(batches):
-            group, keys, start, found = [], [], [], []
-            for b in blobs:
-                n, d = int.from_bytes(b[:8], "little"), int.from_bytes(b[8:16], "little")
-                raw = open_.decompress(b[16:])
-                head = np.frombuffer(raw, np.int64, 4 * n + d)
-                end = np.cumsum(head[4 * n :]) + 8 * (4 * n + d)
-                own = [raw[e - k : e] for e, k in zip(end.tolist(), head[4 * n :].tolist(), strict=True)]
-                group.append(head[:n])
-                keys.append(head[n : 2 * n])
-                start.append(head[2 * n : 3 * n])
-                found.extend(own[j] for j in head[3 * n : 4 * n])
-            hits = list(shared_starts(np.concatenate(group), np.concatenate(keys), np.concatenate(start), found))
-            yield pd.DataFrame(hits, columns=["key", "s", "c"]).astype({"key": "int64", "s": "int32", "c": "int32"})
+            yield pd.DataFrame(list(merged_parts(blobs)), columns=["key", "s", "c"]).astype({"key": "int64", "s": "int32", "c": "int32"})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -373,16 +408,14 @@ def dedup(docs: DataFrame) -> DataFrame:
         ids = broadcast_if_small(lists.select("doc_id", "key"), BROADCAST_ROWS)
         return rows.join(ids, ["doc_id", "key"], "left_semi").join(lists, ["doc_id", "key"]).select("key", "text", "runs")
 
-    # A document per text, and how many have it. A null id stands for a text only where no other id does.
-    same = written(rows.select("doc_id", "key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")))
-    by_key = written(same.groupBy("key").agg(F.coalesce(F.min("doc_id"), F.lit(-(2**63))).alias("doc_id"), F.count("*").alias("n")))
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
     stands = by_key.select("key", "doc_id")
     spread = rows.select("key", "text").where(F.octet_length("text") >= SPAN).mapInPandas(scan, "part int, data binary")
     twice = dealt(spread).mapInPandas(met_twice, "key long, g long, s int, c int, hot boolean")
     lists = twice.groupBy("key").agg(F.collect_list(F.struct("g", "s", "c", "hot")).alias("runs"))
-    sent = with_texts(lists).mapInPandas(segments, "part int, data binary")
-    hits = dealt(sent).mapInPandas(compare, "key long, s int, c int")
+    sent = written(with_texts(lists).mapInPandas(segments, "part int, data binary, known array<struct<key:long,s:int,c:int>>"))
+    hits = dealt(sent.where("part >= 0").select("part", "data")).mapInPandas(compare, "key long, s int, c int")
+    hits = hits.unionByName(sent.where("part < 0").select(F.inline("known")))
     single = by_key.where("n = 1").select("key")
     lists = hits.groupBy("key").agg(F.collect_list(F.struct("s", "c")).alias("runs")).join(single, "key", "left_semi")
     removed = written(with_texts(lists).dropDuplicates(["key"]).mapInPandas(cut, "key long, n_removed long, n_spans long, kept string"))

@@ -12,8 +12,10 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from lanewright.llm import decontaminate, fingerprint, html_extract, langid, license_scan, ngram_lm, packing, pii, simhash, suffix_dedup
@@ -101,22 +103,58 @@ def repeats(items: list[bytes]) -> list[tuple[int, int, int, str]]:
 def test_suffix_dedup(docs: DataFrame, empty: DataFrame, rows: list, hot: int, monkeypatch: pytest.MonkeyPatch) -> None:
     """Also with a limit so low that groups are split."""
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setattr(suffix_dedup, "SEGMENT", 64 if hot == 2 else 4096)
+    monkeypatch.setattr(suffix_dedup, "LOCAL", min(hot, 32))
     want = repeats([(t or "").encode() for _, t in rows])
     got = found(suffix_dedup.dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == sorted(((d, *w) for (d, _), w in zip(rows, want, strict=True)), key=repr)
     assert suffix_dedup.dedup(empty).count() == 0
 
 
-def test_merge_of_transforms() -> None:
+@pytest.mark.parametrize("shards", [1, 3, 12])
+def test_merge_of_transforms(shards: int) -> None:
     rng = random.Random(3)
     base = bytes(rng.choice(b"ab ") for _ in range(900))
-    segments = list(dict.fromkeys(base[(i := rng.randrange(500)) : i + rng.randint(200, 400)] for _ in range(12)))
-    counts = collections.Counter(s[i : i + 200] for s in segments for i in range(len(s) - 199))
-    for s, flags in zip(segments, suffix_dedup.repeated_starts(segments), strict=True):
+    segments = [base[(i := rng.randrange(500)) : i + rng.randint(200, 400)] for _ in range(12)]
+    segments += segments[:2] + [bytes(rng.choice(b"xyz") for _ in range(250))]
+    weight = np.ones(len(segments), int)
+    weight[-1] = 2
+    counts = collections.Counter(s[i : i + 200] for s, w in zip(segments, weight, strict=True) for i in range(len(s) - 199) for _ in range(w))
+    for s, flags in zip(segments, suffix_dedup.repeated_starts(segments, np.arange(len(segments)) % shards, weight), strict=True):
         assert flags.tolist() == [counts[s[i : i + 200]] > 1 for i in range(len(s) - 199)]
 
 
+def test_many_shards_by_brute_force_and_load_of_a_common_passage() -> None:
+    """40 shards of texts, all with one passage: a group's task and a string's task get a bounded share of each shard."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)).encode()
+    passage, parts = prose(60), 16
+    shards = [[prose(rng.randint(10, 40)) + passage + prose(20) for _ in range(50)] for _ in range(40)]
+    keys = [[1000 * k + j for j in range(len(x))] for k, x in enumerate(shards)]
+    rows, runs_of_part = collections.defaultdict(list), collections.defaultdict(list)
+    for k, x in zip(keys, shards, strict=True):
+        for p, blob in suffix_dedup.shard_runs(np.array(k), x, parts):
+            runs_of_part[p].append(blob)
+    found_ = pd.concat([suffix_dedup.groups_met_twice(b) for b in runs_of_part.values()])
+    assert found_["hot"].any()
+    lists = collections.defaultdict(list)
+    for r in found_.to_dict("records"):
+        lists[r["key"]].append(r)
+    hits, most = [], 0
+    for k, x in zip(keys, shards, strict=True):
+        own = [j for j in range(len(x)) if k[j] in lists]
+        sent, known = suffix_dedup.shard_segments([k[j] for j in own], [x[j] for j in own], [lists[k[j]] for j in own], parts)
+        hits += known
+        for p, blob in sent:
+            rows[p].append(blob)
+            most = max(most, max(collections.Counter(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[8:]), suffix_dedup._HEAD, int.from_bytes(blob[:8], "little"))["group"].tolist()).values()))
+    assert most < suffix_dedup.LOCAL  # of 50 texts of a shard that hold the passage
+    for blobs in rows.values():
+        hits += suffix_dedup.merged_parts(blobs)
+    counts = collections.Counter(t[i : i + 200] for x in shards for t in x for i in range(len(t) - 199))
+    want = {(k, i) for ks, x in zip(keys, shards, strict=True) for k, t in zip(ks, x, strict=True) for i in range(len(t) - 199) if counts[t[i : i + 200]] > 1}
+    assert {(k, s + j) for k, s, c in hits for j in range(c)} == want
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
