@@ -9,9 +9,10 @@ their groups. There every shard's segments get a transform of their own, sorted
 of all shards are merged by interleave refinement: a round stably deals the merged order by the preceding symbol, which
 sorts it by one more symbol, and marks where neighbours begin to differ (their common prefix). Symbols are 8 bytes at
 8 phases, so SPAN / 8 = 25 rounds give all intervals of at least 200 common bytes without sorting all suffixes together.
-A start is repeated if the weights of its interval come to two or more; nothing else decides between shards. Within a
-shard, a segment that stands at two places is an interval of weight two by itself: its places are known there and then,
-and only one segment of weight two goes on to tell the other shards.
+A start is repeated if the weights of its interval come to two or more. Equal segments have equal transforms, which merge
+into one by adding their weights; segments that differ are interleaved. Within a shard, a segment that stands at two
+places is an interval of weight two by itself: its places are known there and then, and only one segment of weight two
+goes on to tell the other shards.
 
 Hot groups (a passage of very many documents) are split by the hash of each start's whole 200 bytes before they meet: a
 shard that meets a group LOCAL times or more sends the runs to tasks dealt by shard, and only a mark to the group's own
@@ -205,28 +206,42 @@ def _intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_starts(shard: np.ndarray, group: np.ndarray, weight: np.ndarray, key: np.ndarray, start: np.ndarray, segments: list[bytes]) -> Iterator[tuple[int, int, int]]:
-    """(text, first start, number of starts) of the repeated strings among the segments of weight 1, group after group."""
+    """(text, first start, number of starts) of the repeated strings among the segments of weight 1, group after group.
+
+    Transforms of equal segments are equal and merge into one with their weights added; only different ones are interleaved.
+    """
     order = np.argsort(group, kind="stable")
     cut = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0, [True]))) if len(order) else np.zeros(1, int)
-    held: list[int] = []
+    held: list[list[int]] = []
     total = 0
 
     def merge() -> Iterator[tuple[int, int, int]]:
-        own = np.array(held)
-        for k, flags in zip(held, repeated_starts([segments[k] for k in held], shard[own], weight[own]), strict=True):
-            if weight[k] == 1:
+        one = np.array([own[0] for own in held])
+        sums = np.array([int(weight[own].sum()) for own in held])
+        for own, w, flags in zip(held, sums.tolist(), repeated_starts([segments[k] for k in one.tolist()], shard[one], sums), strict=True):
+            if w == 1:
                 for lo, count in zip(*_intervals(flags), strict=True):
-                    yield int(key[k]), int(start[k] + lo), int(count)
+                    yield int(key[own[0]]), int(start[own[0]] + lo), int(count)
 
     for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        own = order[lo:hi].tolist()
-        if len(own) == 1 and len(segments[own[0]]) == SPAN:
-            continue  # one string at one place, or one whose places its shard knows
-        size = sum(len(segments[k]) + 1 for k in own)
+        equal: dict[bytes, list[int]] = {}
+        for k in order[lo:hi].tolist():
+            equal.setdefault(segments[k], []).append(k)
+        undecided = False
+        for segment, own in equal.items():
+            if len(own) > 1 or weight[own[0]] > 1:  # an interval of two or more, whatever else is there
+                for k in own:
+                    if weight[k] == 1:
+                        yield int(key[k]), int(start[k]), len(segment) - SPAN + 1
+            else:
+                undecided |= len(equal) > 1 or len(segment) > SPAN
+        if not undecided:
+            continue
+        size = sum(len(x) + 1 for x in equal)
         if held and total + size > MERGE:
             yield from merge()
             held, total = [], 0
-        held += own
+        held += equal.values()
         total += size
     if held:
         yield from merge()
