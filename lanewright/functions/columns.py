@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACES = r"[ \t\n\x0B\f\r]+"
+#: White space of Unicode.
+SPACES = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES, -1), "")
 
 
+def token_ids(words_: Column, vocab: int) -> Column:
+    """The ids of an array of words. Each word is hashed once: the fold below reads its digest five times."""
+    return F.transform(F.transform(words_, lambda x: F.sha2(x, 256)), lambda d: folded(d, vocab))
+
+
 def token_id(word: Column, vocab: int) -> Column:
-    """int(sha256(word)) mod (vocab - 1) + 1, folded over 15 hex digits at a time."""
-    m, digest = vocab - 1, F.sha2(word, 256)
+    """int(sha256(word)) mod (vocab - 1) + 1."""
+    return token_ids(F.array(word), vocab)[0]
+
+
+def folded(digest: Column, vocab: int) -> Column:
+    """int(digest) mod (vocab - 1) + 1, over 15 hex digits at a time."""
+    m = vocab - 1
     acc: Column = F.lit(0).cast("long")
     for at in range(0, 64, 15):
         size = min(15, 64 - at)
@@ -28,6 +39,24 @@ def joined_hash(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256)
 
 
+def decoded(ids: Column) -> Column:
+    """Token ids as `<id>`, joined by a blank: hashing cannot be undone."""
+    return F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x.cast("string"), F.lit(">"))), " ")
+
+
+def canonical_json(**fields: Column) -> Column:
+    """A JSON object with sorted keys and the separators ', ' and ': '; texts are quoted as JSON quotes them, all else is as it prints."""
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(c.alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
+    parts = [F.concat(F.lit(f'"{k}": '), F.coalesce(quoted(fields[k]), F.lit("null"))) for k in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+
+
+def json_of_map(entries: Column) -> Column:
+    """The same for a map of texts to numbers."""
+    keys = F.sort_array(F.map_keys(entries))
+    return F.concat(F.lit("{"), F.array_join(F.transform(keys, lambda k: F.concat(F.lit('"'), k, F.lit('": '), F.element_at(entries, k).cast("string"))), ", "), F.lit("}"))
+
+
 def uniform(key: Column, seed: int) -> Column:
     """A number in [0, 1) from seed and key, the same wherever it is computed."""
     return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,7 @@ def is_eval_lane(lane: Column) -> Column:
 
 def firewall_events(shards: DataFrame) -> DataFrame:
     """SHARD_ALLOWED for training shards; FIREWALL_BLOCK and EVAL_SHARD_USED_FOR_EVAL for evaluation shards."""
+    # The names of events, and the reason.
     bad = is_eval_lane(F.col("lane"))
     allowed = shards.where(~bad).select(F.lit("SHARD_ALLOWED").alias("event"), "shard_id", F.col("lane").alias("dataset"), F.lit("training").alias("used_for"), F.lit(False).alias("blocked"))
     blocked = shards.where(bad).select(F.lit("FIREWALL_BLOCK").alias("event"), "shard_id", F.col("lane").alias("dataset"), F.lit("training").alias("used_for"), F.lit(True).alias("blocked"), F.lit("evaluation shard").alias("reason"))
@@ -57,6 +60,39 @@ def ledger_violations(consumed: DataFrame, learned: DataFrame) -> DataFrame:
     return found(consumed, "consumption").unionByName(found(learned, "learning"))
 
 
+def firewall_audit(consumed: DataFrame, learned: DataFrame) -> DataFrame:
+    """Evaluation lanes in the four fields of the ledgers: consumption's shard_sources and dataset_contributions (a map), and
+    learning's source_datasets and shard_sources (arrays), one row for each field, step and lane."""
+    of_shard = lambda x: F.substring_index(x, "_shard_", 1)
+    parts = [
+        (consumed, "consumption", "shard_sources", F.transform("shard_sources", of_shard)),
+        (consumed, "consumption", "dataset_contributions", F.map_keys("dataset_contributions")),
+        (learned, "learning", "source_datasets", F.col("source_datasets")),
+        (learned, "learning", "shard_sources", F.transform("shard_sources", of_shard)),
+    ]
+    rows = [df.select(F.lit(name).alias("ledger"), F.lit(field).alias("field"), "step", F.explode(F.array_distinct(x)).alias("lane")).where(is_eval_lane(F.col("lane"))) for df, name, field, x in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def observed_manifests(shards: DataFrame) -> DataFrame:
+    """shard_id, dataset, document_count, content_hash, tokenizer_hash of shards as they are read; a shard with two tokenizer hashes has none."""
+    rows = shards.select("shard_id", "lane", "doc_id", "tokenizer_hash", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    one = F.when(F.min("tokenizer_hash") == F.max("tokenizer_hash"), F.min("tokenizer_hash"))
+    counts = rows.groupBy("shard_id").agg(F.max("lane").alias("dataset"), F.count("*").alias("document_count"), one.alias("tokenizer_hash"))
+    return counts.join(ordered_hash(rows, ["shard_id"], "doc_id", "h", "content_hash"), "shard_id")
+
+
+class VerificationError(ValueError):
+    """A gate that found a fault."""
+
+
+def require(errors: DataFrame, what: str) -> None:
+    """Raises if a row has not passed; the first few are named."""
+    bad = errors.where("not passed").limit(5).collect()
+    if bad:
+        raise VerificationError(f"{what}: {[tuple(r) for r in bad]}")
+
+
 def selection(docs: DataFrame, seed: int = P.seed) -> DataFrame:
     """Score, decision and reason per candidate document (doc_id, text)."""
     base = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 8), 16, 10).cast("long") % 1000 / 1000.0

@@ -20,12 +20,18 @@ def ngrams(w: Column, n: int | Column) -> Column:
 
 def distinct_ngrams(column: str, n: int) -> Column:
     """Hashes of the distinct n-grams of a column of words (a column: an expression would be evaluated for every n-gram)."""
-    return F.array_distinct(F.transform(ngrams(F.col(column), n), lambda x: F.xxhash64(x)))
+    return F.array_distinct(ngram_hashes(F.col(column), n))
+
+
+def ngram_hashes(w: Column, n: int) -> Column:
+    """Hashes of all runs of n words, of the words in place: no text is built."""
+    last = F.size(w) - n
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(0)) + 1), lambda i: F.xxhash64(F.slice(w, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def repetition(docs: DataFrame, n: int = 5) -> DataFrame:
     """doc_id, n_words, repeated: 1 - distinct / all n-grams (0 if there is none)."""
-    rows = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.transform(ngrams(F.col("w"), n), lambda x: F.xxhash64(x)).alias("g"))
+    rows = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), ngram_hashes(F.col("w"), n).alias("g"))
     share = F.when(F.size("g") > 0, F.round(1 - F.size(F.array_distinct("g")) / F.size("g"), 6)).otherwise(F.lit(0.0))
     return rows.select("doc_id", "n_words", share.alias("repeated"))
 

@@ -39,6 +39,12 @@ def contributions(over: DataFrame, seqs: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("batch_index").alias("step"), "lane").agg(F.sum("real").alias("contrib_compat"), F.sum("tokens").alias("contrib_strict"))
 
 
+def contribution_maps(contributions_: DataFrame) -> DataFrame:
+    """step, dataset_contributions (whole real counts for each source document) and its strict form, as maps of the few lanes."""
+    pairs = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("lane", c))))
+    return contributions_.groupBy("step").agg(pairs("contrib_compat").alias("dataset_contributions"), pairs("contrib_strict").alias("strict_contributions"))
+
+
 def loss(step: str = "step", seed: int = P.seed) -> Column:
     noise = (uniform(F.concat(F.lit("loss:"), F.col(step).cast("string")), seed) - 0.5) * 0.1
     return F.round(F.greatest(F.lit(0.01), F.lit(3.5) * F.exp(F.col(step) * -0.08) + noise), 4)
@@ -88,10 +94,22 @@ def resume_audit(ledger: DataFrame, expected: DataFrame, checkpoint: DataFrame)
     return row.withColumn("result", F.when((F.col("duplicated") == 0) & (F.col("missing") == 0) & (F.col("unexpected") == 0) & (F.col("gaps") == 0), "PASS").otherwise("FAIL"))
 
 
-def fork(batches_: DataFrame, checkpoint: DataFrame) -> DataFrame:
-    """The batches that the checkpoint has not consumed, with the branch's name."""
+def consumed_sets(ledger: DataFrame, every: int = P.checkpoint_every, crash: int = P.crash_at) -> DataFrame:
+    """batch_id, step, first_saved: the first checkpoint that has the batch (null if none yet has).
+
+    The set of a checkpoint is the batches whose first_saved is at most its step: all sets in one table, a row for each batch.
+    """
+    next_ = F.ceil((F.col("step") + 1) / every) * every - 1
+    saved = F.when(F.col("step") <= crash, F.least(next_, F.lit(crash))).otherwise(next_)
+    last = ledger.agg(F.max("step").alias("last"))
+    return ledger.crossJoin(F.broadcast(last)).select("batch_id", "step", F.when(saved <= F.col("last"), saved).alias("first_saved"))  # one row
+
+
+def fork(batches_: DataFrame, consumed: DataFrame, checkpoint: DataFrame) -> DataFrame:
+    """The batches that are not in the checkpoint's consumed set (consumed_sets), whatever their order, with the branch's name."""
     c = checkpoint.select(F.col("step").alias("fork_step"))
-    rows = batches_.join(F.broadcast(c), F.col("batch_index") > F.col("fork_step"))  # one row
+    done = consumed.join(F.broadcast(c), F.col("first_saved") <= F.col("fork_step"), "left_semi").select("batch_id")  # one row
+    rows = batches_.join(done, "batch_id", "left_anti").crossJoin(F.broadcast(c))
     return rows.select("fork_step", F.format_string("branch_from_step_%06d", "fork_step").alias("branch"), "batch_index", "batch_id")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lanewright.sources.shared import materialised
 from lanewright.plans.params import FLOORS, STAGES, TRAIN_LANES, P
 
 
@@ -31,8 +32,8 @@ def staged(df: DataFrame) -> DataFrame:
     return df.join(known, (F.col("step") >= F.col("lo")) & (F.col("step") < F.col("hi")), "left").withColumn("stage", F.coalesce("stage", F.lit(last))).drop("idx", "lo", "hi")
 
 
-def sampler_sql(n: int = P.steps, seed: int = P.seed, spark: bool = True) -> str:
-    """The walk as SQL: step, stage, lane, share of each lane among the draws before (null at the first)."""
+def sampler_sql(n: int = P.steps, seed: int = P.seed, spark: bool = True, done: int = 0, counts: tuple[int, ...] | None = None) -> str:
+    """The walk as SQL: step, stage, lane, share of each lane among the draws before (null at the first). It goes on after `done` draws with their counts."""
     text, rec = ("STRING", "RECURSIVE") if spark else ("VARCHAR", "RECURSIVE")
     u = f"CAST(conv(substr(sha2(concat('{seed}:', CAST(step + 1 AS STRING)), 256), 1, 8), 16, 10) AS DOUBLE) / 4294967296.0D" if spark else f"CAST(CAST('0x' || substr(sha256('{seed}:' || CAST(step + 1 AS VARCHAR)), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0"
     number = "D" if spark else "::DOUBLE"
@@ -56,19 +57,39 @@ def sampler_sql(n: int = P.steps, seed: int = P.seed, spark: bool = True) -> str
     before = ", ".join(f"CASE WHEN step > 0 THEN CAST(c{j} - CASE WHEN lane = '{x}' THEN 1 ELSE 0 END AS DOUBLE) / step END AS before_{x.lower()}" for j, x in enumerate(TRAIN_LANES))
     return f"""
 WITH {rec} walk(step, lane, {counters}) AS (
-  SELECT -1, CAST('' AS {text}), {", ".join("0" for _ in k)}
+  SELECT {done - 1}, CAST('' AS {text}), {", ".join(str(c) for c in counts or [0] * len(k))}
   UNION ALL
   SELECT step + 1, CAST({names} AS {text}), {", ".join(f"c{j} + CASE WHEN pick = {j} THEN 1 ELSE 0 END" for j in k)}
   FROM (SELECT step, {counters}, {pick} AS pick
         FROM (SELECT step, {counters}, u, {", ".join(f"{boosted(j)} AS b{j}" for j in k)}
               FROM (SELECT step, {counters}, {u} AS u, {", ".join(f"{weight(j)} AS w{j}" for j in k)} FROM walk WHERE step < {n - 1}) AS s1) AS s2) AS s3
 )
-SELECT step, {stage} AS stage, lane, {before} FROM walk WHERE step >= 0"""
+SELECT step, {stage} AS stage, lane, {before} FROM walk WHERE step >= {done}"""
 
 
-def sampled(spark: SparkSession, n: int = P.steps) -> DataFrame:
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max(100, n + 2)))
-    return spark.sql(sampler_sql(n))
+def sampled(spark: SparkSession, n: int = P.steps, state: dict[str, int] | None = None) -> DataFrame:
+    """The draws up to step n: all, or those after a saved state (draws of each lane so far). The session's settings stay as they were."""
+    counts = tuple((state or {}).get(lane, 0) for lane in TRAIN_LANES)
+    name = "spark.sql.cteRecursionLevelLimit"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(max(100, n + 2)))
+    try:
+        return materialised(spark.sql(sampler_sql(n, done=sum(counts), counts=counts)))
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def states(drawn: DataFrame, steps_: DataFrame) -> DataFrame:
+    """For each step of `steps_` the sampler's state after it: counts (a map of the lanes), total, stage_idx and rng_position.
+
+    Randomness is a hash of seed and step, so the generator's state is its position.
+    """
+    each = steps_.select("step").join(drawn.select(F.col("step").alias("draw"), "lane"), F.col("draw") <= F.col("step"))  # draws are a bounded list
+    counts = each.groupBy("step", "lane").agg(F.count("*").alias("n")).groupBy("step").agg(F.map_from_entries(F.collect_list(F.struct("lane", "n"))).alias("drawn"), F.sum("n").alias("total"))
+    names = F.array(*map(F.lit, TRAIN_LANES))
+    all_ = F.map_from_arrays(names, F.transform(names, lambda x: F.coalesce(F.element_at("drawn", x), F.lit(0).cast("long"))))
+    staged_ = staged(counts).join(F.broadcast(stages(drawn.sparkSession).select("stage", F.col("idx").alias("stage_idx"))), "stage")
+    return staged_.select("step", all_.alias("counts"), "total", "stage_idx", F.col("total").alias("rng_position"))
 
 
 def clamped(weights: DataFrame, group: str, lane: str, weight: str, floor: str, out: str = "clamped", rounds: int = 8) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewright.functions.columns import words
+from lanewright.functions.columns import token_ids, words
 from lanewright.operators.ordered import ordered_hash, prefix_sum
 from lanewright.plans.params import P
 from lanewright.sources.tables import laned_documents
@@ -63,8 +63,15 @@ def batch_id(index: str = "batch_index") -> Column:
     return F.format_string("batch_%06d", index)
 
 
-def pieces(spark: SparkSession, sf_dir: str, tokens: DataFrame, context: int = P.context) -> DataFrame:
-    """A row per document and sequence with the SHA-256 of the document's words in it; texts never leave their scan's row."""
+def piece_hash(words_: Column) -> Column:
+    return F.sha2(F.array_join(words_, " "), 256)
+
+
+def pieces(spark: SparkSession, sf_dir: str, tokens: DataFrame, context: int = P.context, value: Callable[[Column], Column] = piece_hash) -> DataFrame:
+    """A row per document and sequence with a value (`hash`) of the document's words in it: their SHA-256 unless told otherwise.
+
+    Offsets meet texts by a join, which shuffles the words once where the offsets are too many to broadcast.
+    """
     docs = laned_documents(spark, sf_dir).select(*SHARD, "doc_id", words(F.col("text")).alias("w"))
     offs = offsets(tokens).select("shard_id", "doc_id", "off")
     rows = docs.where(F.size("w") > 0).join(offs, ["shard_id", "doc_id"])
@@ -73,7 +80,7 @@ def pieces(spark: SparkSession, sf_dir: str, tokens: DataFrame, context: int = P
     def piece(k: Column) -> Column:
         skip = F.greatest(k * context - F.col("off"), F.lit(0).cast("long"))
         size = F.least((k + 1) * context - F.col("off"), F.size("w").cast("long")) - skip
-        return F.struct(k.alias("seq"), F.sha2(F.array_join(F.slice("w", (skip + 1).cast("int"), size.cast("int")), " "), 256).alias("hash"))
+        return F.struct(k.alias("seq"), value(F.slice("w", (skip + 1).cast("int"), size.cast("int"))).alias("hash"))
 
     return rows.select(*SHARD, "doc_id", F.explode(F.transform(F.sequence(lo, hi), piece)).alias("x")).select(*SHARD, "doc_id", "x.seq", "x.hash")
 
@@ -83,6 +90,16 @@ def sequence_hashes(spark: SparkSession, sf_dir: str, tokens: DataFrame) -> Data
     return pieces(spark, sf_dir, tokens).groupBy(*SHARD, "seq").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "hash"))), lambda x: x["hash"]), "\n"), 256).alias("hash"))
 
 
+def arrays(spark: SparkSession, sf_dir: str, tokens: DataFrame, context: int = P.context, vocab: int = P.vocab) -> DataFrame:
+    """SHARD, seq, tokens (ids, padded with 0) and mask of every sequence, from the documents' words."""
+    own = pieces(spark, sf_dir, tokens, context, lambda w: token_ids(w, vocab))
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "hash"))), lambda x: x["hash"]))
+    rows = own.groupBy(*SHARD, "seq").agg(ids.alias("ids"))
+    pad = F.lit(context) - F.size("ids")
+    zeros = F.array_repeat(F.lit(0).cast("long"), pad)
+    return rows.select(*SHARD, "seq", F.concat("ids", zeros).alias("tokens"), F.concat(F.transform("ids", lambda _: F.lit(1).cast("long")), zeros).alias("mask"))
+
+
 def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = laned_documents(spark, sf_dir).select(*SHARD, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
     return ordered_hash(rows, SHARD, "doc_id", "h", "content_hash")

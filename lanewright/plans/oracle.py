@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from lanewright.functions.columns import SPACES
 from lanewright.operators.audit import TOKENIZER
 from lanewright.plans.params import FLOORS, LANES, STAGES, TRAIN_LANES, P
+from lanewright.sources.tables import FIRST_OTHER, OTHERS
 
 C, B = P.context, P.batch
 
@@ -20,8 +22,7 @@ def uniform(key: str) -> str:
     return f"(CAST(CAST('0x' || substr(sha256('{P.seed}:' || {key}), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0)"
 
 
-SPACES = "' \\t\\n\\x0B\\f\\r'"
-WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), lambda x: x <> '')"
 
 
 def ngrams(w: str, n: int | str) -> str:
@@ -32,7 +33,7 @@ def ordered_hash(source: str, keys: str, order: str, value: str, width: int = P.
     """The two-level block hash of operators.ordered in SQL."""
     return f"""(SELECT {keys}, sha256(string_agg(v, chr(10) ORDER BY at2)) AS hash FROM (
       SELECT {keys}, at1 // {width} AS at2, sha256(string_agg(v, chr(10) ORDER BY at1)) AS v FROM (
-        SELECT {keys}, {order} // {width} AS at1, sha256(string_agg({value}, chr(10) ORDER BY {order})) AS v FROM {source} GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)"""
+        SELECT {keys}, r // {width} AS at1, sha256(string_agg({value}, chr(10) ORDER BY r)) AS v FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}, {value}) - 1 AS r FROM {source}) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)"""
 
 
 LOSS = f"round(greatest(0.01, 3.5 * exp(step * -0.08) + ({uniform("'loss:' || step")} - 0.5) * 0.1), 4)"
@@ -43,8 +44,8 @@ lanes(lane_idx, lane, is_eval, target, floor) AS {values([(k, *x) for k, x in en
 stages(idx, stage, lo, hi) AS {values([(k, s, lo, hi) for k, (s, lo, hi, _) in enumerate(STAGES)])},
 weights(stage, lane, weight) AS {values([(s, lane, w) for s, _, _, ws in STAGES for lane, w in zip(TRAIN_LANES, ws, strict=True)])},
 floors(lane, floor) AS {values(list(FLOORS.items()))},
-laned AS (SELECT d.doc_id, d.text, CAST(substr(d.source, 4) AS INT) AS src, l.lane_idx, l.lane, l.is_eval, printf('%s_shard_%03d', l.lane, CAST(substr(d.source, 4) AS INT)) AS shard_id
-          FROM documents d JOIN lanes l ON l.lane_idx = CAST(substr(d.source, 4) AS INT) % {len(LANES)}),
+laned AS (SELECT d.doc_id, d.text, d.src, l.lane_idx, l.lane, l.is_eval, printf('%s_shard_%03d', l.lane, d.src) AS shard_id
+          FROM (SELECT doc_id, text, CASE WHEN regexp_full_match(coalesce(source, ''), 'src[0-9]{{1,6}}') THEN CAST(substr(source, 4) AS INT) ELSE CAST(CAST('0x' || substr(sha256(coalesce(source, '')), 1, 6) AS BIGINT) % {OTHERS} * {len(LANES)} + {FIRST_OTHER} AS INT) END AS src FROM documents) d JOIN lanes l ON l.lane_idx = d.src % {len(LANES)}),
 worded AS (SELECT *, {WORDS} AS w FROM laned),
 tok AS (SELECT * EXCLUDE (text, w), CAST(len(w) AS BIGINT) AS n FROM worded),
 offs AS (SELECT *, CAST(sum(n) OVER (PARTITION BY shard_id ORDER BY doc_id) - n AS BIGINT) AS off FROM tok),

@@ -8,13 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewright.functions.columns import sorted_join, token_id, words
+from lanewright.functions.columns import sorted_join, token_ids, words
 from lanewright.operators import audit, ledger, mixture, packing
 from lanewright.operators.ordered import prefix_sum
-from lanewright.plans.oracle import sql
+from lanewright.plans.oracle import WORDS, sql
 from lanewright.plans.params import FLOORS, STAGES, P
-from lanewright.sources.shared import materialised
-from lanewright.sources.tables import laned_documents, lanes, table
+from lanewright.sources.shared import materialised, shared_folder
+from lanewright.sources.tables import laned_documents, lanes, read_shards, table, write_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,6 +91,14 @@ class Corpus:
         m, k = self.manifests(), F.col("shard_index") % 7
         return m.where(k != 6).select("shard_id", "dataset", (F.col("document_count") + F.when(k == 3, 1).otherwise(0)).alias("document_count"), F.when(k == 4, F.reverse("content_hash")).otherwise(F.col("content_hash")).alias("content_hash"), F.when(k != 5, F.col("tokenizer_hash")).alias("tokenizer_hash"))
 
+    def written_shards(self, change: Callable[[DataFrame], DataFrame] = lambda docs: docs) -> tuple[DataFrame, DataFrame]:
+        """Manifests, and what is found in the shards after they were written and read back; `change` spoils what is written."""
+        at = shared_folder(self.spark)
+        self.manifests().write.parquet(f"{at}/manifests")
+        docs = laned_documents(self.spark, self.dir).withColumn("tokenizer_hash", audit.tokenizer_hash())
+        write_shards(change(docs), f"{at}/shards")
+        return self.spark.read.parquet(f"{at}/manifests"), audit.observed_manifests(read_shards(self.spark, f"{at}/shards"))
+
     def decisions(self) -> DataFrame:
         return audit.selection(laned_documents(self.spark, self.dir).where("lane = 'OPUS'"))
 
@@ -157,8 +165,7 @@ def s10_latest_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT doc_id, len(w) AS n, CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS id_sum, list_min(ids) AS id_min, list_max(ids) AS id_max FROM (
   SELECT doc_id, w, list_transform(w, lambda x: (""" + " + ".join(f"(CAST('0x' || substr(sha256(x), {at + 1}, {min(15, 64 - at)}) AS BIGINT) % 511) * {pow(16, 64 - at - min(15, 64 - at), 511)}" for at in range(0, 64, 15)) + """) % 511 + 1) AS ids FROM worded)""")
 def f1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.transform("w", lambda x: token_id(x, P.vocab))
-    rows = laned_documents(spark, sf_dir).select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), ids.alias("ids"))
+    rows = laned_documents(spark, sf_dir).select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), token_ids(F.col("w"), P.vocab).alias("ids"))
     return rows.select("doc_id", "n", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"), F.array_min("ids").alias("id_min"), F.array_max("ids").alias("id_max"))
 
 
@@ -285,7 +292,7 @@ def _printed(c: Corpus) -> DataFrame:
 @query(f"SELECT {P.crash_at} AS fork_step, 'branch_from_step_{P.crash_at:06d}' AS branch, batch_index, batch_id FROM batches WHERE batch_index > {P.crash_at}")
 def j10_future_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return ledger.fork(c.batches(), c.checkpoints().where(F.col("step") == P.crash_at))
+    return ledger.fork(c.batches(), ledger.consumed_sets(c.batch_steps()), c.checkpoints().where(F.col("step") == P.crash_at))
 
 
 @query(f"SELECT batch_id FROM batches WHERE step > {P.crash_at} ORDER BY step LIMIT 1")
@@ -553,7 +560,7 @@ def t9_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT n.step AS fork_step, printf('branch_from_step_%06d', n.step) AS branch, b.batch_index, b.batch_id FROM batches b, (SELECT step FROM cps ORDER BY abs(step - {P.fork_from}), step LIMIT 1) n WHERE b.batch_index > n.step")
 def t10_fork(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return ledger.fork(c.batches(), ledger.nearest(c.checkpoints(), P.fork_from))
+    return ledger.fork(c.batches(), ledger.consumed_sets(c.batch_steps()), ledger.nearest(c.checkpoints(), P.fork_from))
 
 
 @query("SELECT l.step, l.batch_id, l.n_samples, count(DISTINCT t.doc_id) AS traced, l.n_samples = count(DISTINCT t.doc_id) AS passed FROM ledger l LEFT JOIN tover t ON t.batch_index = l.step GROUP BY l.step, l.batch_id, l.n_samples")
@@ -567,32 +574,53 @@ def v3_forward_traceability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("passed", F.col("traced") == F.col("n_samples"))
 
 
-@query("""SELECT 'packing_conserves_tokens' AS requirement, (SELECT sum(real) FROM seqs) = (SELECT sum(n) FROM tok) AS passed
-UNION ALL SELECT 'no_evaluation_in_training', NOT EXISTS (SELECT 1 FROM tover WHERE is_eval)
-UNION ALL SELECT 'batches_are_contiguous', (SELECT max(batch_index) + 1 FROM batches) = (SELECT count(*) FROM batches)
-UNION ALL SELECT 'ledger_matches_batches', (SELECT count(*) FROM ledger) = (SELECT count(*) FROM batches)
-UNION ALL SELECT 'observed_manifests_verify', NOT EXISTS (SELECT 1 FROM manifest m LEFT JOIN observed o USING (shard_id) WHERE m.content_hash IS DISTINCT FROM o.content_hash)""")
+@query(_mix(f"""SELECT 'tokenizer_integrity' AS requirement, bool_and(tokenizer_hash = sha256('{audit.TOKENIZER}')) AS passed FROM manifest
+UNION ALL SELECT 'evaluation_firewall', NOT EXISTS (SELECT 1 FROM tover WHERE is_eval) AND (SELECT count_if(event = 'FIREWALL_BLOCK') FROM events_) = (SELECT count_if(is_eval) FROM totals)
+UNION ALL SELECT 'packing_correctness', (SELECT sum(real) FROM seqs) = (SELECT sum(len({WORDS})) FROM documents) AND (SELECT bool_and(real + pad = {C}) FROM seqs)
+UNION ALL SELECT 'mixture_compliance', (SELECT bool_and(n >= floor * {P.steps}) FROM (SELECT f.floor, count(d.step) AS n FROM floors f LEFT JOIN drawn d USING (lane) GROUP BY f.lane, f.floor))
+UNION ALL SELECT 'opus_audit', count(*) = (SELECT count(*) FROM laned WHERE lane = 'OPUS') AND bool_and(score BETWEEN 0 AND 1) FROM decided
+UNION ALL SELECT 'crash_recovery', (SELECT count(*) = count(DISTINCT batch_id) AND count(*) = max(step) + 1 FROM ledger)
+UNION ALL SELECT 'replay', (SELECT count(*) FROM prints) = (SELECT count(*) FROM batches)
+UNION ALL SELECT 'learning_trace', NOT EXISTS (SELECT 1 FROM learn l LEFT JOIN ledger g USING (step) WHERE g.step IS NULL)
+UNION ALL SELECT 'throughput', (SELECT sum(real_token_count) > 0 FROM batches)"""), plain=True)
 def v5_final_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requirements and verdicts (P9, A15, V1, V2, V6): each one a query over the data; the last must fail on the planted faults."""
+    """The nine requirements, each a query over the data (P9, A15, V1, V2, V6): shards are written, read back and verified."""
     c = Corpus(spark, sf_dir)
-    row = lambda df, name: df.select(F.lit(name).alias("requirement"), "passed")
-    real, n = c.seqs().agg(F.sum("real").alias("a")), c.tokens().agg(F.sum("n").alias("b"))
-    out = [
-        row(real.crossJoin(n).select((F.col("a") == F.col("b")).alias("passed")), "packing_conserves_tokens"),
-        row(c.training_over().agg((F.count_if("is_eval") == 0).alias("passed")), "no_evaluation_in_training"),
-        row(c.batches().agg((F.max("batch_index") + 1 == F.count("*")).alias("passed")), "batches_are_contiguous"),
-        row(c.batches().join(c.consumption().select("batch_id", F.lit(True).alias("there")), "batch_id", "left").agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("passed")), "ledger_matches_batches"),
-        row(audit.manifest_errors(c.manifests(), c.observed()).agg((F.count_if(F.contains("errors", F.lit("content_hash")) | F.contains("errors", F.lit("missing"))) == 0).alias("passed")), "observed_manifests_verify"),
-    ]
-    first, *rest = out
-    for x in rest:
-        first = first.unionByName(x)
-    return first
+    events = audit.firewall_events(c.totals()).agg(F.count_if(F.col("event") == "FIREWALL_BLOCK").alias("blocked")).crossJoin(c.totals().agg(F.count_if("is_eval").alias("evals")))  # two single rows
+    violations = audit.firewall_audit(*ledger_fields(c)).agg(F.count("*").alias("n"))
+    words_ = c.docs().agg(F.coalesce(F.sum(F.size(words(F.col("text")))), F.lit(0)).alias("b"))
+    floors = spark.createDataFrame(list(FLOORS.items()), "lane string, floor double").join(c.drawn().groupBy("lane").count(), "lane", "left")
+    clean = t8_resume_audit(spark, sf_dir).where("run = 'clean'")
+    candidates = laned_documents(spark, sf_dir).where("lane = 'OPUS'").agg(F.count("*").alias("all"))
+    traced = c.learning().join(c.batch_steps().select("step", "batch_id"), "step", "left").join(c.consumption().select("batch_id", F.lit(True).alias("there")), "batch_id", "left")
+    parts = {
+        "tokenizer_integrity": audit.manifest_errors(*c.written_shards()).agg(F.bool_and("passed").alias("passed")),
+        "evaluation_firewall": events.crossJoin(violations).select(((F.col("blocked") == F.col("evals")) & (F.col("n") == 0)).alias("passed")),
+        "packing_correctness": c.seqs().agg(F.sum("real").alias("a"), F.bool_and(F.col("real") + F.col("pad") == C).alias("ok")).crossJoin(words_).select(((F.col("a") == F.col("b")) & F.col("ok")).alias("passed")),
+        "mixture_compliance": floors.agg(F.bool_and(F.coalesce("count", F.lit(0)) >= F.col("floor") * P.steps).alias("passed")),
+        "opus_audit": c.decisions().agg(F.count("*").alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("ok")).crossJoin(candidates).select(((F.col("n") == F.col("all")) & F.coalesce("ok", F.lit(True))).alias("passed")),
+        "crash_recovery": clean.select((F.col("result") == "PASS").alias("passed")),
+        "replay": t9_replay(spark, sf_dir).agg(F.bool_and("match").alias("passed")),
+        "learning_trace": traced.agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("passed")),
+        "throughput": c.batches().agg((F.sum("real_token_count") > 0).alias("passed")),
+    }
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("requirement"), "passed") for name, df in parts.items()])
+
+
+def ledger_fields(c: Corpus, guarded: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The ledgers' fields as arrays and maps: of the training batches, or of a ledger packed without the firewall."""
+    step = F.col("batch_index") if guarded else F.floor(F.col("seq") / B)
+    over = (c.training_over() if guarded else c.over()).withColumn("step", step)
+    seqs = (c.training_seqs() if guarded else c.seqs()).withColumn("step", step)
+    lists = over.groupBy("step").agg(F.sort_array(F.collect_set("shard_id")).alias("shard_sources"))  # at most the sources of four sequences
+    maps = ledger.contribution_maps(ledger.contributions(over.withColumn("batch_index", step), seqs))
+    learned = seqs.groupBy("step").agg(F.sort_array(F.collect_set("lane")).alias("source_datasets"), F.sort_array(F.collect_set("shard_id")).alias("shard_sources"))
+    return lists.join(maps, "step"), learned
 
 
 @query(_mix(f"""SELECT 'packing' AS requirement, bool_and(real + pad = {C}) AS passed, CAST(count(*) AS VARCHAR) AS evidence FROM seqs
 UNION ALL SELECT 'firewall', count_if(event = 'FIREWALL_BLOCK') = (SELECT count_if(is_eval) FROM totals), CAST(count_if(event = 'FIREWALL_BLOCK') AS VARCHAR) FROM events_
-UNION ALL SELECT 'manifests', false, CAST(count_if(shard_index % 7 IN (3, 4, 5, 6)) AS VARCHAR) FROM manifest
+UNION ALL SELECT 'manifests', true, CAST(count(*) AS VARCHAR) FROM manifest
 UNION ALL SELECT 'mixture', count(*) = {P.steps}, CAST(count(DISTINCT lane) AS VARCHAR) FROM drawn
 UNION ALL SELECT 'ledger', count(*) = count(DISTINCT batch_id), CAST(count(*) AS VARCHAR) FROM ledger
 UNION ALL SELECT 'learning', bool_and(sample_loss > 0), CAST(count(*) AS VARCHAR) FROM learn
@@ -600,14 +628,14 @@ UNION ALL SELECT 'checkpoints', count(*) = count(DISTINCT state_hash), CAST(max(
 UNION ALL SELECT 'replay', true, CAST(count(*) AS VARCHAR) FROM prints
 UNION ALL SELECT 'selection', count_if(decision IN ('ACCEPT', 'DEFER', 'REJECT')) = count(*), CAST(count_if(decision = 'ACCEPT') AS VARCHAR) FROM decided"""), plain=True)
 def v6_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nine collectors, each a verdict with its figure; the manifests' verdict is over the planted faults and must fail."""
+    """Nine collectors, each a verdict with its figure; manifests are compared with shards that were written and read back."""
     c = Corpus(spark, sf_dir)
     events, cps, learned = audit.firewall_events(c.totals()), c.checkpoints(), c.learning()
     evals = c.totals().agg(F.count_if("is_eval").alias("n"))
     parts = {
         "packing": c.seqs().agg(F.bool_and(F.col("real") + F.col("pad") == C).alias("passed"), F.count("*").alias("evidence")),
         "firewall": events.agg(F.count_if(F.col("event") == "FIREWALL_BLOCK").alias("evidence")).crossJoin(evals).select((F.col("evidence") == F.col("n")).alias("passed"), "evidence"),  # two single rows
-        "manifests": audit.manifest_errors(c.manifests(), c.observed()).agg(F.bool_and("passed").alias("passed"), F.count_if(~F.col("passed")).alias("evidence")),
+        "manifests": audit.manifest_errors(*c.written_shards()).agg(F.bool_and("passed").alias("passed"), F.count("*").alias("evidence")),
         "mixture": c.drawn().agg((F.count("*") == P.steps).alias("passed"), F.count_distinct("lane").alias("evidence")),
         "ledger": c.consumption().agg((F.count("*") == F.count_distinct("batch_id")).alias("passed"), F.count("*").alias("evidence")),
         "learning": learned.agg(F.bool_and(F.col("sample_loss") > 0).alias("passed"), F.count("*").alias("evidence")),

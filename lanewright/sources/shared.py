@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under `spark.checkpoint.dir`, or (unset, as in tests) under a temporary one."""
+    """A fresh folder under `spark.checkpoint.dir`; only a local run may leave that unset and gets a temporary one."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_lanewright_folder", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_lanewright_folder", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = sc._lanewright_folder = tempfile.mkdtemp(prefix="lanewright-")
     return f"{base.rstrip('/')}/lanewright-{uuid.uuid4().hex[:12]}"
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from lanewright.plans.params import LANES
 
+#: Shards for documents without a numbered source, and the number of the first (a multiple of the number of lanes).
+OTHERS = 8
+FIRST_OTHER = 1_200_000
+
 SHARD_FILE = (
     "manifest STRUCT<shard_id STRING, dataset STRING, document_count BIGINT, content_hash STRING, tokenizer_hash STRING, shard_index INT, is_eval BOOLEAN, created_at STRING>, "
     "documents ARRAY<STRUCT<doc_id STRING, dataset STRING, text STRING, meta STRUCT<source STRING, index INT, word_count INT>>>"
@@ -23,10 +27,15 @@ def lanes(spark: SparkSession) -> DataFrame:
 
 
 def laned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, text, src, lane_idx, lane, is_eval, shard_id: a source is a shard, its number mod 6 the lane."""
+    """doc_id, text, src, lane_idx, lane, is_eval, shard_id: a source is a shard, its number mod 6 the lane.
+
+    Sources without a number, or none at all, share OTHERS shards of the first lane, so that no document is lost.
+    """
     docs = table(spark, sf_dir, "documents")
-    src = F.expr("try_cast(substr(source, 4) AS INT)")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", src.alias("src")).where("src is not null")
+    source = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    other = F.conv(F.substring(F.sha2(source, 256), 1, 6), 16, 10).cast("int") % OTHERS * len(LANES) + FIRST_OTHER
+    src = F.when(source.rlike("^src[0-9]{1,6}$"), F.substring(source, 4, 6).try_cast("int")).otherwise(other)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", src.alias("src"))
     rows = docs.withColumn("lane_idx", F.pmod("src", F.lit(len(LANES)))).join(F.broadcast(lanes(spark)), "lane_idx")  # 6 rows
     return rows.select("doc_id", "text", "src", "lane_idx", "lane", "is_eval", F.format_string("%s_shard_%03d", "lane", "src").alias("shard_id"))
 
@@ -36,6 +45,16 @@ def write_shards(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("lane", "shard_id").parquet(path)
 
 
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """All shards as they were written."""
+    return spark.read.parquet(path)
+
+
+def write_object(df: DataFrame, path: str) -> None:
+    """Rows as JSON, over what was there; for small reports."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
 def read_shard(spark: SparkSession, path: str, shard_id: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("shard_id") == shard_id)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 
@@ -14,14 +15,14 @@ from pyspark.sql import functions as F
 from lanewright.functions.columns import token_id, words
 from lanewright.operators import audit, gates, ledger, mixture, packing
 from lanewright.operators.ordered import ordered_hash, prefix_sum
-from lanewright.plans import gate_queries
-from lanewright.plans.params import EVAL_LANES, LANES
+from lanewright.plans import gate_queries, verify_queries
+from lanewright.plans.params import EVAL_LANES, FLOORS, LANES, STAGES, TRAIN_LANES
 from lanewright.plans.queries import ORACLE, QUERIES
 from lanewright.sources import tables
 from lanewright.streaming import ledger as stream
 from lanewright.streaming import queries as stream_queries
 
-assert gate_queries and stream_queries
+assert gate_queries and stream_queries and verify_queries
 SMALL = f"{DATA}/sf0.001"
 
 
@@ -112,10 +113,23 @@ def test_nearest_checkpoint_takes_the_lower_of_two(spark: SparkSession) -> None:
     assert [r["step"] for r in rows.orderBy("step").collect()] == [9, 19, 22, 29, 39]
     assert ledger.nearest(rows, 14)["step"] is not None and ledger.nearest(rows, 14).first()["step"] == 9
     assert ledger.latest(rows).first()["step"] == 39 and ledger.latest(rows.limit(0)).count() == 0
-    future = ledger.fork(steps(spark, list(range(35))).withColumnRenamed("step", "batch_index"), ledger.nearest(rows, 10))
+    done = steps(spark, list(range(40)))
+    future = ledger.fork(steps(spark, list(range(35))).withColumnRenamed("step", "batch_index"), ledger.consumed_sets(done), ledger.nearest(rows, 10))
     assert future.count() == 25 and future.first()["branch"] == "branch_from_step_000009"
 
 
+def test_fork_follows_the_consumed_set_and_not_the_order(spark: SparkSession) -> None:
+    """Step k consumed batch (k * 7) mod 40; step 4 consumed none."""
+    rows = [(k, f"batch_{k * 7 % 40:06d}") for k in range(40) if k != 4]
+    consumed = ledger.consumed_sets(spark.createDataFrame(rows, "step long, batch_id string"))
+    batches = spark.createDataFrame([(k, f"batch_{k:06d}") for k in range(40)], "batch_index long, batch_id string")
+    saved = spark.createDataFrame([(9,)], "step long")
+    want = set(range(40)) - {k * 7 % 40 for k in range(10) if k != 4}
+    assert {r["batch_index"] for r in ledger.fork(batches, consumed, saved).collect()} == want
+    by_batch = {r["step"]: r["first_saved"] for r in consumed.collect()}
+    assert (by_batch[0], by_batch[9], by_batch[20], by_batch[22], by_batch[23], by_batch[39]) == (9, 9, 22, 22, 29, 39)
+
+
 def test_stage_edges(spark: SparkSession) -> None:
     df = spark.createDataFrame([(s,) for s in (14, 15, 34, 35, 10000)], "step int")
     assert [r["stage"] for r in mixture.staged(df).orderBy("step").collect()] == ["warmup", "main", "main", "cooldown", "cooldown"]
@@ -127,6 +141,87 @@ def test_sampler_is_reproducible_and_keeps_soft_floors(spark: SparkSession) -> N
     assert sum(r["lane"] == "BOOKS" for r in a) / 90 > 0.05
 
 
+def walk(n: int, counts: dict[str, int], done: int) -> list[tuple[int, str, str]]:
+    """The sampler by a plain loop: stage weights, soft floors over the draws so far, and a choice by a hash of seed and step."""
+    counts, out = dict(counts), []
+    for step in range(done, n):
+        stage, weights = next(((s, dict(zip(TRAIN_LANES, w, strict=True))) for s, lo, hi, w in STAGES if lo <= step < hi), (STAGES[-1][0], dict(zip(TRAIN_LANES, STAGES[-1][3], strict=True))))
+        for lane, floor in FLOORS.items():
+            if step and counts[lane] / step < floor:
+                weights[lane] = max(weights[lane], floor + (floor - counts[lane] / step))
+        u = int(hashlib.sha256(f"42:{step}".encode()).hexdigest()[:8], 16) / 4294967296 * sum(weights.values())
+        reached = 0.0
+        for lane in TRAIN_LANES:
+            reached += weights[lane]
+            if u < reached or lane == TRAIN_LANES[-1]:
+                break
+        counts[lane] += 1
+        out.append((step, stage, lane))
+    return out
+
+
+def test_sampler_against_a_plain_walk_and_resumed_from_a_state(spark: SparkSession) -> None:
+    want = walk(90, dict.fromkeys(TRAIN_LANES, 0), 0)
+    drawn = mixture.sampled(spark, 90)
+    assert sorted((r["step"], r["stage"], r["lane"]) for r in drawn.collect()) == want
+    state = {r["step"]: r for r in mixture.states(drawn, spark.createDataFrame([(0,), (37,)], "step int")).collect()}
+    saved = dict(state[37]["counts"])
+    assert saved == {lane: sum(x[2] == lane for x in want[:38]) for lane in TRAIN_LANES} and (state[37]["total"], state[37]["rng_position"], state[37]["stage_idx"]) == (38, 38, 2)
+    assert sorted((r["step"], r["stage"], r["lane"]) for r in mixture.sampled(spark, 90, saved).collect()) == want[38:] == walk(90, saved, 38)
+    assert sum(state[0]["counts"].values()) == 1
+    before = spark.conf.get("spark.sql.cteRecursionLevelLimit", None)
+    mixture.sampled(spark, 150)
+    assert spark.conf.get("spark.sql.cteRecursionLevelLimit", None) == before
+
+
+def test_ordered_computations_on_hashed_ids(spark: SparkSession) -> None:
+    """Ids that are hashes of 64 bits, and sparse ones, fill blocks like dense ones; equal ids are ordered by the value."""
+    rows = [("a", (k * 0x9E3779B97F4A7C15 + 2**63) % 2**64 - 2**63, k) for k in range(3000)] + [("b", k * 10**12, k) for k in range(500)] + [("c", None, 4), ("c", 7, 1), ("c", 7, 2)]
+    df = spark.createDataFrame(rows, "g string, id long, n long")
+    out = prefix_sum(df, ["g"], "id", "n", "off", 100, "n")
+    want = []
+    for g in "abc":
+        total = 0
+        for _, k, n in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+            want.append((g, k, n, total))
+            total += n
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    plan = out._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan.split("Physical Plan")[1].split("Window")[0]
+    h = ordered_hash(df.withColumn("v", F.col("n").cast("string")), ["g"], "id", "v", "h", 100)
+
+    def plain(values: list[str]) -> str:
+        sha = lambda x: hashlib.sha256("\n".join(x).encode()).hexdigest()
+        for _ in range(2):
+            values = [sha(values[k : k + 100]) for k in range(0, len(values), 100)]
+        return sha(values)
+
+    assert {r["g"]: r["h"] for r in h.collect()} == {g: plain([str(x[2]) for x in want if x[0] == g]) for g in "abc"}
+
+
+def test_no_document_is_lost_for_its_source(spark: SparkSession, tmp_path) -> None:
+    rows = [(1, "a b", "src3"), (2, "c", None), (3, "d e f", "web"), (4, "g", "src-5"), (5, None, ""), (6, "h\u00a0i\u2003j", "src12345678"), (7, "k", "src0")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r["doc_id"]: r for r in tables.laned_documents(spark, str(tmp_path)).collect()}
+    assert len(out) == 7 and all(out[k]["lane"] == LANES[0][0] and not out[k]["is_eval"] for k in (2, 3, 4, 5, 6))
+    counts = packing.token_counts(spark, str(tmp_path))
+    assert counts.groupBy().sum("n").first()[0] == 2 + 1 + 3 + 1 + 0 + 3 + 1
+    total = QUERIES["a1_packing_validation"](spark, str(tmp_path)).first()
+    assert total["conserved"] and total["real_tokens"] == 11
+    for name in ("pack_report", "v5_final_verification", "s2_shard_manifests"):
+        assert difference(QUERIES[name](spark, str(tmp_path)), connection(str(tmp_path)), ORACLE[name]) == ""
+
+
+def test_gates_find_planted_cases(spark: SparkSession) -> None:
+    line = " ".join(f"w{k}" for k in range(30))
+    benchmark = spark.createDataFrame([(1, line), (2, "something else of some words here")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before\n{line} tail\nafter"), (2, "no line of it"), (3, None)], "doc_id long, text string")
+    assert {tuple(r) for r in gates.similar_lines(docs, benchmark).collect()} == {(1, 1)}
+    near = [1.0] * 64
+    vectors = spark.createDataFrame([(100, near), (101, near[:-1] + [0.5]), (102, [(-1.0) ** k for k in range(64)]), (103, [0.0] * 64)], "vec_id long, embedding array<float>")
+    assert {(r["query_id"], r["vec_id"]) for r in gates.similar_vectors(vectors).collect()} == {(100, 101)}
+
+
 def test_hard_floors(spark: SparkSession) -> None:
     """Two lanes at or under their floors; floors beyond one; no weight at all."""
     rows = [("x", "a", 0.9, None), ("x", "b", 0.05, 0.2), ("x", "c", 0.05, 0.1), ("y", "a", 0.5, 0.8), ("y", "b", 0.5, 0.8), ("z", "a", 0.0, 0.3), ("z", "b", 0.0, None)]
@@ -228,6 +323,9 @@ def test_rest_imports_without_the_training_data_operators() -> None:
     import sys
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    other = "import sys\nsys.modules['zstandard'] = None\nimport __spark_entry__ as e\nassert 'pack_report' in e.queries() and e.oracle_sql() and not any(k.startswith('op') for k in e.queries())"
+    if os.path.isdir(os.path.join(root, "lanewright", "llm")):
+        assert subprocess.run([sys.executable, "-c", other], cwd=root).returncode == 0
     code = "import sys\nclass Gone:\n    def find_spec(self, name, *a):\n        if name.split('.')[:2] == ['lanewright', 'llm'] or name == 'corpus_pipeline': raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, Gone())\nimport __spark_entry__ as e\nassert 'pack_report' in e.queries() and not any(k.startswith('op') for k in e.queries()) and e.oracle_sql()"
     assert subprocess.run([sys.executable, "-c", code], cwd=root).returncode == 0
 
@@ -236,8 +334,25 @@ def test_whole_run(spark: SparkSession, tmp_path) -> None:
     from lanewright.plans import run
 
     verdict = run.run(spark, SMALL, str(tmp_path))
-    assert verdict["result"] == "PASS" and verdict["missing"] == []
+    # Of 40 draws BOOKS gets 2, under its floor of a tenth (the walk of the tests draws the same), and nothing else fails.
+    short = [lane for lane, floor in FLOORS.items() if sum(x[2] == lane for x in walk(40, dict.fromkeys(TRAIN_LANES, 0), 0)) < floor * 40]
+    assert short == ["BOOKS"] and verdict["failed"] == ["mixture_compliance"] and verdict["result"] == "FAIL" and verdict["missing"] == []
     assert "| packing | PASS |" in "\n".join(r[0] for r in spark.read.text(f"{tmp_path}/evidence_md").collect())
+    # A character changed in one shard, or a shard that is gone, ends the next run over the same shards.
+    assert run.run.__defaults__ == (False,)
+    shard = next(p for p in sorted((tmp_path / "shards").rglob("*.parquet")))
+    rows = spark.read.parquet(str(shard)).collect()
+    changed = spark.createDataFrame([(*r[:1], (r["text"] or "") + ".", *r[2:]) for r in rows], spark.read.parquet(str(shard)).schema)
+    changed.coalesce(1).write.parquet(str(tmp_path / "changed"))
+    os.replace(next((tmp_path / "changed").glob("*.parquet")), shard)
+    for crc in shard.parent.glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(audit.VerificationError, match="content_hash differs"):
+        run.run(spark, SMALL, str(tmp_path), keep_shards=True)
+    for file in list(shard.parent.iterdir()):
+        file.unlink()
+    with pytest.raises(audit.VerificationError, match="shard missing"):
+        run.verify(spark, str(tmp_path))
     assert run.throughput(35, 137, 16824, 1.0)["packing_efficiency"] == 0.9594
 
 
