@@ -8,7 +8,7 @@ holds of the model is page cache. Only discounts (counts of counts, one row a ra
 
 Files are written under a temporary name and renamed; a task that runs again writes the same content.
 
-Defined cases: null or empty text is the end token alone; with no training row every probability is that of an unknown
+Defined cases: null or empty text is the end token alone; ties of hashes (64 bits) count as one token; with no training row every probability is that of an unknown
 token in an empty model (uniform over one); repeated rows count each; a null doc_id counts as the empty string for the
 split; very long texts are scored whole; other columns are ignored.
 """
@@ -64,6 +64,13 @@ def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
     return (((key >> U64(48)) * U64(ranges)) >> U64(16)).astype(np.int64)
 
 
+def _slices(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, first index, index after the last) of the parts that occur, for sorted parts."""
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, int)
+    for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(part[lo]), lo, hi
+
+
 def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys, sorted, and the sums of the values of each."""
     order = np.argsort(key, kind="stable")
@@ -135,10 +142,8 @@ class Model:
         """Values (columns x keys, 0 if absent) for sorted keys."""
         out = np.zeros((columns, len(keys)), np.int64)
         part = _range_of(keys, self.ranges)
-        cut = np.searchsorted(part, np.arange(self.ranges + 1))
-        for p in range(self.ranges):
-            lo, hi = cut[p], cut[p + 1]
-            if lo == hi or (known := self._open(name, p)) is None or not len(known):
+        for p, lo, hi in _slices(part):
+            if (known := self._open(name, p)) is None or not len(known):
                 continue
             values = self._open(f"{name}-values", p)
             at = np.minimum(np.searchsorted(known, keys[lo:hi]), len(known) - 1)
@@ -206,8 +211,7 @@ def train(docs: DataFrame) -> Model:
         key, first, n = np.unique(bigram_key(u, v), return_index=True, return_counts=True)
         u, v = u[first] >> U64(16), v[first]
         part = _range_of(key, ranges)
-        cut = np.searchsorted(part, np.arange(ranges + 1))
-        rows = [(p, _packed(v[lo:hi], (u[lo:hi]).astype(np.uint32), (u[lo:hi] >> U64(32)).astype(np.uint16), n[lo:hi].astype(np.uint32))) for p in range(ranges) if (lo := cut[p]) < (hi := cut[p + 1])]
+        rows = [(p, _packed(v[lo:hi], (u[lo:hi]).astype(np.uint32), (u[lo:hi] >> U64(32)).astype(np.uint16), n[lo:hi].astype(np.uint32))) for p, lo, hi in _slices(part)]
         yield pd.DataFrame(rows, columns=["part", "data"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,14 +228,14 @@ def train(docs: DataFrame) -> Model:
             as_u = _sum_by(u, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64))
             as_v = _sum_by(v, c, np.ones(len(c), np.int64))
             stats = np.array([*_counts_of_counts(c), len(c)], np.int64)
-            cut_u = np.searchsorted(_range_of(as_u[0] << U64(16), ranges), np.arange(ranges + 1))
-            cut_v = np.searchsorted(_range_of(as_v[0], ranges), np.arange(ranges + 1))
+            # Only ranges that get something, and this one, which takes the counts of counts on.
+            of_u = {q: (a, b) for q, a, b in _slices(_range_of(as_u[0] << U64(16), ranges))}
+            of_v = {q: (e, f) for q, e, f in _slices(_range_of(as_v[0], ranges))}
             out = []
-            for q in range(ranges):
-                a, b, e, f = cut_u[q], cut_u[q + 1], cut_v[q], cut_v[q + 1]
+            for q in sorted({p, *of_u, *of_v}):
+                (a, b), (e, f) = of_u.get(q, (0, 0)), of_v.get(q, (0, 0))
                 own = stats if q == p else np.zeros(5, np.int64)
-                if a < b or e < f or q == p:
-                    out.append((q, _packed(as_u[0][a:b], *(x[a:b].astype(np.uint32) for x in as_u[1:])), _packed(as_v[0][e:f], *(x[e:f].astype(np.uint32) for x in as_v[1:])), own.tolist()))
+                out.append((q, _packed(as_u[0][a:b], *(x[a:b].astype(np.uint32) for x in as_u[1:])), _packed(as_v[0][e:f], *(x[e:f].astype(np.uint32) for x in as_v[1:])), own.tolist()))
             yield pd.DataFrame(out, columns=["part", "before", "after", "stats"])
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
