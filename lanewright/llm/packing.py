@@ -102,37 +102,49 @@ def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, shard: i
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "h", spread), F.lit(shards)).cast("int"))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, rest, plan, at, fulls = None, [], None, 0, 0
+        now, items, plan, fulls = None, [], None, 0
+        where: dict[tuple[int, str], list[int]] = {}
+
+        def placed(part: pd.DataFrame) -> pd.DataFrame:
+            nonlocal fulls
+            bin_of, place, sizes = plan
+            out = []
+            for doc, h, n, text in zip(part["doc_id"].tolist(), part["h"].tolist(), part["n"].tolist(), part["text"].tolist(), strict=True):
+                if not n:
+                    out.append((doc, -1, 0, 0, None, None, None, text))
+                    continue
+                full, left = divmod(n, most)
+                own = pieces(text, n, most, full + (left > 0)) if full else [text]
+                for k in range(full):
+                    out.append((doc, k, k * most, most, f"{now}-full-{fulls}", most, 0, own[k]))
+                    fulls += 1
+                if left:
+                    at = where[doc, h].pop()
+                    out.append((doc, full, full * most, left, f"{now}-{bin_of[at]}", sizes[bin_of[at]], place[at], own[full]))
+            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "n_tokens", "bin_id", "capacity", "bin_start", "text"])
+            return frame.astype({"capacity": "Int32", "bin_start": "Int64"})
+
         for b in batches:
             key = b["shard"].to_numpy() * 2 + b["kind"].to_numpy()
             cuts = [0, *((key[1:] != key[:-1]).nonzero()[0] + 1).tolist(), len(b)] if len(b) else [0]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 part = b.iloc[lo:hi]
                 if now != (s := int(part["shard"].iloc[0])):
-                    now, rest, plan, at, fulls = s, [], None, 0, 0
+                    now, items, plan, fulls, where = s, [], None, 0, {}
                 if part["kind"].iloc[0] == 0:
-                    rest += (part["n"] % most).tolist()
+                    for doc, h, left in zip(part["doc_id"].tolist(), part["h"].tolist(), (part["n"] % most).tolist(), strict=True):
+                        if left:
+                            where.setdefault((doc, h), []).append(len(items))
+                            items.append(left)
                     continue
                 if plan is None:
-                    plan = pack([r for r in rest if r], capacities, overhead, attention)
-                bin_of, place, sizes = plan
-                out = []
-                for doc, n, text in zip(part["doc_id"].tolist(), part["n"].tolist(), part["text"].tolist(), strict=True):
-                    if not n:
-                        out.append((doc, -1, 0, 0, None, None, None, text))
-                        continue
-                    full, left = divmod(n, most)
-                    own = pieces(text, n, most, full + (left > 0)) if full else [text]
-                    for k in range(full):
-                        out.append((doc, k, k * most, most, f"{now}-full-{fulls}", most, 0, own[k]))
-                        fulls += 1
-                    if left:
-                        out.append((doc, full, full * most, left, f"{now}-{bin_of[at]}", sizes[bin_of[at]], place[at], own[full]))
-                        at += 1
-                frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "n_tokens", "bin_id", "capacity", "bin_start", "text"])
-                yield frame.astype({"capacity": "Int32", "bin_start": "Int64"})
+                    plan = pack(items, capacities, overhead, attention)
+                for begin in range(0, len(part), 500):
+                    yield placed(part.iloc[begin : begin + 500])
 
     both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.lit(None).cast("string").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("text"))))
     dealt = marked(rows.select("shard", "doc_id", "h", "n", both.alias("x")).select("shard", "x.kind", "doc_id", "h", "n", "x.text"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind", F.desc(F.col("n") % most), "doc_id", "h")
-    return unmarked(dealt.drop("h").mapInPandas(each, SCHEMA))
+    # Lengths come longest first, texts in the order of their digests: a batch of texts then has no more than its share of long ones.
+    longest = F.when(F.col("kind") == 0, -(F.col("n") % most))
+    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "kind", longest, F.when(F.col("kind") == 0, F.col("doc_id")), "h")
+    return unmarked(dealt.mapInPandas(each, SCHEMA))
