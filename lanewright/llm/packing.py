@@ -33,7 +33,7 @@ CAPACITIES = (512, 1024, 2048, 4096)
 #: Fixed cost of a bin in tokens; the length at which attention costs as much as all else; documents of a shard on average.
 OVERHEAD = 64
 ATTENTION = 12_288
-SHARD = 20_000
+SHARD = 5_000
 SCHEMA = "doc_id long, piece long, start long, n_tokens long, bin_id string, capacity int, bin_start long, text string"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
