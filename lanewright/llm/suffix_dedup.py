@@ -291,6 +291,11 @@ def groups_met_twice(blobs: list[bytes]) -> pd.DataFrame:
     return pd.DataFrame({"key": k[ok], "g": g[ok].view(np.int64), "s": s[ok].astype(np.int32), "c": c[ok].astype(np.int32), "hot": hot[ok] | (many[ok] > HOT)})
 
 
+#: Characters of the texts whose segments a task sends together.
+SHARD_CHARS = 4_000_000
+#: Stands in place of a number of segments before starts that a shard knows by itself.
+_TOLD = b"\xff" * 8
+_KNOWN = np.dtype([("key", "<i8"), ("s", "<i4"), ("c", "<i4")])
 #: A segment of a shard: its group, weight (2: at several places), and text and start if it stands at one.
 _HEAD = np.dtype([("group", "<i8"), ("key", "<i8"), ("start", "<i4"), ("size", "<i4"), ("weight", "<i4")])
 
@@ -401,13 +406,18 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sent, known = shard_segments(b["key"].tolist(), [t.encode("utf-8", "replace") for t in b["text"]], b["runs"].tolist(), parts)
-            yield pd.DataFrame(sent, columns=["part", "data"]).assign(known=None)
-            yield pd.DataFrame({"part": -1, "data": None, "known": [[{"key": k, "s": s, "c": c} for k, s, c in known]]})
+            lot = np.cumsum(b["text"].str.len().to_numpy(np.int64)) // SHARD_CHARS
+            for j in np.unique(lot):
+                own = b[lot == j]
+                sent, known = shard_segments(own["key"].tolist(), [t.encode("utf-8", "replace") for t in own["text"]], own["runs"].tolist(), parts)
+                told = [(own["key"].iloc[0] % parts, _TOLD + np.array(known, _KNOWN).tobytes())] if known else []
+                yield pd.DataFrame([*sent, *told], columns=["part", "data"])
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for blobs in _grouped(batches):
-            yield pd.DataFrame(list(merged_parts(blobs)), columns=["key", "s", "c"]).astype({"key": "int64", "s": "int32", "c": "int32"})
+            yield from (pd.DataFrame(np.frombuffer(b, _KNOWN, offset=8)) for b in blobs if b[:8] == _TOLD)
+            if blobs := [b for b in blobs if b[:8] != _TOLD]:
+                yield pd.DataFrame(list(merged_parts(blobs)), columns=["key", "s", "c"]).astype({"key": "int64", "s": "int32", "c": "int32"})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -428,9 +438,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     spread = rows.select("key", "text").where(F.octet_length("text") >= SPAN).mapInPandas(scan, "part int, data binary")
     twice = dealt(spread).mapInPandas(met_twice, "key long, g long, s int, c int, hot boolean")
     lists = twice.groupBy("key").agg(F.collect_list(F.struct("g", "s", "c", "hot")).alias("runs"))
-    sent = written(with_texts(lists).mapInPandas(segments, "part int, data binary, known array<struct<key:long,s:int,c:int>>"))
-    hits = dealt(sent.where("part >= 0").select("part", "data")).mapInPandas(compare, "key long, s int, c int")
-    hits = hits.unionByName(sent.where("part < 0").select(F.inline("known")))
+    sent = with_texts(lists).mapInPandas(segments, "part int, data binary")
+    hits = dealt(sent).mapInPandas(compare, "key long, s int, c int")
     single = by_key.where("n = 1").select("key")
     lists = hits.groupBy("key").agg(F.collect_list(F.struct("s", "c")).alias("runs")).join(single, "key", "left_semi")
     removed = written(with_texts(lists).dropDuplicates(["key"]).mapInPandas(cut, "key long, n_removed long, n_spans long, kept string"))
