@@ -686,7 +686,10 @@ def test_pipeline(spark: SparkSession, tmp_path_factory: pytest.TempPathFactory)
     four = frames[3].collect()
     assert any("<email>" in r["text"] and "<phone>" in r["text"] for r in four)
     last = frames[4].collect()
-    assert collections.Counter((r["doc_id"], r["text"]) for r in last) == collections.Counter((r["doc_id"], r["text"]) for r in four)
+    whole_text = lambda part: collections.Counter((r["doc_id"], r["text"]) for r in part if r["doc_id"] != 142)
+    assert whole_text(last) == whole_text(four)
+    long = sorted((r for r in last if r["doc_id"] == 142), key=lambda r: r["piece"])
+    assert len(long) > 1 and "".join(r["text"] for r in long) == next(r["text"] for r in four if r["doc_id"] == 142)
     whole = corpus_pipeline.run(spark, at)
     assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, last), key=repr)
 
