@@ -38,7 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prints = written(simhash.fingerprints_of(rows.select(F.col(key).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))))
     root = written(simhash.roots(prints))
     rank = F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "row")
-    each = prints.join(root, "fp").select("root", "row", rank.alias("rank"))
+    # The first of each fingerprint before the join: a fingerprint that many documents share meets it with one row.
+    each = prints.groupBy("fp").agg(F.min(rank).alias("rank")).join(root, "fp")
     first = each.groupBy("root").agg(F.min("rank").alias("rank")).select("rank.row")
     counted = prints.groupBy("row").count()
     gone = written(counted.join(first, "row", "left_anti").select("row"))
