@@ -132,6 +132,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_
     return F.broadcast(df) if n <= max_rows and total <= max_bytes else df
 
 
+#: Places that the rows of one key are spread over in a join.
+SPREAD = 64
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """rows joined with a table of one row a key, where one key may hold any share of the rows.
+
+    The rows of a key go to SPREAD places by the hash of `by` (which must be the same each time the rows are read), its row
+    of the table to those of the places that occur: no task gets all rows of a key, and the table grows no more than the rows.
+    """
+    place = free_name(rows, "place")
+    rows = rows.withColumn(place, F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
+    places = rows.select(key, place).distinct()
+    return rows.join(places.join(table, key), [key, place]).drop(place)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64): every input bit reaches every output bit."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import marked, remove, shared_dir, texts, unmarked, written
+from lanewright.llm.common import marked, remove, shared_dir, spread_join, texts, unmarked, written
 
 SEED = 42
 MAX_BITS = 3
@@ -173,7 +173,8 @@ def links(copies: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node reachable), for the nodes of the edges, by alternating large and small stars.
 
-    Each round is written to the shared folder; rounds stop once no edge changes.
+    Each round is written to the shared folder; rounds stop once no edge changes. The links of a centre are spread over many
+    places when its least neighbour is joined to them, so a large star is no task's own.
     """
     spark = edges.sparkSession
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), path := shared_dir(spark))
@@ -181,10 +182,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.select("u", "v").union(now.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = spread_join(both, low, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        small = spread_join(large, low, "u", "v").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         nxt = written(small.select("e.u", "e.v").where("u <> v").distinct(), new := shared_dir(spark))
         state = nxt.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h"), F.sum(F.hash("u", "v").cast("long")).alias("s")).first()
         remove(spark, path)
@@ -203,8 +204,8 @@ def roots(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable)."""
-    fp = written(fingerprints(docs))
+    fp = written(fingerprints(docs).withColumn("row", F.monotonically_increasing_id()))
     named = fp.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots(fp, max_bits), "fp")
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(best, "root").select("fp", "component_id")
-    return fp.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(fp, named, "fp", "row").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

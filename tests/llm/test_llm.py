@@ -17,8 +17,9 @@ import pytest
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lanewright.llm import decontaminate, fingerprint, html_extract, langid, license_scan, ngram_lm, packing, pii, simhash, suffix_dedup
+from lanewright.llm import common, decontaminate, fingerprint, html_extract, langid, license_scan, ngram_lm, packing, pii, simhash, suffix_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, key string, n long, part int, start int"  # the last four clash with inner names
@@ -303,6 +304,24 @@ def test_simhash_links_at_every_distance(spark: SparkSession) -> None:
     assert all(len(x) == 1 for x in same.values()) and len(set.union(*same.values())) == len(same)
 
 
+def test_a_common_key_is_joined_in_many_places(spark: SparkSession) -> None:
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("Place"))
+    table = spark.range(3500).select(F.col("id").alias("k"), (F.col("id") * 2).alias("twice"))
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in plain}
+    try:
+        for name, value in plain.items():
+            spark.conf.set(name, value)
+        out = common.spread_join(rows, table, "k", "Place")
+        assert out.columns == ["k", "Place", "twice"]
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, rows.join(table, "k").collect()))
+        share = [r["count"] for r in out.where("k = 7").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(share) == 3000 and max(share) < 1500
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_fingerprints(docs: DataFrame, empty: DataFrame, rows: list) -> None:
     order = sorted(((-(2**63) if d is None else d, t or "", d) for d, t in rows), key=lambda x: (-x[0], x[1]))
     want = []
