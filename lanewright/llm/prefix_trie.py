@@ -85,17 +85,15 @@ def prefixes(turns: DataFrame) -> DataFrame:
 
 def first_owned(prefix: DataFrame, least: DataFrame) -> DataFrame:
     """conv_id, len, first: the first depth whose node the conversation owns (len + 1 if none), by batched binary search."""
-    spark = prefix.sparkSession
-    open_ = written(prefix.groupBy("conv_id").agg(F.max("depth").alias("len")).select("conv_id", "len", F.lit(0).cast("long").alias("lo"), (F.col("len") + 1).alias("hi")), path := shared_dir(spark))
+    open_ = written(prefix.groupBy("conv_id").agg(F.max("depth").alias("len")).select("conv_id", "len", F.lit(0).cast("long").alias("lo"), (F.col("len") + 1).alias("hi")))
     done: list[DataFrame] = []
     while not open_.isEmpty():
         asked = open_.withColumn("depth", F.floor((F.col("lo") + F.col("hi")) / 2)).join(prefix.select("conv_id", "depth", "node"), ["conv_id", "depth"])
         owned = F.col("owner") == F.col("conv_id")
         step = spread_join(asked, least.select("node", "owner"), "node", "conv_id")
-        step = written(step.select("conv_id", "len", F.when(owned, F.col("lo")).otherwise(F.col("depth") + 1).alias("lo"), F.when(owned, F.col("depth")).otherwise(F.col("hi")).alias("hi")), new := shared_dir(spark))
+        step = written(step.select("conv_id", "len", F.when(owned, F.col("lo")).otherwise(F.col("depth") + 1).alias("lo"), F.when(owned, F.col("depth")).otherwise(F.col("hi")).alias("hi")))
         done.append(step.where("lo = hi").select("conv_id", "len", F.col("lo").alias("first")))
         open_ = step.where("lo < hi")
-    remove(spark, path)
     return reduce(DataFrame.unionByName, done) if done else open_.select("conv_id", "len", F.col("lo").alias("first"))
 
 
