@@ -147,22 +147,6 @@ def similar_windows(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, n
     return found.join(items.select("item_id", "ih", "gs"), "ih").where(reaches("g", "gs")).select("doc_id", "item_id").distinct()
 
 
-def similar_vectors(vectors: DataFrame, every: int = 100, least: float = 0.85, block: int = 512) -> DataFrame:
-    """Queries (ids divisible by `every`) against all vectors: query_id, vec_id, similarity over the threshold.
-
-    A stated query set against all rows: the queries travel in blocks, each block as one row, to every part of the table.
-    """
-    unit = lambda c: F.transform(c, lambda x: x.cast("double"))
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    rows = vectors.select("vec_id", unit(F.col("embedding")).alias("v")).withColumn("norm", norm(F.col("v"))).where("norm > 0")
-    q = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.floor(F.col("vec_id") / (every * block)))
-    blocks = q.groupBy("block").agg(F.collect_list(F.struct(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("norm").alias("qn"))).alias("qs"))
-    pairs = rows.crossJoin(blocks).select("vec_id", "v", "norm", F.explode("qs").alias("q"))
-    dot = F.aggregate(F.zip_with("v", "q.qv", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    near = pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", F.round(dot / (F.col("norm") * F.col("q.qn")), 6).alias("similarity"))
-    return near.where((F.col("query_id") != F.col("vec_id")) & (F.col("similarity") > least))
-
-
 def band(n: Column) -> Column:
     """Difficulty band by output length in tokens."""
     return F.when(n <= 256, 1).when(n <= 1024, 2).when(n <= 4096, 3).otherwise(4)

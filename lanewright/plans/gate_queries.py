@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewright.functions.columns import words
-from lanewright.operators import gates, mixture
+from lanewright.operators import gates, mixture, vectors
 from lanewright.plans.oracle import WORDS, ngrams, values
 from lanewright.plans.queries import query
 from lanewright.sources.tables import table
@@ -130,7 +130,7 @@ def g2b_benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0) q, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v WHERE q.vec_id <> v.vec_id) WHERE similarity > 0.85""")
 def g2c_semantic_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries are the vectors whose id is divisible by 100, against all vectors."""
-    return gates.similar_vectors(table(spark, sf_dir, "embeddings"))
+    return vectors.similar_vectors(table(spark, sf_dir, "embeddings"))
 
 
 _NORM = "trim(regexp_replace(lower(coalesce(text, '')), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))"

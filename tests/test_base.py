@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lanewright.functions.columns import token_id, words
 from lanewright.operators import audit, gates, ledger, mixture, packing
+from lanewright.operators import vectors as vector_index
 from lanewright.operators.ordered import ordered_hash, prefix_sum
 from lanewright.plans import gate_queries, verify_queries
 from lanewright.plans.params import EVAL_LANES, FLOORS, LANES, STAGES, TRAIN_LANES
@@ -219,7 +220,7 @@ def test_gates_find_planted_cases(spark: SparkSession) -> None:
     assert {tuple(r) for r in gates.similar_lines(docs, benchmark).collect()} == {(1, 1)}
     near = [1.0] * 64
     vectors = spark.createDataFrame([(100, near), (101, near[:-1] + [0.5]), (102, [(-1.0) ** k for k in range(64)]), (103, [0.0] * 64)], "vec_id long, embedding array<float>")
-    assert {(r["query_id"], r["vec_id"]) for r in gates.similar_vectors(vectors).collect()} == {(100, 101)}
+    assert {(r["query_id"], r["vec_id"]) for r in vector_index.similar_vectors(vectors).collect()} == {(100, 101)}
 
 
 def test_hard_floors(spark: SparkSession) -> None:
