@@ -278,12 +278,12 @@ def j8_learning_without_consumption(spark: SparkSession, sf_dir: str) -> DataFra
 FROM prints JOIN (SELECT batch_index, sample_ids, seq_count FROM ledger) USING (batch_index) JOIN inputs USING (batch_index)""")
 def j9_replay_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replay against a table with a lost, an extra and a changed batch in every 17."""
-    rows, k = _printed(Corpus(spark, sf_dir)), F.col("batch_index") % 17
+    rows, k = printed(Corpus(spark, sf_dir)), F.col("batch_index") % 17
     again = rows.where(k != 9).withColumn("input_hash", F.when(k == 2, F.concat(F.lit("x"), F.substring("input_hash", 2, 63))).otherwise(F.col("input_hash")))
     return ledger.replay(rows.where(k != 4), again)
 
 
-def _printed(c: Corpus) -> DataFrame:
+def printed(c: Corpus) -> DataFrame:
     hashes = packing.sequence_hashes(c.spark, c.dir, c.tokens())
     full = ledger.batches(c.training_seqs(), hashes).select("batch_index", "batch_id", "seq_count", "input_hash")
     return full.join(c.consumption().select("batch_index", "sample_ids"), "batch_index")
@@ -554,7 +554,7 @@ def t8_resume_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT batch_index, batch_id, print AS original_hash, print AS replay_hash, true AS match, '' AS note FROM prints")
 def t9_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides are computed from the raw documents; neither reads the other's result."""
-    return ledger.replay(_printed(Corpus(spark, sf_dir)), _printed(Corpus(spark, sf_dir)))
+    return ledger.replay(printed(Corpus(spark, sf_dir)), printed(Corpus(spark, sf_dir)))
 
 
 @query(f"SELECT n.step AS fork_step, printf('branch_from_step_%06d', n.step) AS branch, b.batch_index, b.batch_id FROM batches b, (SELECT step FROM cps ORDER BY abs(step - {P.fork_from}), step LIMIT 1) n WHERE b.batch_index > n.step")
