@@ -72,40 +72,76 @@ def entries(words: list[str]) -> set[str]:
     return low | {f"{w[:k]}*" for w in low for k in STEMS if len(w) > k}
 
 
-def features(text: str | None, weights: dict[str, float]) -> list[float]:
-    """The dense features, in the order of NAMES."""
+#: Words whose kinds a task remembers at most.
+REMEMBERED = 200_000
+
+
+class Kinds(dict):
+    """What each word is: (insult, hidden insult, weight, disguised, capitals, a letter met three times, second person)."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        w = word.lower()
+        odd = not w.isalpha() and any(c.isalpha() for c in w)
+        long_ = _LONG.search(w) is not None
+        insult = w in INSULTS or w.endswith("s") and w[:-1] in INSULTS
+        weight = max([0.0, self.weights.get(w, 0.0), *(self.weights.get(f"{w[:k]}*", 0.0) for k in STEMS if len(w) > k)])
+        self[word] = out = (insult, not insult and (odd or long_) and plain(w) in INSULTS, weight, odd, word.isupper() and len(word) > 1, long_, w in YOU)
+        return out
+
+
+def features(text: str | None, weights: dict[str, float], kinds: Kinds | None = None) -> list[float]:
+    """The dense features, in the order of NAMES; `kinds` remembers words between texts."""
     text = text or ""
     words = words_of(text)
     n = len(words)
     if not n:
         return [0.0] * len(NAMES)
-    low = [w.lower() for w in words]
-    disguised = [not w.isalpha() and any(c.isalpha() for c in w) for w in words]
-    insult = [w in INSULTS or w.endswith("s") and w[:-1] in INSULTS for w in low]
-    hidden = [not hit and (odd or _LONG.search(w) is not None) and plain(w) in INSULTS for w, hit, odd in zip(low, insult, disguised, strict=True)]
-    known: dict[str, float] = {}
-    for w in set(low):
-        known[w] = max([0.0, weights.get(w, 0.0), *(weights.get(f"{w[:k]}*", 0.0) for k in STEMS if len(w) > k)])
-    learnt = [known[w] for w in low]
-    strong = [x >= 2 * LEAST_Z for x in learnt]
-    at = [k for k in range(n) if insult[k] or hidden[k] or strong[k]]
-    you = [k for k, w in enumerate(low) if w in YOU]
+    kinds = Kinds(weights) if kinds is None else kinds
+    insults = hidden = learnt = strong = odd = capitals = long_ = yours = 0
+    weight, most, hits, strong_words = 0.0, 0.0, set(), set()
+    for word, k in Counter(words).items():
+        is_insult, is_hidden, w, is_odd, is_upper, is_long, is_you = kinds[word]
+        insults += k * is_insult
+        hidden += k * is_hidden
+        odd += k * is_odd
+        capitals += k * is_upper
+        long_ += k * is_long
+        yours += k * is_you
+        if w > 0:
+            learnt += k
+            weight += k * w
+            most = max(most, w)
+            if w >= 2 * LEAST_Z:
+                strong += k
+                strong_words.add(word.lower())
+        if is_insult or is_hidden or w >= 2 * LEAST_Z:
+            hits.add(word)
+    at = [k for k, w in enumerate(words) if w in hits] if hits else []
     near, j = 0, 0
-    for k in at:
-        while j < len(you) and you[j] < k - NEAR:
-            j += 1
-        near += j < len(you) and you[j] <= k + NEAR
-    letters = sum(map(str.isalpha, text)) or 1
+    if at and yours:
+        you = [k for k, w in enumerate(words) if kinds[w][6]]
+        for k in at:
+            while j < len(you) and you[j] < k - NEAR:
+                j += 1
+            near += j < len(you) and you[j] <= k + NEAR
+    signs = Counter(text)
+    letters = sum(k for c, k in signs.items() if c.isalpha()) or 1
+    upper = sum(k for c, k in signs.items() if c.isupper())
+    other = sum(k for c, k in signs.items() if not (c.isalnum() or c.isspace()))
     spelled = [plain(m) for m in _SPELLED.findall(text)]
     chars = len(text)
-    marks = sum(map(text.count, "!?"))
     return [
-        sum(insult) / n, math.log1p(sum(insult)), sum(hidden) / n, math.log1p(sum(hidden)),
-        sum(x > 0 for x in learnt) / n, sum(strong) / n, math.log1p(sum(strong)), sum(learnt) / n, max(learnt), len({low[k] for k in range(n) if strong[k]}) / n,
-        near / n, near / max(len(at), 1), len(you) / n,
-        sum(map(str.isupper, text)) / letters, sum(w.isupper() and len(w) > 1 for w in words) / n, sum(words[k].isupper() and len(words[k]) > 1 for k in at) / max(len(at), 1),
-        marks / chars, len(_MARKS.findall(text)) / n, sum(not (c.isalnum() or c.isspace()) for c in text) / chars,
-        sum(disguised) / n, sum(_LONG.search(w) is not None for w in low) / n, len(spelled) / n, float(any(x in INSULTS for x in spelled)), math.log1p(n),
+        insults / n, math.log1p(insults), hidden / n, math.log1p(hidden),
+        learnt / n, strong / n, math.log1p(strong), weight / n, most, len(strong_words) / n,
+        near / n, near / max(len(at), 1), yours / n,
+        upper / letters, capitals / n, sum(kinds[words[k]][4] for k in at) / max(len(at), 1),
+        (signs["!"] + signs["?"]) / chars, len(_MARKS.findall(text)) / n, other / chars,
+        odd / n, long_ / n, len(spelled) / n, float(any(x in INSULTS for x in spelled)), math.log1p(n),
     ]
 
 
@@ -145,8 +181,9 @@ def with_features(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     kept = [c for c in rows.columns if c != "text"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds = Kinds(weights)
         for b in batches:
-            yield b[kept].assign(x=[features(t, weights) for t in b["text"]])
+            yield b[kept].assign(x=[features(t, weights, kinds) for t in b["text"]])
 
     schema = ", ".join(f"{n} {t}" for n, t in rows.select(*kept).dtypes)
     return rows.mapInPandas(each, f"{schema}, x array<double>").withColumn("x", array_to_vector("x"))
