@@ -16,6 +16,7 @@ result; very long pages are read whole; other columns are ignored.
 from __future__ import annotations
 
 import html as entities
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -83,7 +84,8 @@ GROUPS = (
     frozenset("html body".split()),
 )
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>""", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_SIGN = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -101,8 +103,60 @@ class Page:
     linked: list[int] = field(default_factory=list)
 
 
+@dataclass
+class Scanner:
+    """Finds tags, comments and declarations in time linear in the page, whatever it holds.
+
+    A tag ends at the first `>` outside quotes, or at the first `>` of all if a quote in it is never closed. Quotes from
+    which no end can be reached are remembered, so none is followed twice; after the last `>` nothing but comments is looked for.
+    """
+
+    source: str
+    last: int = field(init=False)
+    lost: set[int] = field(default_factory=set)
+
+    def __post_init__(self) -> None:
+        self.last = self.source.rfind(">")
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether an end tag, name or nothing, attributes) of what comes first from `at` on."""
+        source = self.source
+        while (at := source.find("<", at)) >= 0:
+            if at > self.last:
+                at = source.find("<!--", at)
+                return (at, len(source), False, "", "") if at >= 0 else None
+            sign = source[at + 1]
+            if sign in "!?":
+                comment = source.startswith("!--", at + 1)
+                end = source.find("-->", at + 4) if comment else source.find(">", at)
+                return at, (end + (3 if comment else 1) if end >= 0 else len(source)), False, "", ""
+            if name := _NAME.match(source, at):
+                end = self.end_of_tag(name.end())
+                return at, end + 1, sign == "/", name[1].lower(), source[name.end() : end]
+            at += 1
+        return None
+
+    def end_of_tag(self, at: int) -> int:
+        begin, opened = at, []
+        while m := _SIGN.search(self.source, at):
+            at = m.start()
+            if m[0] == ">":
+                return at
+            opened.append(at)
+            if at in self.lost or (at := self.source.find(m[0], at + 1)) < 0:
+                break
+            at += 1
+        self.lost.update(opened)
+        return self.source.find(">", begin)
+
+
 def parse(source: str) -> Page:
-    page, stack, buffer = Page(), [("#", 0)], []
+    """The page's nodes and blocks, in time linear in its length: nothing searches the open elements."""
+    page, scanner, buffer = Page(), Scanner(source), []
+    stack: list[tuple[str, int]] = [("#", 0)]
+    #: Places on the stack: of each tag, of elements that are nodes, of SCOPE, and of SCOPE and paragraphs.
+    where: dict[str, list[int]] = {}
+    nodes, scopes, ends_p = [0], [0], [0]
     links = linked = dropped = at = 0
 
     def flush() -> None:
@@ -110,48 +164,68 @@ def parse(source: str) -> Page:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                page.node.append(next(n for _, n in reversed(stack) if n >= 0))
+                page.node.append(stack[nodes[-1]][1])
                 page.text.append(text)
                 page.linked.append(min(linked, len(text)))
             buffer.clear()
         linked = 0
 
+    def last(tag: str) -> int:
+        return where[tag][-1] if where.get(tag) else 0
+
+    def open_(tag: str, node: int) -> None:
+        nonlocal links, dropped
+        k = len(stack)
+        stack.append((tag, node))
+        where.setdefault(tag, []).append(k)
+        if node >= 0:
+            nodes.append(k)
+        if tag in SCOPE:
+            scopes.append(k)
+        if tag in SCOPE or tag == "p":
+            ends_p.append(k)
+        links += tag == "a"
+        dropped += tag in DROPPED
+
     def close(depth: int) -> None:
         nonlocal links, dropped
         while len(stack) > depth:
-            tag, node = stack.pop()
+            tag, node = stack[-1]
             if node >= 0:
-                stack.append((tag, node))
                 flush()
-                stack.pop()
+                nodes.pop()
+            if tag in SCOPE:
+                scopes.pop()
+            if tag in SCOPE or tag == "p":
+                ends_p.pop()
+            where[tag].pop()
+            stack.pop()
             links -= tag == "a"
             dropped -= tag in DROPPED
 
     def end_head() -> None:
         """What cannot stand in a head ends an open one."""
-        depth = next((k for k in range(1, len(stack)) if stack[k][0] == "head"), 0)
+        depth = where["head"][0] if where.get("head") else 0
         if depth and (depth == len(stack) - 1 or dropped == 1):
             close(depth)
 
     while at < len(source):
-        m = _TOKEN.search(source, at)
-        piece = source[at : m.start()] if m else source[at:]
+        found = scanner.next(at)
+        piece = source[at : found[0]] if found else source[at:]
         if dropped and piece and not piece.isspace() and stack[-1][0] == "head":
             end_head()
         if piece and not dropped:
             buffer.append(piece)
             if links:
                 linked += len(piece.strip())
-        if not m:
+        if not found:
             break
-        at = m.end()
-        tag = m[2] or m[5]
+        _, at, ends, tag, attrs = found
         if not tag:
             continue
-        tag, ends, attrs = tag.lower(), m[1] or m[4], m[3] if m[2] else m[6]
         if ends:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if depth and (tag in BLOCK or all(n < 0 for _, n in stack[depth:])):
+            depth = last(tag)
+            if depth and (tag in BLOCK or nodes[-1] < depth):
                 close(depth)
             elif tag in BLOCK:
                 flush()
@@ -171,31 +245,21 @@ def parse(source: str) -> Page:
                 at = source.find(">", end.start()) + 1 or len(source)
             continue
         if tag in BLOCK:
-            over = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p" or stack[k][0] in SCOPE), 0)
-            if over and stack[over][0] == "p":  # a block ends an open paragraph
-                close(over)
+            if stack[ends_p[-1]][0] == "p":  # a block ends an open paragraph
+                close(ends_p[-1])
             if also := CLOSES.get(tag):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in also:
-                        close(k)
-                        break
-                    if stack[k][0] in SCOPE and stack[k][0] not in also:
-                        break
+                over = max(last(t) for t in also)
+                if over > scopes[-1]:
+                    close(over)
             flush()
             page.tag.append(tag)
-            page.parent.append(next(n for _, n in reversed(stack) if n >= 0))
+            page.parent.append(stack[nodes[-1]][1])
             page.attrs.append(attrs)
-            stack.append((tag, len(page.tag) - 1))
+            open_(tag, len(page.tag) - 1)
         elif not attrs.rstrip().endswith("/") or tag == "a":
-            if tag == "a" and links:
-                depth = max(k for k in range(len(stack)) if stack[k][0] == "a")
-                if all(n < 0 for _, n in stack[depth:]):
-                    close(depth)
-            stack.append((tag, -1))
-            links += tag == "a"
-        else:
-            continue
-        dropped += tag in DROPPED
+            if tag == "a" and links and nodes[-1] < last("a"):
+                close(last("a"))
+            open_(tag, -1)
     close(1)
     flush()
     return page
@@ -210,52 +274,61 @@ NAMES = (
 
 
 _GROUP = {tag: k for k, group in enumerate(GROUPS) for tag in group}
+#: The groups of furniture: nav, header, footer, aside, form.
+BAD = range(5, 10)
 
 
 @lru_cache(4096)
-def _told(attrs: str) -> tuple[bool, ...]:
-    """For each list of TOKENS whether an attribute names one of its words; last, whether the element is hidden."""
+def _told(attrs: str) -> int:
+    """A bit for each list of TOKENS of which an attribute names a word; the last tells that the element is hidden."""
     words = {w.lower() for _, value in _ATTRIBUTE.findall(attrs) for w in _WORD.findall(value)}
-    return (*(not words.isdisjoint(group) for group in TOKENS), _HIDDEN.search(attrs) is not None)
+    return sum((not words.isdisjoint(group)) << k for k, group in enumerate(TOKENS)) | (_HIDDEN.search(attrs) is not None) << len(TOKENS)
+
+
+def _bits(masks: list[int], n: int) -> np.ndarray:
+    return (np.array(masks, np.int64)[:, None] >> np.arange(n) & 1).astype(np.float32)
 
 
 def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a row per node, parents by row, depths), all pages one after the other."""
+    """(a row per node, parents by row, depths), all pages one after the other.
+
+    Nodes stand in page order, parents first, so one pass forward hands down what ancestors tell and one pass backward
+    sums subtrees up, whatever the depth.
+    """
     base = np.concatenate(([0], np.cumsum([len(p.tag) for p in pages]))).astype(np.int64)
     n = int(base[-1])
     parent = np.concatenate([np.array(p.parent, np.int64) + np.where(np.array(p.parent) < 0, 0, b) for p, b in zip(pages, base, strict=False)])
     page_of = np.repeat(np.arange(len(pages)), np.diff(base))
     first = base[:-1][page_of]
-    depth = np.zeros(n, np.int64)
-    own = np.zeros((n, len(TOKENS) + 1), np.float32)
     tag = np.zeros((n, len(GROUPS)), np.float32)
+    bad = len(TOKENS)  # the bit that tells a tag of furniture above
+    depths, told, over = [0] * n, [0] * n, [0] * n
     sums = np.zeros((n, 5))  # characters, linked characters, commas and stops, blocks, long blocks
-    start = np.full(n, np.inf)
-    total = np.zeros(len(pages))
-    for k, (p, b) in enumerate(zip(pages, base, strict=False)):
+    starts, sizes, born = [math.inf] * n, [1] * n, [0] * n
+    for p, b in zip(pages, base.tolist(), strict=False):
         for j in range(1, len(p.tag)):
-            depth[b + j] = depth[b + p.parent[j]] + 1
+            up = b + p.parent[j]
+            depths[b + j] = depths[up] + 1
+            over[b + j] = over[up] | told[up] & (1 << bad) - 1 | (_GROUP.get(p.tag[p.parent[j]], -1) in BAD) << bad
             if (g := _GROUP.get(p.tag[j], -1)) >= 0:
                 tag[b + j, g] = 1
             if p.attrs[j]:
-                own[b + j] = _told(p.attrs[j])
+                told[b + j] = _told(p.attrs[j]) if len(p.attrs[j]) < 1000 else _told.__wrapped__(p.attrs[j])
+        total = 0
         for node, text, linked in zip(p.node, p.text, p.linked, strict=True):
             sums[b + node] += (len(text), linked, text.count(",") + text.count(".") + text.count("。") + text.count("、"), 1, len(text) > 80)
-            start[b + node] = min(start[b + node], total[k])
-            total[k] += len(text)
-    bad_tag = tag[:, 5:10].max(axis=1)
-    above = np.zeros((n, len(TOKENS) + 1), np.float32)
-    children, size = np.zeros(n), np.ones(n)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n else []
-    for at in levels[1:]:
-        up = parent[at]
-        above[at, :-1] = np.maximum(above[up, :-1], own[up, :-1])
-        above[at, -1] = np.maximum(above[up, -1], bad_tag[up])
-    for at in reversed(levels[1:]):
-        np.add.at(sums, parent[at], sums[at])
-        np.add.at(size, parent[at], size[at])
-        np.add.at(children, parent[at], 1)
-        np.minimum.at(start, parent[at], start[at])
+            starts[b + node] = min(starts[b + node], total)
+            total += len(text)
+        for j in range(len(p.tag) - 1, 0, -1):
+            up = b + p.parent[j]
+            sizes[up] += sizes[b + j]
+            born[up] += 1
+            starts[up] = min(starts[up], starts[b + j])
+    depth, start, size, children = np.array(depths, np.int64), np.array(starts), np.array(sizes, float), np.array(born, float)
+    # A subtree is a run of nodes; all sums are whole numbers, so differences of running sums are exact.
+    running = np.vstack((np.zeros((1, 5)), sums.cumsum(axis=0)))
+    sums = running[np.arange(n) + size.astype(np.int64)] - running[:-1]
+    own, above = _bits(told, len(TOKENS) + 1), _bits(over, len(TOKENS) + 1)
     up = np.where(parent < 0, np.arange(n), parent)
     order = np.argsort(up, kind="stable")
     place = np.empty(n)
@@ -422,13 +495,14 @@ def trained(pages: int = TRAIN_PAGES, seed: int = 5) -> Trees:
 
 def decode(score: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """The kept nodes: roots, and those whose best subtree is worth more than nothing, inside kept parents only."""
-    gain, kept = score.astype(float).copy(), np.zeros(len(score), bool)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if len(depth) else []
-    for at in reversed(levels[1:]):
-        np.add.at(gain, parent[at], np.maximum(gain[at], 0))
-    for d, at in enumerate(levels):
-        kept[at] = True if d == 0 else (gain[at] > 0) & kept[parent[at]]
-    return kept
+    gain, up, level = score.astype(float).tolist(), parent.tolist(), depth.tolist()
+    kept = [True] * len(gain)
+    for j in range(len(gain) - 1, -1, -1):  # children stand after their parents
+        if level[j] and gain[j] > 0:
+            gain[up[j]] += gain[j]
+    for j, d in enumerate(level):
+        kept[j] = not d or gain[j] > 0 and kept[up[j]]
+    return np.array(kept, bool)
 
 
 def extract(sources: list[str | None], model: Trees) -> list[str]:

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import re
 import textwrap
 import zlib
@@ -248,6 +249,33 @@ def test_html(spark: SparkSession) -> None:
     assert html_extract.extract_pages(pages.limit(0), model).count() == 0
 
 
+MEGABYTE = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<" * MEGABYTE, "<a" * (MEGABYTE // 2), "<a " * (MEGABYTE // 3), '<a "' * (MEGABYTE // 4), '<a ">"' * (MEGABYTE // 6) + "'", "<" + "a" * MEGABYTE, "<b>x</i>" * (MEGABYTE // 8), "<b><div>" + "<i>x</b>" * (MEGABYTE // 8), "<div>" * 100_000 + "x" + "</div>" * 100_000, "<!" * (MEGABYTE // 2), "<p><b>x" * (MEGABYTE // 7), "<td>x" * (MEGABYTE // 5), "<p " + 'class="' * (MEGABYTE // 7) + ">x"],
+    ids=["less", "names", "spaces", "quotes", "closed quotes", "letters", "stray ends", "ends across blocks", "nested", "declarations", "unclosed inline", "cells", "attributes"],
+)
+def test_html_malformed_pages_take_linear_time(source: str) -> None:
+    begin = time.perf_counter()
+    x, parent, depth = html_extract.features([html_extract.parse(source)])
+    html_extract.decode(x[:, 0], parent, depth)
+    assert time.perf_counter() - begin < 20
+
+
+@pytest.mark.parametrize(
+    ("source", "tags"),
+    [("a<b", []), ('<a "x>y', [(False, "a")]), ("<a '>'>y", [(False, "a")]), ("x<!-- <b> -->y<i>", [(False, ""), (False, "i")]), ("</P><q/>", [(True, "p"), (False, "q")]), ('<a ">"<b>\'', [(False, "a"), (False, "b")]), ("<!--", [(False, "")]), ("1 < 2 > <b>", [(False, "b")])],
+)
+def test_html_scanner(source: str, tags: list) -> None:
+    scanner, at, got = html_extract.Scanner(source), 0, []
+    while m := scanner.next(at):
+        at = m[1]
+        got.append((m[2], m[3]))
+    assert got == tags
+
+
 def test_html_held_out_pages_and_consistency() -> None:
     model, rng = html_extract.trained(400), random.Random(11)
     right = total = 0
