@@ -10,7 +10,7 @@ Defined cases: null or empty html gives empty text; unclosed, stray and wrongly
 mostly do, a head ends where something else than its elements begins; text in formulas, drawings and the fallback of
 media is text like any other, while form controls (button, select, textarea) go with forms; noscript is a notice; a page
 without elements is one block of text; repeated rows give equal rows; an empty table gives an empty
-result; very long pages are read whole; other columns are ignored.
+result; very long pages are read whole, in time linear in their length; a node whose best subtree scores exactly 0 is dropped; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from lanewright.llm.common import marked, unmarked
 
-TRAIN_PAGES = 900
-TREES, DEPTH, RATE, BINS = 50, 3, 0.25, 24
+TRAIN_PAGES = 1500
+TREES, DEPTH, RATE, BINS = 60, 3, 0.25, 24
 #: Stands before every main block of a synthetic page.
 MARK = "\ue000"
 
@@ -404,6 +404,15 @@ def _words(rng: random.Random, low: int, high: int) -> str:
     return " ".join(w + rng.choice(["", "", "", "", "", "", ",", "."]) for w in out).capitalize() + "."
 
 
+def framed(rng: random.Random, before: str, core: str, after: str) -> str:
+    """A whole page, or one without html, head and body."""
+    if (r := rng.random()) < 0.2:
+        return before + core + after
+    if r < 0.3:
+        return f"<body>{before}{core}{after}</body>"
+    return f"<!DOCTYPE html><html><head><title>{_words(rng, 1, 8)}</title><style>p{{}}</style></head><body>{before}{core}{after}</body></html>"
+
+
 def synthetic_page(rng: random.Random) -> tuple[str, list[str]]:
     """A page of random layout, its main text marked by MARK at the start of each block; its main blocks."""
     main: list[str] = []
@@ -439,8 +448,11 @@ def synthetic_page(rng: random.Random) -> tuple[str, list[str]]:
         lambda: f'<div class="{rng.choice(["share", "social", "meta", "byline", "tags"])}">{_words(rng, 1, 8)}</div>',
     ]
     comments = lambda: f'<{(t := rng.choice(["section", "div"]))} {rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "responses", "discussion", "reader-comments"])}"><h3>{_words(rng, 1, 3)}</h3>' + "".join(f'<div{attr("comment", "reply")}><p>{_words(rng, 3, 60)}</p></div>' for _ in range(rng.randint(1, 6))) + f"</{t}>"
-    foot = lambda: rng.choice([f"<footer{attr('footer', 'legal', bare=0.6)}>{rng.choice([_words(rng, 3, 25), '&copy; ' + _words(rng, 1, 40), par(3, 25)])}{rng.choice(['', f'<ul>{links(1, 5)}</ul>'])}</footer>", f'<div class="{rng.choice(["footer", "bottom", "copyright"])}">&copy; {_words(rng, 3, 25)}</div>'])
+    foot = lambda: bare() if rng.random() < 0.2 else rng.choice([f"<footer{attr('footer', 'legal', bare=0.6)}>{rng.choice([_words(rng, 3, 25), '&copy; ' + _words(rng, 1, 40), par(3, 25)])}{rng.choice(['', f'<ul>{links(1, 5)}</ul>'])}</footer>", f'<div class="{rng.choice(["footer", "bottom", "copyright"])}">&copy; {_words(rng, 3, 25)}</div>'])
 
+    # Furniture that only its tag tells: no class, no link, few words or many.
+    bare = lambda: (lambda t: f"<{t}>" + rng.choice([_words(rng, 1, 8), _words(rng, 1, 8), f"<p>{_words(rng, 1, 25)}</p>", f"<div>{_words(rng, 1, 10)}</div>", f"<ul><li>{_words(rng, 1, 2)}<li>{_words(rng, 1, 2)}</ul>", par(10, 60)]) + f"</{t}>")(rng.choice(["nav", "header", "footer", "aside", "form"]))
+    side += [bare] * 4
     body = [mine(rng.choice(["h1", "h1", "h2"]), 1, 12)] if rng.random() < 0.9 else []
     for _ in range(rng.choice([0, 0, 1, 1, 2, 3, 5, 8, 14, 25])):
         r = rng.random()
@@ -456,21 +468,26 @@ def synthetic_page(rng: random.Random) -> tuple[str, list[str]]:
             body.append("<table><tr>" + mine("td", 1, 6) + mine("td", 1, 6) + "</tr></table>")
         else:
             body.append(rng.choice(side[3:])())
+    if rng.random() < 0.15:  # main text with many links
+        body = [re.sub(r"(?<= )(\w{4,})(?= )", lambda m: f'<a href="/{m[1]}">{m[1]}</a>' if rng.random() < 0.3 else m[1], x) if x.startswith("<p>" + MARK) else x for x in body]
     if not main:
         body.append(mine("p", 2, 30))
     tag = rng.choice(["article", "article", "article", "main", "div", "div", "section"])
+    if rng.random() < 0.3:  # a small page with little furniture, which only tags tell
+        before, core, after = "".join(bare() for _ in range(rng.choice([0, 1, 1, 2]))), "".join(body), "".join(bare() for _ in range(rng.choice([0, 1, 1, 2])))
+        return framed(rng, before, f"<{tag}>{core}</{tag}>" if rng.random() < 0.5 else core, after), main
     names = attr("content", "post", "entry", "story", "article-body", "main") if rng.random() < 0.7 else ""
     inner = "".join(body)
     if rng.random() < 0.3:
         inner = f"<div{attr('text', 'entry', 'inner', 'x1')}>{inner}</div>"
     if rng.random() < 0.2:
         inner += comments()
-    core = f"<{tag}{names}>{inner}</{tag}>"
+    core = f"<{tag}{names}>{inner}</{tag}>" if rng.random() < 0.85 else inner
     if rng.random() < 0.4:
         core = f"<div{attr('page', 'wrapper', 'container', 'main')}>" + (rng.choice(side)() if rng.random() < 0.4 else "") + core + (rng.choice(side)() if rng.random() < 0.4 else "") + "</div>"
     before = "".join(rng.choice(side)() for _ in range(rng.choice([0, 1, 1, 2, 3])))
     after = "".join(rng.choice(side)() for _ in range(rng.choice([0, 0, 1, 2]))) + (comments() if rng.random() < 0.3 else "") + (foot() if rng.random() < 0.85 else "")
-    return f"<!DOCTYPE html><html><head><title>{_words(rng, 1, 8)}</title><style>p{{}}</style></head><body>{before}{core}{after}</body></html>", main
+    return framed(rng, before, core, after), main
 
 
 def labels(page: Page) -> np.ndarray:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import html
 import math
 import random
-import time
 import re
 import textwrap
+import time
 import zlib
 from pathlib import Path
 
@@ -266,7 +267,7 @@ def test_html_malformed_pages_take_linear_time(source: str) -> None:
 
 @pytest.mark.parametrize(
     ("source", "tags"),
-    [("a<b", []), ('<a "x>y', [(False, "a")]), ("<a '>'>y", [(False, "a")]), ("x<!-- <b> -->y<i>", [(False, ""), (False, "i")]), ("</P><q/>", [(True, "p"), (False, "q")]), ('<a ">"<b>\'', [(False, "a"), (False, "b")]), ("<!--", [(False, "")]), ("1 < 2 > <b>", [(False, "b")])],
+    [("a<b", []), ('<a "x>y', [(False, "a")]), ("<a '>'>y", [(False, "a")]), ("x<!-- <b> -->y<i>", [(False, ""), (False, "i")]), ("</P><q/>", [(True, "p"), (False, "q")]), ('<a ">"\'x<b>', [(False, "a"), (False, "b")]), ("<!--", [(False, "")]), ("1 < 2 > <b>", [(False, "b")])],
 )
 def test_html_scanner(source: str, tags: list) -> None:
     scanner, at, got = html_extract.Scanner(source), 0, []
@@ -276,6 +277,59 @@ def test_html_scanner(source: str, tags: list) -> None:
     assert got == tags
 
 
+@pytest.fixture(scope="module")
+def html_model() -> html_extract.Trees:
+    return html_extract.trained()
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<nav>Home About</nav><article><p>The quick brown fox jumped over the dog.</p></article>", "The quick brown fox jumped over the dog."),
+        ("<header>Site name Slogan here</header><p>One long sentence of the article here.</p><p>Another one.</p>", "One long sentence of the article here.\nAnother one."),
+        ("<footer>Imprint and contact</footer><p>One.</p>", "One."),
+        ("<p>One.</p><footer>Imprint and contact</footer>", "One."),
+        ("<article><h1>Title</h1><p>Text of the article.</p></article><aside>See other things</aside>", "Title\nText of the article."),
+        ("<form>Your name please</form><p>Text one.</p><p>Text two is longer, and goes on.</p>", "Text one.\nText two is longer, and goes on."),
+        ("<body><nav>A B C</nav><p>Here <a href=x>link one</a> and <a href=y>another</a> and <a href=z>third</a>.</p></body>", "Here link one and another and third."),
+        ("<html><body><nav><p>Menu of this site</p></nav><main><p>Hello there, world.</p></main></body></html>", "Hello there, world."),
+        ("just text", "just text"),
+        ("<p>x</p>", "x"),
+    ],
+)
+def test_html_furniture_without_links_or_classes(html_model: html_extract.Trees, source: str, text: str) -> None:
+    assert html_extract.extract([source], html_model) == [text]
+
+
+def test_html_given_pages(html_model: html_extract.Trees) -> None:
+    """The given pages hold their main text in one article of headings and paragraphs, adverts and comments apart."""
+    path = Path("/root/testdata/sf0.001/pages.parquet")
+    if not path.exists():
+        pytest.skip("no given tables")
+    sources = [x for x in pd.read_parquet(path)["html"].tolist() if x]
+    got = html_extract.extract(sources, html_model)
+    for source, text in zip(sources, got, strict=True):
+        inner = re.search(r"(?s)<article>(.*?)</article>", source)[1]
+        inner = re.sub(r"(?s)<!--.*?-->|<(script|style|form|aside|nav)\b.*?</\1>|<div class=.*?</div>", "", inner)
+        blocks = [" ".join(html.unescape(re.sub(r"<(?!br)[^>]*>", "", x).replace("<br>", " ")).split()) for x in re.split(r"</?(?:h[1-6]|p|ul|li|blockquote|pre)\b[^>]*>", inner)]
+        assert text.split("\n") == [x for x in blocks if x]
+
+
+def test_html_decoding_is_the_best_consistent_choice() -> None:
+    rng = random.Random(2)
+    for _ in range(60):
+        n = rng.randint(2, 9)
+        parent = [-1] + [rng.randrange(k) for k in range(1, n)]
+        depth = [0] * n
+        for k in range(1, n):
+            depth[k] = depth[parent[k]] + 1
+        score = [rng.choice([-2.0, -1.0, -0.5, 0.25, 1.0, 3.0]) for _ in range(n)]
+        kept = html_extract.decode(np.array(score), np.maximum(np.array(parent), 0), np.array(depth))
+        assert kept[0] and all(kept[parent[k]] for k in range(1, n) if kept[k])
+        choices = [c for c in range(1, 2**n, 2) if all(c >> parent[k] & 1 for k in range(1, n) if c >> k & 1)]
+        assert sum(score[k] for k in range(n) if kept[k]) == max(sum(score[k] for k in range(n) if c >> k & 1) for c in choices)
+
+
 def test_html_held_out_pages_and_consistency() -> None:
     model, rng = html_extract.trained(400), random.Random(11)
     right = total = 0
