@@ -1,9 +1,14 @@
 """Licence scan by canonical digest: a text's canonical form is hashed whole and joined to digests of known texts.
 
-The canonical form is lower case, without copyright lines, with one spelling for equivalent words, and with every run
+The canonical form is lower case, without copyright notices, with one spelling for equivalent words, and with every run
 of other characters than letters and digits as one space. The unit is an entire text: a whole document, and each whole
 line (a licence notice stands on a line of its own).
 
+A copyright notice is a line that starts with the sign, "(c)" or the word *and* goes on with a year or the sign, or one that
+starts with "all rights reserved"; a line of a licence's body that happens to start with "copyright" is none. The licences'
+own notices of the Free Software Foundation go wherever they stand in a line. So the form is the same however a body's lines
+are broken, as long as a notice stays on one line and nothing else is put on that line.
+
 A document's notices are joined back by the MD5 of its text, so copies share one row there.
 
 Defined cases: null or empty text, or one of punctuation only, has an empty canonical form, digest null and no licence;
@@ -13,9 +18,7 @@ gives an empty result; very long texts are hashed whole; other columns are ignor
 
 from __future__ import annotations
 
-import functools
 import re
-import textwrap
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,7 +82,9 @@ SENTENCES = ("Released under {}", "Licensed under {}", "Distributed under {}", "
 OTHER_NOTICES = (("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."), ("Unlicense", "This is free and unencumbered software released into the public domain."))
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT_LINE = r"(^|\n)[^0-9a-z\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# Removed in this order: the foundation's notice in the text of its licences, then lines that are notices.
+FSF_NOTICE = r"copyright[^0-9a-z\n]*(\(c\)|©)?[^0-9a-z\n]*[0-9][^a-z\n]*free software foundation(, inc)?"
+COPYRIGHT_LINE = r"(^|\n)[^0-9a-z\n]*(copyright[ \t:]*(\(c\)|©)?[ \t]*([0-9][0-9]|[\[{(<]?yyyy|[\[{(]year|<year>[ \t,]*<(owner|holder|copyright|full))|copyright[ \t]*©|copyright[ \t]*\(c\)[ \t]+(the [a-z]|by [a-z])|\(c\)[ \t]*(copyright|[0-9][0-9][0-9][0-9])|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[^0-9a-z\n\x{80}-\x{10FFFF}]+"
 
 # Files of whole texts, their own leading title lines, and titles that stand before texts without one.
@@ -101,8 +106,8 @@ CLAUSE_3 = "3. Neither the name of the {} nor the names of its contributors may
 
 
 def _whole() -> list[tuple[str, str]]:
-    """Whole texts with and without title, appendix and numbers, with http or https, in their usual addresses and line breaks."""
-    texts: list[tuple[str, str]] = [(license, f"{title}\n{x}") for license, body in BODIES for x in (body, re.sub(" (?=The above copyright|THE SOFTWARE IS)", "\n", body)) for title in ("", *TITLES[license])]
+    """Whole texts with and without title, appendix and numbers, with http or https, in their usual addresses; line breaks do not matter."""
+    texts: list[tuple[str, str]] = [(license, f"{title}\n{x}") for license, x in BODIES for title in ("", *TITLES[license])]
     for name, own, titles in FILES:
         full = (Path(__file__).parent / "licenses" / f"{name}.txt").read_text().strip("\n")
         bare = "\n".join([x for x in full.split("\n") if x.strip()][own:])
@@ -121,13 +126,7 @@ def _whole() -> list[tuple[str, str]]:
             regents = after.replace("THE COPYRIGHT HOLDERS AND", "THE REGENTS AND").replace("THE COPYRIGHT HOLDER OR", "THE REGENTS OR")
             texts += [("BSD-3-Clause", "\n".join((title, before, CLAUSE_3.format("University"), f"THIS SOFTWARE IS PROVIDED{regents}"))) for title in ("", *TITLES["BSD-3-Clause"])]
     texts += [(license, re.sub(r"(?m)^[123]\. ", "", x)) for license, x in texts if license.startswith("BSD")]
-    # A line that starts with "copyright" has no canonical form, so texts differ by where their lines break.
-    known, fill = {}, functools.cache(textwrap.fill)
-    for license, x in texts:
-        broken = [x, *("\n".join(fill(y, width) for y in x.split("\n")) for width in range(60, 101) if len(x) < 4000)]
-        for y in broken:
-            known.setdefault((license, " ".join(re.sub(COPYRIGHT_LINE, r"\1", y.lower()).split())), y)
-    return [(license, x) for (license, _), x in known.items()]
+    return list(dict.fromkeys(texts))
 
 
 WHOLE = tuple(_whole())
@@ -143,7 +142,7 @@ def canonical_lines(rows: DataFrame, out: str = "forms") -> DataFrame:
     x = F.col(out)
     # The pattern runs only over texts that can match it.
     some = F.contains(x, F.lit("copyright")) | F.contains(x, F.lit("(c)")) | F.contains(x, F.lit("©")) | F.contains(x, F.lit("all rights"))
-    rows = rows.withColumn(out, F.when(some, F.regexp_replace(x, COPYRIGHT_LINE, "$1")).otherwise(x))
+    rows = rows.withColumn(out, F.when(some, F.regexp_replace(F.regexp_replace(x, FSF_NOTICE, ""), COPYRIGHT_LINE, "$1")).otherwise(x))
     x = F.concat(F.lit(" "), F.replace(F.regexp_replace(out, NOT_WORD, "  "), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for other, kept in SPELLINGS:
         x = F.replace(x, F.lit(f" {other} "), F.lit(f" {kept} "))

@@ -73,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def _canonical(text: str) -> str:
     """The canonical form of license_scan in SQL."""
     x = f"translate(coalesce({text}, ''), '{license_scan.UPPER}', '{license_scan.LOWER}')"
+    x = f"regexp_replace({x}, '{license_scan.FSF_NOTICE}', '', 'g')"
     x = f"' ' || regexp_replace(regexp_replace({x}, '{license_scan.COPYRIGHT_LINE}', '\\1', 'g'), '{license_scan.NOT_WORD.replace(chr(92) + 'n', '')}', '  ', 'g') || ' '"
     for other, kept in license_scan.SPELLINGS:
         x = f"replace({x}, ' {other} ', ' {kept} ')"
