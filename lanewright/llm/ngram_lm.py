@@ -8,7 +8,7 @@ holds of the model is page cache. Only discounts (counts of counts, one row a ra
 
 Files are written under a temporary name and renamed; a task that runs again writes the same content.
 
-Defined cases: null or empty text is the end token alone; ties of hashes (64 bits) count as one token; with no training row every probability is that of an unknown
+Defined cases: null or empty text is the end token alone; tokens of equal hash (64 bits; as first token of a bigram, 48 bits) count as one; counts have 64 bits; with no training row every probability is that of an unknown
 token in an empty model (uniform over one); repeated rows count each; a null doc_id counts as the empty string for the
 split; very long texts are scored whole; other columns are ignored.
 """
@@ -93,6 +93,22 @@ def _unpacked(blobs: list[bytes], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(x) if x else np.zeros(0, kind) for x, kind in zip(out, kinds, strict=True)]
 
 
+def merged_counts(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, first tokens (their top 48 bits), second tokens and counts of the bigrams in packed parts; counts in 64 bits."""
+    v, low, high, n = _unpacked(blobs, "<u8", "<u4", "<u2", "<u4")  # a part counts one batch, so 32 bits hold it
+    u = low.astype(U64) | (high.astype(U64) << U64(32))
+    key = bigram_key(u << U64(16), v)
+    order = np.argsort(key)
+    key, u, v, n = key[order], u[order], v[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], u[first], v[first], np.add.reduceat(n, first)
+
+
+def narrow(c: np.ndarray) -> np.ndarray:
+    """The same counts in 32 bits if all fit, as they mostly do."""
+    return c.astype(np.uint32) if not len(c) or c.max() < 2**32 else c
+
+
 def _save(path: str, array: np.ndarray) -> None:
     os.makedirs(os.path.dirname(path), exist_ok=True)
     own = f"{path}.{os.getpid()}-{os.urandom(4).hex()}"
@@ -216,15 +232,9 @@ def train(docs: DataFrame) -> Model:
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p, rows in _groups(batches):
-            v, low, high, n = _unpacked(rows["data"].tolist(), "<u8", "<u4", "<u2", "<u4")
-            u = low.astype(U64) | (high.astype(U64) << U64(32))
-            key = bigram_key(u << U64(16), v)
-            order = np.argsort(key)
-            key, u, v, n = key[order], u[order], v[order], n[order].astype(np.int64)
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            c, key, u, v = np.add.reduceat(n, first), key[first], u[first], v[first]
+            key, u, v, c = merged_counts(rows["data"].tolist())
             _save(f"{path}/bigram-{p}.npy", key)
-            _save(f"{path}/bigram-values-{p}.npy", c.astype(np.uint32)[None, :])
+            _save(f"{path}/bigram-values-{p}.npy", narrow(c)[None, :])
             as_u = _sum_by(u, c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c >= 3).astype(np.int64))
             as_v = _sum_by(v, c, np.ones(len(c), np.int64))
             stats = np.array([*_counts_of_counts(c), len(c)], np.int64)
@@ -235,15 +245,13 @@ def train(docs: DataFrame) -> Model:
             for q in sorted({p, *of_u, *of_v}):
                 (a, b), (e, f) = of_u.get(q, (0, 0)), of_v.get(q, (0, 0))
                 own = stats if q == p else np.zeros(5, np.int64)
-                out.append((q, _packed(as_u[0][a:b], *(x[a:b].astype(np.uint32) for x in as_u[1:])), _packed(as_v[0][e:f], *(x[e:f].astype(np.uint32) for x in as_v[1:])), own.tolist()))
+                out.append((q, _packed(*(x[a:b] for x in as_u)), _packed(*(x[e:f] for x in as_v)), own.tolist()))
             yield pd.DataFrame(out, columns=["part", "before", "after", "stats"])
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p, rows in _groups(batches):
-            u, follow, n1, n2, n3 = _unpacked(rows["before"].tolist(), "<u8", "<u4", "<u4", "<u4", "<u4")
-            v, count, types = _unpacked(rows["after"].tolist(), "<u8", "<u4", "<u4")
-            v, count, types = _sum_by(v, count.astype(np.int64), types.astype(np.int64))
-            u, follow, n1, n2, n3 = _sum_by(u, *(x.astype(np.int64) for x in (follow, n1, n2, n3)))
+            u, follow, n1, n2, n3 = _sum_by(*_unpacked(rows["before"].tolist(), "<u8", *["<i8"] * 4))
+            v, count, types = _sum_by(*_unpacked(rows["after"].tolist(), "<u8", *["<i8"] * 2))
             if np.isin(START >> U64(16), u) and not np.isin(START, v):  # it begins texts but is no token of them
                 at = int(np.searchsorted(v, START))
                 v, count, types = np.insert(v, at, START), np.insert(count, at, 0), np.insert(types, at, 0)

@@ -89,6 +89,31 @@ def test_whole_licenses(spark: SparkSession) -> None:
     assert {r["doc_id"]: r["license"] for r in out} == {k: name for k, (name, _) in enumerate(files)}
 
 
+def test_licenses_at_every_width(spark: SparkSession) -> None:
+    """Every file, refilled by paragraph at 61 widths and as one line a paragraph, has one canonical form and is recognised."""
+    rows: list[tuple[int, str]] = []
+    names: list[str] = []
+    files = [(f.stem, f.read_text()) for f in sorted((Path(license_scan.__file__).parent / "licenses").glob("*.txt"))]
+    files += [(name, f"{name} License\n\nCopyright (c) 2021 Some Holder\nCopyright 1999-2003 Other, Inc.\n\n{body}") for name, body in license_scan.BODIES]
+    for name, text in files:
+        parts = re.split(r"\n[ \t]*\n", text)
+        for width in (*range(60, 121), 10**6):
+            fill = lambda x: textwrap.fill(" ".join(x.split()), width)  # noqa: E731, B023
+            notices = lambda x: "\n".join(fill(y) for y in x.split("\n"))  # noqa: E731, B023
+            rows.append((len(rows), "\n\n".join(notices(x) if "Some Holder" in x else fill(x) for x in parts)))
+            names.append(name)
+    out = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    missed = collections.Counter(names[r["doc_id"]] for r in out if r["license"] != names[r["doc_id"]])
+    assert not missed and len(out) == len(rows)
+
+
+def test_copyright_lines(spark: SparkSession) -> None:
+    gone = ["Copyright (c) 2020 A", "# Copyright: 2020 A", "Copyright © A", "(c) 1999 B", "(C) Copyright 2001 B", "© A", "All rights reserved.", "Copyright [yyyy] [name of copyright owner]", "Copyright (c) <year> <copyright holders>", "Copyright (C) 2007 Free Software Foundation, Inc."]
+    kept = ["copyright notice that is included in", "copyright--then that use is", "(c) You must retain", "Copyright and Related Rights", "COPYRIGHT HOLDERS AND CONTRIBUTORS", "Copyright (C) <year>  <name of author>", "see copyright 2020"]
+    forms = license_scan.canonical_lines(spark.createDataFrame([(k, x) for k, x in enumerate(gone + kept)], "k int, text string"))
+    assert sorted(r["k"] for r in forms.where("size(forms) = 0").collect()) == list(range(len(gone)))
+
+
 def repeats(items: list[bytes]) -> list[tuple[int, int, int, str]]:
     counts = collections.Counter(b[i : i + 200] for b in items for i in range(len(b) - 199))
     out = []
@@ -235,6 +260,18 @@ def test_language_model_without_training_rows(spark: SparkSession) -> None:
     assert ngram_lm.score(spark.createDataFrame([(1, True, "a b")], "doc_id long, held_out boolean, text string"), model).first()["score"] == 0.0
 
 
+def test_lm_counts_over_32_bits() -> None:
+    """Three parts with counts near 2^32 of one bigram: sums, packing and stored arrays keep them."""
+    u, v = ngram_lm.U64(7 << 16), ngram_lm.U64(9)
+    most = 2**32 - 1
+    part = ngram_lm._packed(np.array([v]), np.array([7], np.uint32), np.array([0], np.uint16), np.array([most], np.uint32))
+    key, first, second, count = ngram_lm.merged_counts([part] * 3)
+    assert (key[0], first[0], second[0], count.tolist()) == (ngram_lm.bigram_key(u, v), 7, 9, [3 * most])
+    assert ngram_lm.narrow(count).tolist() == [3 * most] and ngram_lm.narrow(np.array([most])).dtype == np.uint32
+    stats = ngram_lm._sum_by(*ngram_lm._unpacked([ngram_lm._packed(second, count)] * 2, "<u8", "<i8"))
+    assert stats[1].tolist() == [6 * most]
+
+
 def test_html(spark: SparkSession) -> None:
     model = html_extract.trained(300)
     page = (
