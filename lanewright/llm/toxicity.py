@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -77,21 +78,40 @@ REMEMBERED = 200_000
 
 
 class Kinds(dict):
-    """What each word is: (insult, hidden insult, weight, disguised, capitals, a letter met three times, second person)."""
+    """What each word is: (insult, hidden insult, weight, disguised, capitals, a letter met three times, second person); None, as most are, if nothing of it."""
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
+        self.heads = {w[: STEMS[0]] for w in weights if w.endswith("*")}
 
-    def __missing__(self, word: str) -> tuple:
+    def __missing__(self, word: str) -> tuple | None:
         if len(self) >= REMEMBERED:
             self.clear()
         w = word.lower()
         odd = not w.isalpha() and any(c.isalpha() for c in w)
         long_ = _LONG.search(w) is not None
         insult = w in INSULTS or w.endswith("s") and w[:-1] in INSULTS
-        weight = max([0.0, self.weights.get(w, 0.0), *(self.weights.get(f"{w[:k]}*", 0.0) for k in STEMS if len(w) > k)])
-        self[word] = out = (insult, not insult and (odd or long_) and plain(w) in INSULTS, weight, odd, word.isupper() and len(word) > 1, long_, w in YOU)
-        return out
+        weight = max(self.weights.get(w, 0.0), 0.0)
+        if w[: STEMS[0]] in self.heads:
+            weight = max([weight, *(self.weights.get(f"{w[:k]}*", 0.0) for k in STEMS if len(w) > k)])
+        out = (insult, not insult and (odd or long_) and plain(w) in INSULTS, weight, odd, word.isupper() and len(word) > 1, long_, w in YOU)
+        self[word] = out if any(out) else None
+        return self[word]
+
+
+#: Code points up to here are counted by table.
+TABLE = 0x400
+_CHARS = [chr(k) for k in range(TABLE)]
+
+
+def signs_of(text: str) -> dict[str, int]:
+    """How often each code point occurs."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if codes.max() >= TABLE:
+        return Counter(text)
+    n = np.bincount(codes, minlength=TABLE)
+    at = np.flatnonzero(n)
+    return {_CHARS[c]: k for c, k in zip(at.tolist(), n[at].tolist(), strict=True)}
 
 
 def features(text: str | None, weights: dict[str, float], kinds: Kinds | None = None) -> list[float]:
@@ -102,45 +122,49 @@ def features(text: str | None, weights: dict[str, float], kinds: Kinds | None =
     if not n:
         return [0.0] * len(NAMES)
     kinds = Kinds(weights) if kinds is None else kinds
-    insults = hidden = learnt = strong = odd = capitals = long_ = yours = 0
-    weight, most, hits, strong_words = 0.0, 0.0, set(), set()
-    for word, k in Counter(words).items():
-        is_insult, is_hidden, w, is_odd, is_upper, is_long, is_you = kinds[word]
-        insults += k * is_insult
-        hidden += k * is_hidden
-        odd += k * is_odd
-        capitals += k * is_upper
-        long_ += k * is_long
-        yours += k * is_you
+    insults = hidden = learnt = strong = odd = capitals = long_ = 0
+    weight, most, strong_words = 0.0, 0.0, set()
+    told = [kinds[w] for w in words]
+    at, you = [], []
+    for k, kind in enumerate(told):
+        if kind is None:
+            continue
+        is_insult, is_hidden, w, is_odd, is_upper, is_long, is_you = kind
+        insults += is_insult
+        hidden += is_hidden
+        odd += is_odd
+        capitals += is_upper
+        long_ += is_long
+        if is_you:
+            you.append(k)
         if w > 0:
-            learnt += k
-            weight += k * w
+            learnt += 1
+            weight += w
             most = max(most, w)
             if w >= 2 * LEAST_Z:
-                strong += k
-                strong_words.add(word.lower())
+                strong += 1
+                strong_words.add(words[k].lower())
         if is_insult or is_hidden or w >= 2 * LEAST_Z:
-            hits.add(word)
-    at = [k for k, w in enumerate(words) if w in hits] if hits else []
-    near, j = 0, 0
-    if at and yours:
-        you = [k for k, w in enumerate(words) if kinds[w][6]]
+            at.append(k)
+    yours, near, j = len(you), 0, 0
+    if you:
         for k in at:
             while j < len(you) and you[j] < k - NEAR:
                 j += 1
             near += j < len(you) and you[j] <= k + NEAR
-    signs = Counter(text)
+    signs = signs_of(text)
     letters = sum(k for c, k in signs.items() if c.isalpha()) or 1
     upper = sum(k for c, k in signs.items() if c.isupper())
     other = sum(k for c, k in signs.items() if not (c.isalnum() or c.isspace()))
+    marks = signs.get("!", 0) + signs.get("?", 0)
     spelled = [plain(m) for m in _SPELLED.findall(text)]
     chars = len(text)
     return [
         insults / n, math.log1p(insults), hidden / n, math.log1p(hidden),
         learnt / n, strong / n, math.log1p(strong), weight / n, most, len(strong_words) / n,
         near / n, near / max(len(at), 1), yours / n,
-        upper / letters, capitals / n, sum(kinds[words[k]][4] for k in at) / max(len(at), 1),
-        (signs["!"] + signs["?"]) / chars, len(_MARKS.findall(text)) / n, other / chars,
+        upper / letters, capitals / n, sum(told[k][4] for k in at) / max(len(at), 1),
+        marks / chars, (len(_MARKS.findall(text)) if marks > 1 else 0) / n, other / chars,
         odd / n, long_ / n, len(spelled) / n, float(any(x in INSULTS for x in spelled)), math.log1p(n),
     ]
 
