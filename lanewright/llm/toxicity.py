@@ -232,7 +232,9 @@ def learn(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
     trees = GBTClassifier(featuresCol="x", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=2, seed=7).fit(fitted)
     told = lambda df: trees.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("x", "rawPrediction", "probability", "prediction")
     kinds = apart.agg(F.min("toxic"), F.max("toxic")).first()
-    level = IsotonicRegression(featuresCol="p", labelCol="label", predictionCol="level").fit(told(apart)) if kinds[0] != kinds[1] else None
+    # Equal scores count as one, so a large group of copies is one row.
+    points = told(apart).groupBy("p").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    level = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight", predictionCol="level").fit(points) if kinds[0] != kinds[1] else None
     weights = lexicon(rows)
 
     def score(df: DataFrame) -> DataFrame:
