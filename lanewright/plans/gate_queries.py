@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewright.functions.columns import words
-from lanewright.operators import gates, mixture, vectors
+from lanewright.operators import gates, mixture, units, vectors
 from lanewright.plans.oracle import WORDS, ngrams, values
 from lanewright.plans.queries import query
 from lanewright.sources.tables import table
@@ -155,6 +155,19 @@ def g3b_conversation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conv.join(least, "h").select("conv_id", "turns", (F.col("conv_id") == F.col("keep")).alias("kept"))
 
 
+@query(
+    """WITH u AS (SELECT doc_id, h, unit, k FROM (SELECT doc_id, h, unnest(us) AS unit, unnest(range(len(us))) AS k FROM (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS h, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), x -> trim(x, ' ')), x -> x <> '') AS us FROM documents))),
+f AS (SELECT doc_id, h, count(*) AS n, string_agg(unit, chr(10) ORDER BY k) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, h, k) AS r FROM u) WHERE r = 1 GROUP BY ALL),
+c AS (SELECT doc_id, h, count(*) AS n FROM u GROUP BY ALL)
+SELECT d.doc_id, coalesce(c.n, 0) AS n_units, coalesce(f.n, 0) AS n_kept, sha256(coalesce(f.kept, '')) AS kept_sha256 FROM (SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents) d LEFT JOIN c USING (doc_id, h) LEFT JOIN f USING (doc_id, h)""",
+    plain=True,
+)
+def g3b_line_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand in a document before, or before in the same."""
+    out = units.first_occurrences(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return out.select("doc_id", "n_units", "n_kept", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("""SELECT doc_id, n_letters, latin, latin >= 0.7 AS passed FROM (SELECT doc_id, CAST(n AS BIGINT) AS n_letters, CASE WHEN n > 0 THEN round(m / n, 6) ELSE 0 END AS latin FROM
   (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^\\p{L}]', '', 'g')) AS n, length(regexp_replace(coalesce(text, ''), '[^\\p{Latin}]', '', 'g')) AS m FROM documents))""")
 def g4_script_purity(spark: SparkSession, sf_dir: str) -> DataFrame:

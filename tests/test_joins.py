@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ from compare import DATA, connection, difference
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.operators import minhash, temporal, vectors
+from lanewright.operators import minhash, temporal, units, vectors
 from lanewright.operators.graph import components
 from lanewright.plans import join_queries
 from lanewright.plans.queries import ORACLE, QUERIES
@@ -201,3 +202,26 @@ def test_query_finds_something(spark: SparkSession, name: str) -> None:
     small = f"{DATA}/sf0.001"
     out: DataFrame = QUERIES[name](spark, small)
     assert difference(out, connection(small), ORACLE[name]) == "" and out.count() > 0
+
+
+@pytest.mark.parametrize(("separator", "plain"), [("\n", "\n"), ("\\s*---\\s*", "---")])
+def test_units_by_brute_force(spark: SparkSession, separator: str, plain: str) -> None:
+    """Lines and threads, with null ids and texts, blank units, repeated rows, two texts of one id, a unit in most texts."""
+    rng = random.Random(4)
+    rows: list[tuple] = [(k, plain.join(rng.choice(["all", " all ", "", "  ", f"u{rng.randrange(40)}", f"own{k}"]) for _ in range(rng.randint(0, 9))), k % 3) for k in range(60)]
+    rows += [(5, "all" + plain + "new of five", 7), (None, "u1" + plain + "nobody", 1), (None, None, 1), (61, None, 2), (62, "", 2), rows[3], rows[3]]
+    cut = lambda t: [x for x in ((y.strip(" ") for y in (t or "").split(plain))) if x]
+    seen: set[str] = set()
+    want = {}
+    texts = {(r[0], hashlib.md5((r[1] or "").encode()).hexdigest()): r[1] for r in rows}
+    for key in sorted(texts, key=lambda k: (k[0] is not None, k[0] or 0, k[1])):
+        kept = []
+        for unit in cut(texts[key]):
+            if unit not in seen:
+                seen.add(unit)
+                kept.append(unit)
+        want[key] = (len(cut(texts[key])), len(kept), "\n".join(kept))
+    df = spark.createDataFrame(rows, "id long, text string, unit int").repartition(5)
+    got = [(r["id"], r["text"], r["unit"], r["n_units"], r["n_kept"], r["kept_text"]) for r in units.first_occurrences(df, "id", "text", separator).collect()]
+    assert sorted(got, key=repr) == sorted(((*r, *want[r[0], hashlib.md5((r[1] or "").encode()).hexdigest()]) for r in rows), key=repr)
+    assert units.first_occurrences(df.limit(0), "id", "text").count() == 0
