@@ -156,7 +156,7 @@ def g3b_conversation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH u AS (SELECT doc_id, h, unit, k FROM (SELECT doc_id, h, unnest(us) AS unit, unnest(range(len(us))) AS k FROM (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS h, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), x -> trim(x, ' ')), x -> x <> '') AS us FROM documents))),
+    """WITH u AS (SELECT doc_id, h, unit, k FROM (SELECT doc_id, h, unnest(us) AS unit, unnest(range(len(us))) AS k FROM (SELECT DISTINCT doc_id, md5(coalesce(text, '')) AS h, [trim(x, ' ') FOR x IN string_split(coalesce(text, ''), chr(10)) IF trim(x, ' ') <> ''] AS us FROM documents))),
 f AS (SELECT doc_id, h, count(*) AS n, string_agg(unit, chr(10) ORDER BY k) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, h, k) AS r FROM u) WHERE r = 1 GROUP BY ALL),
 c AS (SELECT doc_id, h, count(*) AS n FROM u GROUP BY ALL)
 SELECT d.doc_id, coalesce(c.n, 0) AS n_units, coalesce(f.n, 0) AS n_kept, sha256(coalesce(f.kept, '')) AS kept_sha256 FROM (SELECT doc_id, md5(coalesce(text, '')) AS h FROM documents) d LEFT JOIN c USING (doc_id, h) LEFT JOIN f USING (doc_id, h)""",
