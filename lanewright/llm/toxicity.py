@@ -21,13 +21,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewright.llm.common import id_remainder, written
@@ -175,29 +176,44 @@ NAMES = (
 ).split()
 
 
-def lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Entries with their weights (standard errors), from rows of text and toxic; ties by entry."""
+def entry_counts(rows: DataFrame) -> DataFrame:
+    """entry and, for each half (0 or 1), the toxic (a0, a1) and clean (b0, b1) texts that have it; from rows of half, text and toxic."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), 500):  # bounded tables of counts
-                each: tuple[Counter, Counter] = (Counter(), Counter())
+                each = [Counter() for _ in range(4)]
                 part = b.iloc[lo : lo + 500]
-                for text, toxic in zip(part["text"], part["toxic"], strict=True):
-                    each[int(toxic)].update(entries(words_of(text)))
-                found = [(w, each[1][w], each[0][w]) for w in each[0].keys() | each[1].keys()]
-                yield pd.DataFrame(found, columns=["entry", "a", "b"], dtype=object)
-
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    one, two = n.get(1, 0), n.get(0, 0)
-    if not one or not two:
-        return {}
-    a, b = F.col("a"), F.col("b")
-    share = (a + b + 1) / F.lit(one + two)
-    z = (a / F.lit(one) - b / F.lit(two)) / F.sqrt(share * F.lit(1 / one + 1 / two))
-    total = rows.mapInPandas(count, "entry string, a long, b long").groupBy("entry").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    best = total.where(a >= LEAST_DOCS).select("entry", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "entry").limit(size)
-    return {r["entry"]: r["z"] for r in best.collect()}  # at most `size` rows
+                for half, text, toxic in zip(part["half"], part["text"], part["toxic"], strict=True):
+                    each[2 * int(half) + 1 - int(toxic)].update(entries(words_of(text)))
+                found = [(w, *(c[w] for c in each)) for w in set().union(*each)]
+                yield pd.DataFrame(found, columns=["entry", "a0", "b0", "a1", "b1"], dtype=object)
+
+    counted = rows.select("half", "text", "toxic").mapInPandas(count, "entry string, a0 long, b0 long, a1 long, b1 long")
+    return counted.groupBy("entry").agg(*(F.sum(c).alias(c) for c in ("a0", "b0", "a1", "b1")))
+
+
+def lexicons(rows: DataFrame, size: int = LEXICON) -> tuple[dict[str, float], ...]:
+    """Entries with their weights (standard errors) learnt on half 0, on half 1 and on both, from one count of the texts; ties by entry."""
+    n = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}  # four rows
+    counts = written(entry_counts(rows).where(F.col("a0") + F.col("a1") >= LEAST_DOCS))  # no other entry can be in any of them
+
+    def best(halves: tuple[int, ...]) -> dict[str, float]:
+        one, two = (sum(n.get((h, t), 0) for h in halves) for t in (1, 0))
+        if not one or not two:
+            return {}
+        a, b = (reduce(Column.__add__, [F.col(f"{c}{h}") for h in halves]) for c in "ab")
+        share = (a + b + 1) / F.lit(one + two)
+        z = (a / F.lit(one) - b / F.lit(two)) / F.sqrt(share * F.lit(1 / one + 1 / two))
+        top = counts.where(a >= LEAST_DOCS).select("entry", z.alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "entry").limit(size)
+        return {r["entry"]: r["z"] for r in top.collect()}  # at most `size` rows
+
+    return best((0,)), best((1,)), best((0, 1))
+
+
+def lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
+    """The lexicon of all rows (text, toxic)."""
+    return lexicons(rows.withColumn("half", F.lit(0)), size)[2]
 
 
 def with_features(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -220,7 +236,8 @@ def learn(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if toxic in (0, n):
         return lambda df: df.drop("text").withColumn("p", F.lit(float(toxic) / n if n else 0.0))
-    crossed = [with_features(own, lexicon(other)) for own, other in ((halves[0], halves[1]), (halves[1], halves[0]))]
+    first, second, weights = lexicons(rows.withColumn("half", (F.col("part") >= 2).cast("int")))
+    crossed = [with_features(halves[0], second), with_features(halves[1], first)]
     crossed = crossed[0].unionByName(crossed[1])
     if n > TRAIN_ROWS:
         crossed = crossed.where(F.pmod("pick", F.lit(1 << 20)) < int(TRAIN_ROWS / n * (1 << 20)))
@@ -235,7 +252,6 @@ def learn(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
     # Equal scores count as one, so a large group of copies is one row.
     points = told(apart).groupBy("p").agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
     level = IsotonicRegression(featuresCol="p", labelCol="label", weightCol="weight", predictionCol="level").fit(points) if kinds[0] != kinds[1] else None
-    weights = lexicon(rows)
 
     def score(df: DataFrame) -> DataFrame:
         out = told(with_features(df, weights))
