@@ -2,9 +2,10 @@
 
 The features are densities of two lexicons, how near second-person words stand to their entries, capitals, punctuation and
 obfuscation. The fixed lexicon holds general English insults; the learnt one holds words and beginnings of words that labelled
-toxic texts have more often than clean ones, in any language. Document frequencies of the learnt lexicon are counted in Spark
-over all labelled rows; only its best entries, at most `LEXICON`, reach the driver. Trees and calibration are fitted by Spark on at
-most about `TRAIN_ROWS` labelled rows, taken by the hash of the id (a documented bound; with fewer rows all are used).
+toxic texts have more often than clean ones, in any language. The model (lexicon, trees, calibration) is fitted by Spark on at most
+about `TRAIN_ROWS` labelled rows, taken by the hash of the id (a documented bound; with fewer rows all are used). So the labels that
+are learnt from can be broadcast, and texts are neither shuffled nor read but in their scan, however many there are. Of the
+lexicon's document frequencies only the best entries, at most `LEXICON`, reach the driver.
 
 Three parts of the labelled rows keep the parts of the model apart: each half of the training rows gets lexicon features from the
 lexicon learnt on the other half, trees learn from four fifths of those, and the calibration learns from the rest, which no tree saw.
@@ -31,9 +32,9 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import id_remainder, written
+from lanewright.llm.common import broadcast_if_small, id_remainder, written
 
-#: Entries of the learnt lexicon, and about how many labelled rows the trees and the calibration are fitted on.
+#: Entries of the learnt lexicon, and about how many labelled rows the model is fitted on at most.
 LEXICON = 2000
 TRAIN_ROWS = 400_000
 #: Least documents that an entry occurs in, and least deviation (in standard errors) of its share among toxic ones.
@@ -239,8 +240,6 @@ def learn(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
     first, second, weights = lexicons(rows.withColumn("half", (F.col("part") >= 2).cast("int")))
     crossed = [with_features(halves[0], second), with_features(halves[1], first)]
     crossed = crossed[0].unionByName(crossed[1])
-    if n > TRAIN_ROWS:
-        crossed = crossed.where(F.pmod("pick", F.lit(1 << 20)) < int(TRAIN_ROWS / n * (1 << 20)))
     crossed = written(crossed.withColumn("label", F.col("toxic").cast("double")))
     fitted, apart = crossed.where("part <> 4"), crossed.where("part = 4")
     kinds = fitted.agg(F.min("toxic"), F.max("toxic")).first()
@@ -260,13 +259,21 @@ def learn(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return score
 
 
+def sampled(known: DataFrame) -> DataFrame:
+    """Of labels (id, toxic) about TRAIN_ROWS, by the hash of the id; all if they are no more."""
+    n = known.count()
+    share = min(1.0, TRAIN_ROWS / n) if n else 1.0
+    return known if share == 1 else known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted; labels are learnt where the id's remainder mod 5 is not 0."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("toxic is not null and id is not null")
     part = F.pmod(F.floor(F.crc32(F.col("id").cast("string")) / 5), F.lit(5)).cast("int")
-    known = known.where(id_remainder(5, "id") != 0).select("id", (F.col("toxic") > 0).cast("int").alias("toxic"), part.alias("part"), F.xxhash64("id").alias("pick"))
-    score = learn(rows.join(known, F.col("doc_id") == F.col("id")).select("part", "pick", "text", "toxic"))
+    known = sampled(known.where(id_remainder(5, "id") != 0).select("id", (F.col("toxic") > 0).cast("int").alias("toxic")))
+    # Only an id with very many labels can make the sample larger than the bound; then the join is by shuffle.
+    score = learn(rows.join(broadcast_if_small(known, 2 * TRAIN_ROWS), F.col("doc_id") == F.col("id")).select(part.alias("part"), "text", "toxic"))
     asked = rows.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), (id_remainder(5) == 0).alias("held_out"), "text")
     p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("p", F.lit(0.0))))
     return score(asked).select(F.nullif("doc", F.lit("")).cast("long").alias("doc_id"), "held_out", p.alias("score"), F.when(p >= 0.5, 1).otherwise(0).alias("predicted"))

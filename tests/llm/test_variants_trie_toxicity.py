@@ -169,6 +169,21 @@ def test_toxicity_without_classes(spark: SparkSession) -> None:
     assert toxicity.toxicity(table.where("false"), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 
 
+def test_toxicity_from_a_bounded_sample(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """With more labels than the bound about as many are learnt from, the same each time, and every text has a score."""
+    docs, labels = toxic_rows()
+    known = spark.createDataFrame(labels, "id long, toxic int")
+    assert toxicity.sampled(known).count() == len(labels)
+    assert toxicity.sampled(known.where("false")).count() == 0
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 200)
+    some = sorted(tuple(r) for r in toxicity.sampled(known).collect())
+    assert 150 < len(some) < 250 and some == sorted(tuple(r) for r in toxicity.sampled(known.repartition(5)).collect())
+    got = toxicity.toxicity(spark.createDataFrame(docs, "doc_id long, text string, p string"), known.withColumnRenamed("id", "doc_id")).collect()
+    truth = dict(labels)
+    assert len(got) == len(docs)
+    assert sum(r["predicted"] != truth[r["doc_id"]] for r in got if r["held_out"]) <= 0.15 * sum(r["held_out"] for r in got)
+
+
 def test_toxicity_features() -> None:
     x = dict(zip(toxicity.NAMES, toxicity.features("You are an IDIOT!! st*pid 1d10t s-t-u-p-i-d fine quarkolon", {"quark*": 9.0}), strict=True))
     assert x["words"] == pytest.approx(math.log1p(9)) or x["words"] > 0
