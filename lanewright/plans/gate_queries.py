@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewright.functions.columns import words
-from lanewright.operators import gates, mixture, units, vectors
+from lanewright.operators import gates, mixture, slicing, units, vectors
 from lanewright.plans.oracle import WORDS, ngrams, values
+from lanewright.plans.params import P
 from lanewright.plans.queries import query
-from lanewright.sources.tables import table
+from lanewright.sources.tables import laned_documents, table
 
 # The plan's tables. Lane, share, tokens (billions), floor, seed / 3 B / 8 B / main / anneal percentages, estimate.
 PLAN_LANES = (
@@ -311,4 +312,38 @@ def g16_long_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.join(tokens.groupBy("shard_id").agg(F.count_if(F.col("n") > 8192).alias("sliced")), "shard_id")
 
 
+def slices_sql(limit: int) -> str:
+    """doc_id, piece, first, n, ends of operators.slicing: the best cut of every prefix of a text, one after the other, then the way back."""
+    counts = f"list_filter(list_transform(string_split(regexp_replace(par, '{slicing.SENTENCE.replace("'", "''")}', '\\1' || chr(30), 'g'), chr(30)), lambda s: len({WORDS.replace("coalesce(text, '')", "s")})), lambda k: k > 0)"
+    return f"""(WITH RECURSIVE pars AS (SELECT doc_id, unnest(ps) AS par, generate_subscripts(ps, 1) AS a FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{slicing.PARAGRAPH}') AS ps FROM documents)),
+sents AS (SELECT doc_id, a, unnest(ns) AS n, generate_subscripts(ns, 1) AS b, len(ns) AS of_ FROM (SELECT doc_id, a, {counts} AS ns FROM pars)),
+runs AS (SELECT doc_id, a, b, k, least({limit}, n - k * {limit}) AS n, CASE WHEN (k + 1) * {limit} < n THEN 2 WHEN b < of_ THEN 1 ELSE 0 END AS c FROM (SELECT *, unnest(range(0, (n - 1) // {limit} + 1)) AS k FROM sents)),
+lists AS MATERIALIZED (SELECT doc_id, list(c ORDER BY a, b, k) AS cs, list_prepend(0, list(s ORDER BY a, b, k)) AS cum FROM (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY a, b, k) AS BIGINT) AS s FROM runs) GROUP BY doc_id),
+step AS (SELECT doc_id, 0 AS i, [0::BIGINT] AS best, []::BIGINT[] AS came FROM lists
+  UNION ALL SELECT doc_id, i + 1, list_append(best, m // 1000000 + 1000000 + cs[i + 1]), list_append(came, m % 1000000) FROM (
+    SELECT doc_id, i, best, came, cs, list_min(list_transform(range(greatest(0, i + 1 - {limit}), i + 1), lambda j: CASE WHEN cum[i + 2] - cum[j + 1] <= {limit} THEN best[j + 1] * 1000000 + j END)) AS m FROM step JOIN lists USING (doc_id) WHERE i < len(cs))),
+ways AS MATERIALIZED (SELECT doc_id, came, cs, cum FROM step JOIN lists USING (doc_id) WHERE i = len(cs)),
+back AS (SELECT doc_id, CAST(len(came) AS BIGINT) AS cut FROM ways UNION ALL SELECT doc_id, came[cut] FROM back JOIN ways USING (doc_id) WHERE came[cut] > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cut) - 1 AS INT) AS piece, cum[came[cut] + 1] AS first, cum[cut + 1] - cum[came[cut] + 1] AS n, {list(slicing.ENDS)}[cs[cut] + 1] AS ends FROM back JOIN ways USING (doc_id))"""
+
+
+@query(f"SELECT * FROM {slices_sql(P.context)}", plain=True)
+def g16_natural_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text in slices of at most the context length, cut where paragraphs and sentences end."""
+    return slicing.slice_rows(table(spark, sf_dir, "documents"), P.context, keep=["doc_id"])
+
+
+@query(
+    f"""SELECT * FROM (WITH RECURSIVE pieces AS (SELECT shard_id, off // {slicing.PART * 8192} AS part, s.* FROM {slices_sql(8192)} s JOIN offs USING (doc_id)),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY shard_id, part ORDER BY doc_id, piece) AS r FROM pieces),
+w AS (SELECT shard_id, part, doc_id, piece, n, r, 0::BIGINT AS win, n AS fill FROM r WHERE r = 1
+  UNION ALL SELECT r.shard_id, r.part, r.doc_id, r.piece, r.n, r.r, win + CASE WHEN fill + r.n > 8192 THEN 1 ELSE 0 END, CASE WHEN fill + r.n > 8192 THEN 0 ELSE fill END + r.n FROM w JOIN r ON r.shard_id = w.shard_id AND r.part = w.part AND r.r = w.r + 1)
+SELECT shard_id, part, win, count(*) AS pieces, CAST(sum(n) AS BIGINT) AS tokens, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM w GROUP BY ALL)"""
+)
+def g16_natural_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 8,192 tokens put together in order from texts, or from their slices if they are longer."""
+    placed = slicing.concatenated(laned_documents(spark, sf_dir), "shard_id", "doc_id", 8192)
+    return placed.groupBy("shard_id", "part", "win").agg(F.count("*").alias("pieces"), F.sum("n").alias("tokens"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
 query(None)(g6_domain_mining)
