@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lanewright.operators import minhash, temporal, vectors
 from lanewright.plans.oracle import WORDS, ngrams
 from lanewright.plans.queries import query
+from lanewright.sources.shared import materialised
 from lanewright.sources.tables import table
 
 _SET = f"list_distinct({ngrams('w', 'k')})"
@@ -81,7 +82,7 @@ def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j14_asof_latest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every shipment with the customer's latest order at that time."""
-    met = temporal.asof_join(_shipments(spark, sf_dir), _placed(spark, sf_dir), "key", "at", "placed")
+    met = temporal.asof_join(_shipments(spark, sf_dir).drop("l_quantity"), _placed(spark, sf_dir), "key", "at", "placed")
     return met.select("l_orderkey", "l_linenumber", F.col("match.o_orderkey").alias("latest_order"))
 
 
@@ -112,8 +113,8 @@ SELECT o_orderkey, count(*) AS shipments, round(sum(l_quantity), 4) AS quantity
 )
 def j15_shipments_in_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each order the shipments to its customer between the order and its own last shipment; a thousandth of the intervals begin years earlier."""
-    sent = _shipments(spark, sf_dir)
+    sent = materialised(_shipments(spark, sf_dir))
     long_ = F.when(F.col("o_orderkey") % 1000 == 0, F.lit(631_152_000_000_000).cast("long")).otherwise(F.col("placed"))
     span = sent.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("at").alias("hi")).join(_placed(spark, sf_dir), "o_orderkey").select("o_orderkey", "key", long_.alias("lo"), "hi")
-    met = temporal.interval_join(span, sent.select("key", "at", "l_quantity"), "key", "lo", "hi", "at", unit=7 * 86_400_000_000)
+    met = temporal.interval_join(materialised(span), sent.select("key", "at", "l_quantity"), "key", "lo", "hi", "at", unit=7 * 86_400_000_000)
     return met.groupBy("o_orderkey").agg(F.count("*").alias("shipments"), F.round(F.sum("l_quantity"), 4).alias("quantity"))
