@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewright.functions.columns import token_ids, words
+from lanewright.functions.columns import token_ids_of, words
 from lanewright.operators.ordered import ordered_hash, prefix_sum
 from lanewright.plans.params import P
 from lanewright.sources.tables import laned_documents
@@ -70,11 +70,12 @@ def piece_hash(words_: Column) -> Column:
 def pieces(spark: SparkSession, sf_dir: str, tokens: DataFrame, context: int = P.context, value: Callable[[Column], Column] = piece_hash) -> DataFrame:
     """A row per document and sequence with a value (`hash`) of the document's words in it: their SHA-256 unless told otherwise.
 
-    Offsets meet texts by a join, which shuffles the words once where the offsets are too many to broadcast.
+    Offsets meet texts by a join that moves each text once, as it is, and sorts none: the offsets of a part are its hash table, being few
+    beside the texts. Words are split after it. The columns of SHARD come with the offsets.
     """
-    docs = laned_documents(spark, sf_dir).select(*SHARD, "doc_id", words(F.col("text")).alias("w"))
-    offs = offsets(tokens).select("shard_id", "doc_id", "off")
-    rows = docs.where(F.size("w") > 0).join(offs, ["shard_id", "doc_id"])
+    docs = laned_documents(spark, sf_dir).select("shard_id", "doc_id", "text")
+    offs = offsets(tokens).where("n > 0").select(*SHARD, "doc_id", "off")
+    rows = docs.join(offs.hint("shuffle_hash"), ["shard_id", "doc_id"]).select(*SHARD, "doc_id", "off", words(F.col("text")).alias("w"))
     lo, hi = F.floor(F.col("off") / context), F.floor((F.col("off") + F.size("w") - 1) / context)
 
     def piece(k: Column) -> Column:
@@ -82,19 +83,22 @@ def pieces(spark: SparkSession, sf_dir: str, tokens: DataFrame, context: int = P
         size = F.least((k + 1) * context - F.col("off"), F.size("w").cast("long")) - skip
         return F.struct(k.alias("seq"), value(F.slice("w", (skip + 1).cast("int"), size.cast("int"))).alias("hash"))
 
-    return rows.select(*SHARD, "doc_id", F.explode(F.transform(F.sequence(lo, hi), piece)).alias("x")).select(*SHARD, "doc_id", "x.seq", "x.hash")
+    # A filter on the words would be pushed below them and split every text once more.
+    own = F.when(F.size("w") > 0, F.transform(F.sequence(lo, hi), piece))
+    return rows.select(*SHARD, "doc_id", F.explode(own).alias("x")).select(*SHARD, "doc_id", "x.seq", "x.hash")
 
 
 def sequence_hashes(spark: SparkSession, sf_dir: str, tokens: DataFrame) -> DataFrame:
-    """SHARD, seq, hash: over the pieces in order (a sequence holds at most `context` of them)."""
-    return pieces(spark, sf_dir, tokens).groupBy(*SHARD, "seq").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "hash"))), lambda x: x["hash"]), "\n"), 256).alias("hash"))
+    """shard_id, seq, hash: over the pieces in order (a sequence holds at most `context` of them)."""
+    own = pieces(spark, sf_dir, tokens).groupBy("shard_id", "seq").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.unhex("hash").alias("hash")))).alias("x"))
+    return own.select("shard_id", "seq", F.sha2(F.array_join(F.transform("x", lambda x: F.lower(F.hex(x["hash"]))), "\n"), 256).alias("hash"))
 
 
 def arrays(spark: SparkSession, sf_dir: str, tokens: DataFrame, context: int = P.context, vocab: int = P.vocab) -> DataFrame:
     """SHARD, seq, tokens (ids, padded with 0) and mask of every sequence, from the documents' words."""
-    own = pieces(spark, sf_dir, tokens, context, lambda w: token_ids(w, vocab))
+    own = pieces(spark, sf_dir, tokens, context, lambda w: w).withColumn("hash", token_ids_of(vocab)("hash"))
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "hash"))), lambda x: x["hash"]))
-    rows = own.groupBy(*SHARD, "seq").agg(ids.alias("ids"))
+    rows = own.groupBy(*SHARD, "seq").agg(ids.cast("array<bigint>").alias("ids"))
     pad = F.lit(context) - F.size("ids")
     zeros = F.array_repeat(F.lit(0).cast("long"), pad)
     return rows.select(*SHARD, "seq", F.concat("ids", zeros).alias("tokens"), F.concat(F.transform("ids", lambda _: F.lit(1).cast("long")), zeros).alias("mask"))
