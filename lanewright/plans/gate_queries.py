@@ -10,6 +10,7 @@ from lanewright.operators import gates, mixture, slicing, units, vectors
 from lanewright.plans.oracle import WORDS, ngrams, values
 from lanewright.plans.params import P
 from lanewright.plans.queries import query
+from lanewright.sources.shared import materialised
 from lanewright.sources.tables import laned_documents, table
 
 # The plan's tables. Lane, share, tokens (billions), floor, seed / 3 B / 8 B / main / anneal percentages, estimate.
@@ -190,7 +191,8 @@ def g6_domain_mining(spark: SparkSession, sf_dir: str, least: float = 0.7, round
 
     docs = table(spark, sf_dir, "documents").select("doc_id", words(F.lower("text")).alias("w"))
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    data = HashingTF(numFeatures=4096, inputCol="w", outputCol="features").transform(docs).join(labels, "doc_id", "left").select("doc_id", "features", "quality")
+    data = HashingTF(numFeatures=4096, inputCol="w", outputCol="features").transform(docs).select("doc_id", "features").join(labels, "doc_id", "left").select("doc_id", "features", "quality")
+    data = materialised(data)  # words are counted once; rounds read their counts
     seed = F.col("quality") == 1
     state = data.withColumn("round", F.when(seed, 0))
     size = state.where("round = 0").count()
@@ -200,7 +202,7 @@ def g6_domain_mining(spark: SparkSession, sf_dir: str, least: float = 0.7, round
             break
         model = LogisticRegression(maxIter=20, regParam=0.1).fit(train)
         scored = model.transform(state).withColumn("p", vector_to_array("probability")[1])
-        state = scored.withColumn("round", F.coalesce("round", F.when((F.col("p") >= least) & F.col("quality").isNull(), k))).select("doc_id", "features", "quality", "round")
+        state = materialised(scored.withColumn("round", F.coalesce("round", F.when((F.col("p") >= least) & F.col("quality").isNull(), k))).select("doc_id", "features", "quality", "round"))
         added = state.where(F.col("round") == k).count()
         if added < small * max(1, size):
             break
