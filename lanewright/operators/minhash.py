@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewright.functions.columns import words
-from lanewright.operators.gates import ngrams
 from lanewright.operators.graph import components
 from lanewright.sources.shared import materialised
 
@@ -32,6 +32,11 @@ SHINGLE, LEAST = 5, 0.8
 HASHES, BANDS = 128, 32
 #: Shingles of all sets in a block of a band.
 BLOCK = 500_000
+#: Words of the texts that are hashed at a time.
+PART = 65_536
+#: Rows on either side of a square of a join, and rows of a part that is grouped in one task.
+SIDE, DEALT = 1024, 2_000_000
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(42).integers(0, 2**64, HASHES, dtype=np.uint64)
 
 
@@ -42,40 +47,73 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each run of shingles that begins at one of `starts`, the least of each of 128 hashes."""
+    flat = shingles.astype(np.int64).view(np.uint64)
+    return np.stack([np.minimum.reduceat(_mix(flat ^ seed), starts) for seed in _SEEDS], axis=1)
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The least of each of 128 hashes over the shingles."""
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(shingles), 4096):
-        part = shingles[lo : lo + 4096].astype(np.int64).view(np.uint64)
-        out = np.minimum(out, _mix(part[:, None] ^ _SEEDS).min(axis=0))
-    return out
+    return signatures(shingles, np.zeros(1, np.int64))[0]
 
 
 def band_hashes(sig: np.ndarray) -> np.ndarray:
-    """A hash for each band of the signature; the band's number is part of it."""
-    rows = sig.reshape(BANDS, HASHES // BANDS)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(rows.shape[1]):
-        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + rows[:, k])
+    """A hash for each band of a signature (or of each of several); the band's number is part of it."""
+    rows = sig.reshape(*sig.shape[:-1], BANDS, HASHES // BANDS)
+    h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:-1])
+    for k in range(rows.shape[-1]):
+        h = _mix(h * _FOLD + rows[..., k])
     return h.view(np.int64)
 
 
-def shingles_of(words_: Column, n: int = SHINGLE) -> Column:
-    """Hashes of the distinct n-word shingles, sorted; of all words if there are fewer."""
-    return F.when(F.size(words_) > 0, F.array_sort(F.array_distinct(F.transform(ngrams(words_, F.least(F.size(words_), F.lit(n))), lambda x: F.xxhash64(x))))).otherwise(F.array().cast("array<bigint>"))
-
-
-def prints(sets: pd.Series) -> pd.DataFrame:
-    """A digest of each set and its bands (none for the empty set)."""
-    digest = [hashlib.md5(s.astype(np.int64).tobytes()).hexdigest() for s in sets]
-    return pd.DataFrame({"digest": digest, "bands": [band_hashes(signature(s)) if len(s) else np.zeros(0, np.int64) for s in sets]})
+def _shingles(hashes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct n-word shingles of texts laid end to end, sorted within each text, and how many each text has."""
+    wide = np.minimum(sizes, n)
+    row = np.repeat(np.arange(len(sizes)), np.where(sizes > 0, sizes - wide + 1, 0))
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+    at = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row))) + (np.cumsum(sizes) - sizes)[row]
+    w, k = hashes.view(np.uint64), wide[row]
+    h = k.astype(np.uint64)
+    for j in range(n):
+        h = np.where(j < k, _mix(h * _FOLD + w[np.minimum(at + j, len(w) - 1)]), h)
+    h = h.view(np.int64)
+    order = np.lexsort((h, row))
+    h = h[order]
+    new = (np.diff(h, prepend=0) != 0) | (np.diff(row, prepend=-1) != 0)
+    return h[new], np.bincount(row[new], minlength=len(sizes))
+
+
+def prints(words_: pa.ListArray, n: int) -> pa.StructArray:
+    """From the hashes of each text's words: its set of shingles, a digest of the set and its bands (none for the empty set)."""
+    flat, ends = words_.flatten().to_numpy(), np.cumsum(np.asarray(words_.value_lengths().fill_null(0), np.int64))
+    sets, digests, bands, sizes, done = [], [], [], [], 0
+    while done < len(ends):  # some texts at a time: what is held beside the input stays small
+        begin = ends[done - 1] if done else 0
+        to = max(done + 1, int(np.searchsorted(ends, begin + PART, "right")))
+        own, count = _shingles(flat[begin : ends[to - 1]], np.diff(ends[done:to], prepend=begin), n)
+        starts = np.cumsum(count) - count
+        digests += [hashlib.md5(own[a : a + k].tobytes()).hexdigest() for a, k in zip(starts, count, strict=True)]
+        if len(own):
+            bands.append(band_hashes(signatures(own, starts[count > 0])).ravel())
+        sets.append(own)
+        sizes.append(count)
+        done = to
+    joined = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    many = joined(sizes)
+    lists = lambda values, each: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.array(values, pa.int64()))
+    return pa.StructArray.from_arrays([lists(joined(sets), many), pa.array(digests, pa.string()), lists(joined(bands), np.where(many > 0, BANDS, 0))], ["gs", "digest", "bands"])
 
 
 def printed(rows: DataFrame, text: str, n: int = SHINGLE) -> DataFrame:
     """The other columns, gs (the set), digest and bands."""
     kept = [c for c in rows.columns if c != text]
-    sets = rows.select(*kept, words(F.col(text)).alias("w")).select(*kept, shingles_of(F.col("w"), n).alias("gs"))
-    return sets.withColumn("x", F.pandas_udf(prints, "digest string, bands array<bigint>")("gs")).select(*kept, "gs", "x.digest", "x.bands")
+
+    def own(words_: pa.Array) -> pa.Array:
+        return prints(words_, n)
+
+    found = F.arrow_udf(own, "gs array<bigint>, digest string, bands array<bigint>")
+    return rows.select(*kept, F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("h")).select(*kept, found("h").alias("x")).select(*kept, "x.gs", "x.digest", "x.bands")
 
 
 def jaccard(a: str, b: str) -> Column:
@@ -84,15 +122,37 @@ def jaccard(a: str, b: str) -> Column:
     return common / (F.size(a) + F.size(b) - common)
 
 
+def _met(left: DataFrame, right: DataFrame, on: str) -> tuple[DataFrame, int]:
+    """The join of two written tables, their other columns being different, and how many rows it has.
+
+    A value that many rows share on both sides is cut into squares of SIDE rows by SIDE, each dealt out by itself.
+    """
+    count = lambda df, name: df.groupBy(on).agg(F.count("*").alias(name))
+    sizes = materialised(count(left, "__l").join(count(right, "__r"), on))
+    cut = lambda c: F.ceil(F.col(c) / SIDE).cast("int")
+    hot = F.broadcast(sizes.where(F.col("__l") * F.col("__r") > SIDE * SIDE).select(on, cut("__l").alias("__ls"), cut("__r").alias("__rs")))  # a row for SIDE * SIDE rows of the result
+    part = lambda df, own, other, mine: df.join(hot, on, "left").select(*df.columns, F.pmod(F.xxhash64(*df.columns), F.coalesce(own, F.lit(1))).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias("__o"))
+    a, b = part(left, "__ls", "__rs", "__m").withColumnRenamed("__o", "__n"), part(right, "__rs", "__ls", "__n").withColumnRenamed("__o", "__m")
+    total = sizes.agg(F.sum(F.col("__l") * F.col("__r"))).first()[0] or 0
+    return a.join(b, [on, "__m", "__n"]).drop("__m", "__n"), total
+
+
+def _dealt(rows: DataFrame, total: int, *keys: str) -> DataFrame:
+    """Rows by keys in as many parts as keep each to about DEALT rows: what is grouped by them next is grouped within a part."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // DEALT)), *keys)
+
+
 def similar_pairs(left: DataFrame, right: DataFrame, least: float = LEAST) -> DataFrame:
-    """digest, right_digest, jaccard of distinct printed sets of two tables whose Jaccard is `least` or more."""
-    one = lambda df: materialised(df.select("digest", "gs", "bands").dropDuplicates(["digest"]))
-    a, b = one(left), one(right)
+    """digest, right_digest, jaccard of distinct printed sets (written tables) of two tables whose Jaccard is `least` or more."""
     spread = lambda df, name: df.select(F.col("digest").alias(name), F.explode("bands").alias("band"), F.size("gs").alias(f"n_{name}"))
+    same = left.where(F.size("gs") > 0).select("digest").join(right.select("digest"), "digest")
+    asked = spread(right, "b")
+    met, total = _met(materialised(spread(left, "a").join(asked.select("band").distinct(), "band", "left_semi")), materialised(asked), "band")
     sizes = (F.col("n_a") >= F.col("n_b") * least) & (F.col("n_b") >= F.col("n_a") * least)
-    pairs = materialised(spread(a, "a").join(spread(b, "b"), "band").where(sizes).select("a", "b").distinct())
-    met = pairs.join(a.select(F.col("digest").alias("a"), F.col("gs").alias("ga")), "a").join(b.select(F.col("digest").alias("b"), F.col("gs").alias("gb")), "b")
-    return met.select(F.col("a").alias("digest"), F.col("b").alias("right_digest"), jaccard("ga", "gb").alias("jaccard")).where(F.col("jaccard") >= least)
+    pairs = materialised(_dealt(met.where(sizes & (F.col("a") != F.col("b"))).select("a", "b"), total, "a", "b").distinct())
+    near = pairs.join(left.select(F.col("digest").alias("a"), F.col("gs").alias("ga")), "a").join(right.select(F.col("digest").alias("b"), F.col("gs").alias("gb")), "b")
+    near = near.select(F.col("a").alias("digest"), F.col("b").alias("right_digest"), jaccard("ga", "gb").alias("jaccard")).where(F.col("jaccard") >= least)
+    return near.unionByName(same.select("digest", F.col("digest").alias("right_digest"), F.lit(1.0).alias("jaccard")))
 
 
 def _across(least: float):  # noqa: ANN202
@@ -176,12 +236,11 @@ def near_paragraphs(docs: DataFrame, benchmark: DataFrame, least: float = LEAST,
     A paragraph is a line, or a run of lines up to an empty one: both are tried on either side.
     """
     lines = lambda df, key: df.select(key, F.explode(F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n[ \t]*\n")))).alias("part")).where("part rlike '[^ \\t\\n]'")
-    one = lambda df: df.select("part").distinct()
-    mine, items = lines(docs, "doc_id"), lines(benchmark, "item_id")
-    left = materialised(printed(one(mine).withColumn("h", F.sha2("part", 256)), "part", n))
-    right = materialised(printed(one(items).withColumn("h", F.sha2("part", 256)), "part", n))
+    mine, items = (materialised(printed(lines(df, key), "part", n)) for df, key in ((docs, "doc_id"), (benchmark, "item_id")))
+    left, right = (materialised(df.groupBy("digest").agg(F.first("gs").alias("gs"), F.first("bands").alias("bands"))) for df in (mine, items))
     found = materialised(similar_pairs(left, right, least))
-    a = found.join(left.select("h", "digest"), "digest").select("right_digest", "jaccard", F.col("h").alias("ha"))
-    pairs = a.join(right.select(F.col("h").alias("hb"), F.col("digest").alias("right_digest")), "right_digest").select("ha", "hb", "jaccard")
-    out = mine.select("doc_id", F.sha2("part", 256).alias("ha")).join(pairs, "ha").join(items.select("item_id", F.sha2("part", 256).alias("hb")), "hb")
-    return out.groupBy("doc_id", "item_id").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    of = lambda df, key, digest: df.select(key, F.col("digest").alias(digest)).distinct()
+    asked = materialised(found.join(of(items, "item_id", "right_digest"), "right_digest").select("digest", "jaccard", "item_id"))
+    given = materialised(of(mine, "doc_id", "digest").join(found.select("digest").distinct(), "digest", "left_semi"))
+    met, total = _met(given, asked, "digest")
+    return _dealt(met.select("doc_id", "item_id", "jaccard"), total, "doc_id", "item_id").groupBy("doc_id", "item_id").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
