@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.operators import temporal
+from lanewright.functions import columns
+from lanewright.functions.columns import token_ids_of
+from lanewright.operators import minhash, packing, temporal
 
 
 def test_interval_join_without_cells(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
@@ -31,3 +36,35 @@ def test_asof_without_quantiles(spark: SparkSession, monkeypatch: pytest.MonkeyP
     monkeypatch.setattr(temporal, "Bucketizer", lambda **_: pytest.fail("quantiles"))
     got = {r["t"]: r["match"] and r["match"]["y"] for r in temporal.asof_join(a, b, "key", "t", "t", part_rows=20).collect()}
     assert got == {t: max((y for y in range(0, t + 1, 2) if y % 9 == t % 9), default=None) for t in range(90)}
+
+
+def test_token_ids_by_batch(spark: SparkSession) -> None:
+    words_ = [["a", "b", "a"], [], ["\u00e9", "x" * 300], None]
+    df = spark.createDataFrame([(k, w) for k, w in enumerate(words_)], "k int, w array<string>").coalesce(1)
+    for vocab in (512, 50_000):
+        got = {r["k"]: r["x"] for r in df.select("k", token_ids_of(vocab)("w").alias("x")).collect()}
+        plain = lambda w: int(hashlib.sha256(w.encode()).hexdigest(), 16) % (vocab - 1) + 1  # noqa: B023, E731
+        assert all(got[k] == [plain(x) for x in w or []] for k, w in enumerate(words_))
+
+
+def test_other_spaces() -> None:
+    """The characters that are turned into blanks are those of the pattern."""
+    spaces = re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", columns.SPACES))
+    assert set(columns._OTHERS) == {chr(c) for c in range(0x10000) if spaces.fullmatch(chr(c))} - {" "}
+
+
+def test_texts_are_split_once(spark: SparkSession) -> None:
+    """In the plan of the pieces' hashes the texts are split in one place, after the join."""
+    tokens = spark.createDataFrame([(0, "COMMON_CRAWL", False, 0, "COMMON_CRAWL_shard_000", 1, 5)], "lane_idx int, lane string, is_eval boolean, src int, shard_id string, doc_id long, n long")
+    plan = packing.pieces(spark, "/root/testdata/sf0.001", tokens)._jdf.queryExecution().optimizedPlan().toString()
+    lines = [line for line in plan.splitlines() if "split(" in line]
+    assert len(lines) == 1
+
+
+def test_square_join(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr(minhash, "SIDE", 4)
+    a = spark.range(60).select((F.col("id") % 60 % 7 % 3).alias("on"), F.col("id").alias("a"))
+    b = spark.range(25).select((F.col("id") % 4).alias("on"), F.col("id").alias("b"))
+    met, total = minhash._met(a, b, "on")
+    want = sorted((x, y) for x in range(60) for y in range(25) if x % 7 % 3 == y % 4)
+    assert sorted((r["a"], r["b"]) for r in met.collect()) == want and total == len(want)
