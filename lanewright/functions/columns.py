@@ -1,4 +1,4 @@
-"""Column functions: words, token ids, hashes and hash-derived uniform numbers, JVM-side but for `token_ids_of`."""
+"""Column functions: words, token ids, hashes and hash-derived uniform numbers, JVM-side but for `word_counts`, `piece_hashes` and `token_ids_of`."""
 
 from __future__ import annotations
 
@@ -21,6 +21,35 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _OTHERS, " " * len(_OTHERS)), " ", -1), "")
 
 
+def _split(text: pa.Scalar) -> list[str]:
+    """Words of a UTF-8 text: Python splits at the same white space as `words`."""
+    return (text.as_py() or b"").decode("utf-8", "replace").split()
+
+
+def word_counts(text: Column) -> Column:
+    """F.size(words(text)), where the words themselves are not wanted: translating every character in the JVM takes several times as long."""
+
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array([len(_split(x)) for x in texts], pa.int64())
+
+    return F.arrow_udf(count, "long")(text.cast("binary"))
+
+
+def piece_hashes(text: Column, off: Column, context: int) -> Column:
+    """seq and hash of each piece of a text whose first word is word `off` of its shard: SHA-256 of the piece's words, joined by blanks."""
+    kind = pa.list_(pa.struct([("seq", pa.int64()), ("hash", pa.binary())]))
+
+    def pieces(words_: list[str], at: int) -> list[dict]:
+        # A piece ends where a sequence does.
+        cuts = [0, *range(context - at % context, len(words_), context), len(words_)] if words_ else []
+        return [{"seq": (at + i) // context, "hash": hashlib.sha256(" ".join(words_[i:j]).encode()).digest()} for i, j in zip(cuts, cuts[1:])]
+
+    def encode(texts: pa.Array, offs: pa.Array) -> pa.Array:
+        return pa.array([pieces(_split(x), at) for x, at in zip(texts, offs.to_pylist(), strict=True)], kind)
+
+    return F.arrow_udf(encode, "array<struct<seq: bigint, hash: binary>>")(text.cast("binary"), off)
+
+
 def token_ids(words_: Column, vocab: int) -> Column:
     """The ids of an array of words. Each word is hashed once: the fold below reads its digest five times."""
     return F.transform(F.transform(words_, lambda x: F.sha2(x, 256)), lambda d: folded(d, vocab))

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewright.functions.columns import token_ids_of, words
+from lanewright.functions.columns import piece_hashes, token_ids_of, word_counts, words
 from lanewright.operators.ordered import ordered_hash, prefix_sum
 from lanewright.plans.params import P
 from lanewright.sources.tables import laned_documents
@@ -19,9 +19,10 @@ from lanewright.sources.tables import laned_documents
 SHARD = ["lane_idx", "lane", "is_eval", "src", "shard_id"]
 
 
-def token_counts(spark: SparkSession, sf_dir: str, encode: Callable[[Column], Column] = words) -> DataFrame:
-    """SHARD, doc_id, n. `encode` turns a text column into an array of tokens: built-in functions or a pandas UDF."""
-    return laned_documents(spark, sf_dir).select(*SHARD, "doc_id", F.size(encode(F.col("text"))).cast("long").alias("n"))
+def token_counts(spark: SparkSession, sf_dir: str, encode: Callable[[Column], Column] | None = None) -> DataFrame:
+    """SHARD, doc_id, n: words, or tokens if `encode` turns a text column into an array of them (built-in functions or a pandas UDF)."""
+    n = word_counts(F.col("text")) if encode is None else F.size(encode(F.col("text"))).cast("long")
+    return laned_documents(spark, sf_dir).select(*SHARD, "doc_id", n.alias("n"))
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
@@ -88,9 +89,12 @@ def pieces(spark: SparkSession, sf_dir: str, tokens: DataFrame, context: int = P
     return rows.select(*SHARD, "doc_id", F.explode(own).alias("x")).select(*SHARD, "doc_id", "x.seq", "x.hash")
 
 
-def sequence_hashes(spark: SparkSession, sf_dir: str, tokens: DataFrame) -> DataFrame:
-    """shard_id, seq, hash: over the pieces in order (a sequence holds at most `context` of them)."""
-    own = pieces(spark, sf_dir, tokens).groupBy("shard_id", "seq").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.unhex("hash").alias("hash")))).alias("x"))
+def sequence_hashes(spark: SparkSession, sf_dir: str, offs: DataFrame, context: int = P.context) -> DataFrame:
+    """shard_id, seq, hash: over the hashes of the pieces in order (a sequence holds at most `context` of them). Texts meet `offs` as in `pieces`."""
+    docs = laned_documents(spark, sf_dir).select("shard_id", "doc_id", "text")
+    rows = docs.join(offs.where("n > 0").select("shard_id", "doc_id", "off").hint("shuffle_hash"), ["shard_id", "doc_id"])
+    own = rows.select("shard_id", "doc_id", F.explode(piece_hashes(F.col("text"), F.col("off"), context)).alias("x"))
+    own = own.groupBy("shard_id", F.col("x.seq").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "x.hash"))).alias("x"))
     return own.select("shard_id", "seq", F.sha2(F.array_join(F.transform("x", lambda x: F.lower(F.hex(x["hash"]))), "\n"), 256).alias("hash"))
 
 

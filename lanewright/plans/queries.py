@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lanewright.functions.columns import sorted_join, token_ids, words
+from lanewright.functions.columns import sorted_join, token_ids, word_counts, words
 from lanewright.operators import audit, ledger, mixture, packing
 from lanewright.operators.ordered import prefix_sum
 from lanewright.plans.oracle import WORDS, sql
@@ -35,12 +35,19 @@ def query(text: str | None, plain: bool = False) -> Callable[[Query], Query]:
 
 
 class Corpus:
-    """The frames that most queries start from, built once per query."""
+    """The frames that most queries start from. With `keep` those of rows and batches are written once, for queries that read them many times."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False) -> None:
+        self.spark, self.dir, self.keep = spark, sf_dir, keep
         self._tokens: DataFrame | None = None
-        self._over: DataFrame | None = None
+        self._kept: dict[str, DataFrame] = {}
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if not self.keep:
+            return make()
+        if name not in self._kept:
+            self._kept[name] = materialised(make())
+        return self._kept[name]
 
     def docs(self) -> DataFrame:
         return table(self.spark, self.dir, "documents")
@@ -54,28 +61,32 @@ class Corpus:
     def totals(self) -> DataFrame:
         return packing.shard_totals(self.tokens())
 
+    def offs(self) -> DataFrame:
+        return self._once("offs", lambda: packing.offsets(self.tokens()))
+
     def over(self) -> DataFrame:
-        if self._over is None:
-            self._over = packing.overlaps(packing.offsets(self.tokens()))
-        return self._over
+        return packing.overlaps(self.offs())
 
     def seqs(self) -> DataFrame:
-        return packing.sequences(self.over())
+        return self._once("seqs", lambda: packing.sequences(self.over()))
+
+    def bases(self) -> DataFrame:
+        return self._once("bases", lambda: packing.shard_bases(self.tokens()))
 
     def training_over(self) -> DataFrame:
-        return packing.in_batches(self.over(), packing.shard_bases(self.tokens()))
+        return packing.in_batches(self.over(), self.bases())
 
     def training_seqs(self) -> DataFrame:
-        return packing.in_batches(self.seqs(), packing.shard_bases(self.tokens()))
+        return packing.in_batches(self.seqs(), self.bases())
 
     def batches(self) -> DataFrame:
-        return ledger.batches(self.training_seqs())
+        return self._once("batches", lambda: ledger.batches(self.training_seqs()))
 
     def batch_steps(self) -> DataFrame:
         return self.batches().withColumn("step", F.col("batch_index"))
 
     def consumption(self) -> DataFrame:
-        return ledger.consumption(self.training_over(), self.training_seqs())
+        return self._once("consumption", lambda: ledger.consumption(self.training_over(), self.training_seqs()))
 
     def learning(self) -> DataFrame:
         return ledger.learning(self.training_seqs())
@@ -278,13 +289,13 @@ def j8_learning_without_consumption(spark: SparkSession, sf_dir: str) -> DataFra
 FROM prints JOIN (SELECT batch_index, sample_ids, seq_count FROM ledger) USING (batch_index) JOIN inputs USING (batch_index)""")
 def j9_replay_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replay against a table with a lost, an extra and a changed batch in every 17."""
-    rows, k = printed(Corpus(spark, sf_dir)), F.col("batch_index") % 17
+    rows, k = printed(Corpus(spark, sf_dir, keep=True)), F.col("batch_index") % 17
     again = rows.where(k != 9).withColumn("input_hash", F.when(k == 2, F.concat(F.lit("x"), F.substring("input_hash", 2, 63))).otherwise(F.col("input_hash")))
     return ledger.replay(rows.where(k != 4), again)
 
 
 def printed(c: Corpus) -> DataFrame:
-    hashes = packing.sequence_hashes(c.spark, c.dir, c.tokens())
+    hashes = packing.sequence_hashes(c.spark, c.dir, c.offs())
     full = ledger.batches(c.training_seqs(), hashes).select("batch_index", "batch_id", "seq_count", "input_hash")
     return full.join(c.consumption().select("batch_index", "sample_ids"), "batch_index")
 
@@ -487,7 +498,7 @@ def a12_batch_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT batch_index, input_hash FROM inputs")
 def a13_input_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = Corpus(spark, sf_dir)
-    return ledger.batches(c.training_seqs(), packing.sequence_hashes(spark, sf_dir, c.tokens())).select("batch_index", "input_hash")
+    return ledger.batches(c.training_seqs(), packing.sequence_hashes(spark, sf_dir, c.offs())).select("batch_index", "input_hash")
 
 
 @query("SELECT count_if(event = 'FIREWALL_BLOCK') AS blocked, count_if(event = 'SHARD_ALLOWED') AS allowed, count_if(event = 'EVAL_SHARD_USED_FOR_EVAL') AS used_for_eval, array_to_string(list_sort(list(DISTINCT dataset) FILTER (event = 'FIREWALL_BLOCK')), ',') AS blocked_datasets FROM events_")
@@ -544,17 +555,25 @@ def _faulty(c: Corpus) -> DataFrame:
 @query(f"""SELECT 'clean' AS run, 0 AS duplicated, 0 AS missing, 0 AS unexpected, 0 AS gaps, (SELECT min(batch_id) FROM batches WHERE step > (SELECT max(step) FROM cps)) AS first_after, 'PASS' AS result
 UNION ALL SELECT 'faulty', 1, 1, 0, 1, (SELECT min(batch_id) FROM batches WHERE step > (SELECT max(step) FROM cps)), 'FAIL'""")
 def t8_resume_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = Corpus(spark, sf_dir)
-    steps = c.batch_steps().select("step", "batch_id")
-    last = ledger.latest(c.checkpoints())
-    out = ledger.resume_audit(steps, steps, last).withColumn("run", F.lit("clean"))
-    return out.unionByName(ledger.resume_audit(_faulty(c), steps, last).withColumn("run", F.lit("faulty"))).select("run", *(F.col(x).cast("int").alias(x) for x in ("duplicated", "missing", "unexpected", "gaps")), "first_after", "result")
+    c = Corpus(spark, sf_dir, keep=True)
+    return _audited(c, c.batch_steps(), "clean").unionByName(_audited(c, _faulty(c), "faulty"))
+
+
+def _audited(c: Corpus, run: DataFrame, name: str) -> DataFrame:
+    """The audit of a ledger against the batches, after the latest checkpoint."""
+    steps = lambda df: df.select("step", "batch_id")
+    out = ledger.resume_audit(steps(run), steps(c.batch_steps()), ledger.latest(c.checkpoints())).withColumn("run", F.lit(name))
+    return out.select("run", *(F.col(x).cast("int").alias(x) for x in ("duplicated", "missing", "unexpected", "gaps")), "first_after", "result")
 
 
 @query("SELECT batch_index, batch_id, print AS original_hash, print AS replay_hash, true AS match, '' AS note FROM prints")
 def t9_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides are computed from the raw documents; neither reads the other's result."""
-    return ledger.replay(printed(Corpus(spark, sf_dir)), printed(Corpus(spark, sf_dir)))
+    return _replayed(Corpus(spark, sf_dir, keep=True))
+
+
+def _replayed(c: Corpus) -> DataFrame:
+    return ledger.replay(printed(c), printed(Corpus(c.spark, c.dir, keep=True)))
 
 
 @query(f"SELECT n.step AS fork_step, printf('branch_from_step_%06d', n.step) AS branch, b.batch_index, b.batch_id FROM batches b, (SELECT step FROM cps ORDER BY abs(step - {P.fork_from}), step LIMIT 1) n WHERE b.batch_index > n.step")
@@ -585,12 +604,11 @@ UNION ALL SELECT 'learning_trace', NOT EXISTS (SELECT 1 FROM learn l LEFT JOIN l
 UNION ALL SELECT 'throughput', (SELECT sum(real_token_count) > 0 FROM batches)"""), plain=True)
 def v5_final_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine requirements, each a query over the data (P9, A15, V1, V2, V6): shards are written, read back and verified."""
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, keep=True)
     events = audit.firewall_events(c.totals()).agg(F.count_if(F.col("event") == "FIREWALL_BLOCK").alias("blocked")).crossJoin(c.totals().agg(F.count_if("is_eval").alias("evals")))  # two single rows
     violations = audit.firewall_audit(*ledger_fields(c)).agg(F.count("*").alias("n"))
-    words_ = c.docs().agg(F.coalesce(F.sum(F.size(words(F.col("text")))), F.lit(0)).alias("b"))
+    words_ = c.docs().agg(F.coalesce(F.sum(word_counts(F.col("text"))), F.lit(0)).alias("b"))
     floors = spark.createDataFrame(list(FLOORS.items()), "lane string, floor double").join(c.drawn().groupBy("lane").count(), "lane", "left")
-    clean = t8_resume_audit(spark, sf_dir).where("run = 'clean'")
     candidates = laned_documents(spark, sf_dir).where("lane = 'OPUS'").agg(F.count("*").alias("all"))
     traced = c.learning().join(c.batch_steps().select("step", "batch_id"), "step", "left").join(c.consumption().select("batch_id", F.lit(True).alias("there")), "batch_id", "left")
     parts = {
@@ -599,8 +617,8 @@ def v5_final_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
         "packing_correctness": c.seqs().agg(F.sum("real").alias("a"), F.bool_and(F.col("real") + F.col("pad") == C).alias("ok")).crossJoin(words_).select(((F.col("a") == F.col("b")) & F.col("ok")).alias("passed")),
         "mixture_compliance": floors.agg(F.bool_and(F.coalesce("count", F.lit(0)) >= F.col("floor") * P.steps).alias("passed")),
         "opus_audit": c.decisions().agg(F.count("*").alias("n"), F.bool_and(F.col("score").between(0, 1)).alias("ok")).crossJoin(candidates).select(((F.col("n") == F.col("all")) & F.coalesce("ok", F.lit(True))).alias("passed")),
-        "crash_recovery": clean.select((F.col("result") == "PASS").alias("passed")),
-        "replay": t9_replay(spark, sf_dir).agg(F.bool_and("match").alias("passed")),
+        "crash_recovery": _audited(c, c.batch_steps(), "clean").select((F.col("result") == "PASS").alias("passed")),
+        "replay": _replayed(c).agg(F.bool_and("match").alias("passed")),
         "learning_trace": traced.agg(F.bool_and(F.coalesce("there", F.lit(False))).alias("passed")),
         "throughput": c.batches().agg((F.sum("real_token_count") > 0).alias("passed")),
     }
@@ -629,7 +647,7 @@ UNION ALL SELECT 'replay', true, CAST(count(*) AS VARCHAR) FROM prints
 UNION ALL SELECT 'selection', count_if(decision IN ('ACCEPT', 'DEFER', 'REJECT')) = count(*), CAST(count_if(decision = 'ACCEPT') AS VARCHAR) FROM decided"""), plain=True)
 def v6_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nine collectors, each a verdict with its figure; manifests are compared with shards that were written and read back."""
-    c = Corpus(spark, sf_dir)
+    c = Corpus(spark, sf_dir, keep=True)
     events, cps, learned = audit.firewall_events(c.totals()), c.checkpoints(), c.learning()
     evals = c.totals().agg(F.count_if("is_eval").alias("n"))
     parts = {
@@ -640,7 +658,7 @@ def v6_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ledger": c.consumption().agg((F.count("*") == F.count_distinct("batch_id")).alias("passed"), F.count("*").alias("evidence")),
         "learning": learned.agg(F.bool_and(F.col("sample_loss") > 0).alias("passed"), F.count("*").alias("evidence")),
         "checkpoints": cps.agg((F.count("*") == F.count_distinct("state_hash")).alias("passed"), F.max("step").alias("evidence")),
-        "replay": t9_replay(spark, sf_dir).agg(F.bool_and("match").alias("passed"), F.count("*").alias("evidence")),
+        "replay": _replayed(c).agg(F.bool_and("match").alias("passed"), F.count("*").alias("evidence")),
         "selection": c.decisions().agg((F.count_if(F.col("decision").isin("ACCEPT", "DEFER", "REJECT")) == F.count("*")).alias("passed"), F.count_if(F.col("decision") == "ACCEPT").alias("evidence")),
     }
     rows = [df.select(F.lit(name).alias("requirement"), "passed", F.col("evidence").cast("string").alias("evidence")) for name, df in parts.items()]

@@ -67,14 +67,14 @@ def commit_ledgers(spark: SparkSession, sf_dir: str, log: CommitLog, info: dict,
 
 def store_batches(spark: SparkSession, sf_dir: str, out: str) -> None:
     """The batches' fingerprints, from the texts, and their hash tree, kept for replay."""
-    prints = q.printed(q.Corpus(spark, sf_dir)).select("batch_index", "batch_id", ledger.fingerprint().alias("fingerprint"))
+    prints = q.printed(q.Corpus(spark, sf_dir, keep=True)).select("batch_index", "batch_id", ledger.fingerprint().alias("fingerprint"))
     prints.write.mode("overwrite").parquet(f"{out}/replay/stored")
     merkle.write_tree(spark.read.parquet(f"{out}/replay/stored").select(F.col("batch_index").alias("node"), F.col("fingerprint").alias("hash")), f"{out}/replay/tree")
 
 
 def replay(spark: SparkSession, sf_dir: str, out: str) -> DataFrame:
     """The batches that differ from the stored ones when they are computed from the texts again (none: the replay is exact)."""
-    again = q.printed(q.Corpus(spark, sf_dir)).select(F.col("batch_index").alias("node"), ledger.fingerprint().alias("hash"))
+    again = q.printed(q.Corpus(spark, sf_dir, keep=True)).select(F.col("batch_index").alias("node"), ledger.fingerprint().alias("hash"))
     merkle.write_tree(again, f"{out}/replay/again")
     found, _ = merkle.differences(spark, f"{out}/replay/tree", f"{out}/replay/again")
     return found.withColumnRenamed("node", "batch_index")

@@ -98,11 +98,11 @@ def t9_merkle_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches are computed and their hash tree is stored; then the first token of every 97th document changes, and replay from the
     changed texts must name just the batches that hold one, by descent from the top of the tree."""
     at = shared_folder(spark)
-    merkle.write_tree(printed(Corpus(spark, sf_dir)).select(F.col("batch_index").alias("node"), ledger.fingerprint().alias("hash")), f"{at}/stored")
+    merkle.write_tree(printed(Corpus(spark, sf_dir, keep=True)).select(F.col("batch_index").alias("node"), ledger.fingerprint().alias("hash")), f"{at}/stored")
     docs = table(spark, sf_dir, "documents")
     changed = F.when(F.col("doc_id") % 97 == 5, F.regexp_replace("text", r"\A([\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*)(?=[^\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}])", "$1changed")).otherwise(F.col("text"))
     docs.withColumn("text", changed).write.parquet(f"{at}/tables/documents.parquet")
-    again = printed(Corpus(spark, f"{at}/tables"))
+    again = printed(Corpus(spark, f"{at}/tables", keep=True))
     merkle.write_tree(again.select(F.col("batch_index").alias("node"), ledger.fingerprint().alias("hash")), f"{at}/again")
     found, _ = merkle.differences(spark, f"{at}/stored", f"{at}/again")
     return found.select(F.col("node").alias("batch_index"), F.format_string("batch_%06d", "node").alias("batch_id"))

@@ -10,8 +10,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lanewright.functions import columns
-from lanewright.functions.columns import token_ids_of
+from lanewright.functions.columns import piece_hashes, token_ids_of, word_counts, words
 from lanewright.operators import minhash, packing, temporal
+from lanewright.plans.queries import QUERIES, Corpus
 
 
 def test_interval_join_without_cells(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
@@ -68,3 +69,36 @@ def test_square_join(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> No
     met, total = minhash._met(a, b, "on")
     want = sorted((x, y) for x in range(60) for y in range(25) if x % 7 % 3 == y % 4)
     assert sorted((r["a"], r["b"]) for r in met.collect()) == want and total == len(want)
+
+
+def test_words_of_batches(spark: SparkSession) -> None:
+    """Counts and pieces are those of the words that the JVM finds, at every white space and for every place of a text in its shard."""
+    spaces = "".join(f"{chr(c)}w{c}" for c in range(0x10000) if re.fullmatch(r"\s", chr(c)))
+    texts = [None, "", " \u3000", "a", "  \u00e9\u00a0b\u200bc\n", spaces, "x" * 300, " ".join(f"w{k}" for k in range(300)), "\U0001f600 \ufeffb\u0000c"]
+    at = [0, 1, 127, 128, 200, 2**33 + 5]
+    df = spark.createDataFrame([(k, t, off) for k, t in enumerate(texts) for off in at], "k int, text string, off long")
+    out = df.select("k", "off", words(F.col("text")).alias("w"), word_counts(F.col("text")).alias("n"), piece_hashes(F.col("text"), F.col("off"), 128).alias("x")).collect()
+    assert len(out) == len(texts) * len(at)
+    for r in out:
+        cut: dict[int, list[str]] = {}
+        for i, w in enumerate(r["w"]):
+            cut.setdefault((r["off"] + i) // 128, []).append(w)
+        assert r["n"] == len(r["w"]) and [(p["seq"], bytes(p["hash"])) for p in r["x"]] == [(q, hashlib.sha256(" ".join(ws).encode()).digest()) for q, ws in cut.items()]
+
+
+@pytest.mark.parametrize("name", ["v5_final_verification", "v6_evidence"])
+def test_one_count_of_the_texts_a_side(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, name: str) -> None:
+    """The verdicts share one packing, and only the replay computes another from the texts; neither offsets nor ledgers are computed twice a side."""
+    made: dict[str, int] = {}
+    for module, f in ((packing, "token_counts"), (packing, "offsets"), (packing, "sequence_hashes")):
+        monkeypatch.setattr(module, f, lambda *a, f=getattr(module, f), key=f, **b: (made.update({key: made.get(key, 0) + 1}), f(*a, **b))[1])
+    QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert made == {"token_counts": 2, "offsets": 2, "sequence_hashes": 2}
+
+
+def test_kept_frames_are_the_same(spark: SparkSession) -> None:
+    a, b = (Corpus(spark, "/root/testdata/sf0.001", keep) for keep in (False, True))
+    for f in ("offs", "training_over", "training_seqs", "batches", "consumption"):
+        x, y = getattr(a, f)(), getattr(b, f)()
+        assert x.columns == y.columns and sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect())), f
+    assert b.batches() is b.batches()
