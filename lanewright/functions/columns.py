@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 #: The same but for the blank, one by one.
 _OTHERS = "".join(chr(c) for c in (*range(0x9, 0xE), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: Those of two and three bytes of UTF-8, as numbers.
+_WIDE = {size: np.array([int.from_bytes(x.encode(), "big") for x in _OTHERS if len(x.encode()) == size]) for size in (2, 3)}
 
 
 def words(text: Column) -> Column:
@@ -21,31 +23,85 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), _OTHERS, " " * len(_OTHERS)), " ", -1), "")
 
 
-def _split(text: pa.Scalar) -> list[str]:
-    """Words of a UTF-8 text: Python splits at the same white space as `words`."""
-    return (text.as_py() or b"").decode("utf-8", "replace").split()
+def _found(texts: pa.Array, size: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words of a column of UTF-8 texts, some `size` bytes of texts at a time: bytes, which of them are white space (that of `words`),
+    and where each text begins (and the last one ends)."""
+    texts = texts.fill_null(b"")
+    try:
+        texts = texts.cast(pa.large_string())
+    except pa.ArrowInvalid:  # not UTF-8
+        texts = pa.array([x.as_py().decode("utf-8", "replace") for x in texts], pa.large_string())
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    every = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
+        raw = every[at[i] : at[j]]
+        yield raw, _spaces(raw), at[i : j + 1] - at[i]
+        i = j
+
+
+def _spaces(raw: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 belong to white space."""
+    space = (raw == 32) | (raw - np.uint8(9) < 5) | (raw - np.uint8(28) < 4)
+    if len(raw) and raw.max() > 127:
+        k = np.flatnonzero(raw[:-1] == 0xC2)
+        k = k[np.isin(raw[k + 1], _WIDE[2] & 0xFF)]
+        space[k] = space[k + 1] = True
+        k = np.flatnonzero(raw[:-2] - np.uint8(0xE1) < 3)
+        k = k[np.isin(raw[k] * np.int64(65536) + raw[k + 1] * np.int64(256) + raw[k + 2], _WIDE[3])]
+        space[k] = space[k + 1] = space[k + 2] = True
+    return space
+
+
+def _begins(space: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin, and how many of them before each text."""
+    first = ~space
+    first[1:] &= space[:-1]
+    edges_ = edges[edges < len(space)]
+    first[edges_] = ~space[edges_]  # the words of two texts may touch
+    begins = np.flatnonzero(first)
+    return begins, np.searchsorted(begins, edges)
 
 
 def word_counts(text: Column) -> Column:
     """F.size(words(text)), where the words themselves are not wanted: translating every character in the JVM takes several times as long."""
 
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array([len(_split(x)) for x in texts], pa.int64())
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *(np.diff(_begins(space, edges)[1]) for _, space, edges in _found(texts))]), pa.int64())
 
     return F.arrow_udf(count, "long")(text.cast("binary"))
 
 
 def piece_hashes(text: Column, off: Column, context: int) -> Column:
     """seq and hash of each piece of a text whose first word is word `off` of its shard: SHA-256 of the piece's words, joined by blanks."""
-    kind = pa.list_(pa.struct([("seq", pa.int64()), ("hash", pa.binary())]))
-
-    def pieces(words_: list[str], at: int) -> list[dict]:
-        # A piece ends where a sequence does.
-        cuts = [0, *range(context - at % context, len(words_), context), len(words_)] if words_ else []
-        return [{"seq": (at + i) // context, "hash": hashlib.sha256(" ".join(words_[i:j]).encode()).digest()} for i, j in zip(cuts, cuts[1:])]
 
     def encode(texts: pa.Array, offs: pa.Array) -> pa.Array:
-        return pa.array([pieces(_split(x), at) for x, at in zip(texts, offs.to_pylist(), strict=True)], kind)
+        at, done = np.asarray(offs, np.int64), 0
+        sizes, seqs, digests = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], []
+        for raw, space, edges in _found(texts):
+            begins, upto = _begins(space, edges)
+            ends = len(space) - _begins(space[::-1], len(space) - edges[::-1])[0][::-1]
+            raw = np.where(space, np.uint8(32), raw)
+            wide = np.concatenate([[0], np.cumsum(begins[1:] - ends[:-1] != 1)])  # gaps between words of more than a blank, up to each word
+            n = np.diff(upto)
+            off_ = at[done : done + len(n)]
+            done += len(n)
+            # A piece ends where a sequence does.
+            k = np.where(n > 0, (off_ + n - 1) // context - off_ // context + 1, 0)
+            row = np.repeat(np.arange(len(n)), k)
+            seq = off_[row] // context + np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+            skip = upto[row] - off_[row]  # from words of the shard to words of these texts
+            lo, hi = np.maximum(seq * context + skip, upto[row]), np.minimum((seq + 1) * context + skip, upto[row + 1])
+            view = memoryview(raw)
+            own = [view[i:j] for i, j in zip(begins[lo].tolist(), ends[hi - 1].tolist())]
+            for i in np.flatnonzero(wide[hi - 1] > wide[lo]):
+                own[i] = b" ".join(own[i].tobytes().split())
+            digests += [hashlib.sha256(x).digest() for x in own]
+            sizes.append(k)
+            seqs.append(seq)
+        pieces = pa.StructArray.from_arrays([pa.array(np.concatenate(seqs)), pa.array(digests, pa.binary())], ["seq", "hash"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)), pa.int32()), pieces)
 
     return F.arrow_udf(encode, "array<struct<seq: bigint, hash: binary>>")(text.cast("binary"), off)
 

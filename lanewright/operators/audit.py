@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from lanewright.functions.columns import uniform
 from lanewright.operators.ordered import ordered_hash
+from lanewright.operators.packing import text_digest
 from lanewright.plans.params import EVAL_LANES, P
+from lanewright.sources.shared import materialised
 
 TOKENIZER = f"vocab_size={P.vocab}|pad_token_id=0|encoding=sha256_mod|version=v1"
 
@@ -76,7 +78,7 @@ def firewall_audit(consumed: DataFrame, learned: DataFrame) -> DataFrame:
 
 def observed_manifests(shards: DataFrame) -> DataFrame:
     """shard_id, dataset, document_count, content_hash, tokenizer_hash of shards as they are read; a shard with two tokenizer hashes has none."""
-    rows = shards.select("shard_id", "lane", "doc_id", "tokenizer_hash", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    rows = materialised(shards.select("shard_id", "lane", "doc_id", "tokenizer_hash", text_digest().alias("h")))  # many files, read once
     one = F.when(F.min("tokenizer_hash") == F.max("tokenizer_hash"), F.min("tokenizer_hash"))
     counts = rows.groupBy("shard_id").agg(F.max("lane").alias("dataset"), F.count("*").alias("document_count"), one.alias("tokenizer_hash"))
     return counts.join(ordered_hash(rows, ["shard_id"], "doc_id", "h", "content_hash"), "shard_id")
@@ -94,8 +96,8 @@ def require(errors: DataFrame, what: str) -> None:
 
 
 def selection(docs: DataFrame, seed: int = P.seed) -> DataFrame:
-    """Score, decision and reason per candidate document (doc_id, text)."""
-    base = F.conv(F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 8), 16, 10).cast("long") % 1000 / 1000.0
+    """Score, decision and reason per candidate document (doc_id, and h, the digest of its text)."""
+    base = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % 1000 / 1000.0
     noise = (uniform(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), seed) - 0.5) * 0.1
     rows = docs.select("doc_id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), base + noise)), 4).alias("score"))
     rows = rows.withColumn("decision", F.when(F.col("score") >= P.accept, "ACCEPT").when(F.col("score") >= P.defer, "DEFER").otherwise("REJECT"))

@@ -14,15 +14,17 @@ from lanewright.operators.packing import batch_id
 from lanewright.plans.params import P
 
 
-def batches(seqs: DataFrame, hashes: DataFrame | None = None, context: int = P.context) -> DataFrame:
-    """batch_index, batch_id, seq_count, token_count (with padding), real_token_count and, given sequence hashes, input_hash."""
+def batches(seqs: DataFrame, context: int = P.context) -> DataFrame:
+    """batch_index, batch_id, seq_count, token_count (with padding), real_token_count."""
     aggs = [F.count("*").alias("seq_count"), (F.count("*") * context).alias("token_count"), F.sum("real").alias("real_token_count")]
-    if hashes is not None:
-        seqs = seqs.join(hashes.select("shard_id", "seq", "hash"), ["shard_id", "seq"])
-        aggs.append(F.sha2(sorted_join(F.collect_list(F.struct("ord", "hash")), "hash", "\n"), 256).alias("input_hash"))
     return seqs.groupBy("batch_index").agg(*aggs).withColumn("batch_id", batch_id())
 
 
+def inputs(hashes: DataFrame) -> DataFrame:
+    """batch_index, batch_id, seq_count, input_hash from the hashes of the batches' sequences."""
+    return hashes.select("batch_index", batch_id().alias("batch_id"), F.size("hashes").cast("long").alias("seq_count"), F.sha2(F.array_join("hashes", "\n"), 256).alias("input_hash"))
+
+
 def consumption(over: DataFrame, seqs: DataFrame) -> DataFrame:
     """A ledger row per step: token counts, the distinct document ids and shards in order of appearance."""
     ids = over.groupBy("batch_index", "doc_id").agg(F.min(F.struct("ord", "pos")).alias("first"))

@@ -19,10 +19,17 @@ from lanewright.sources.tables import laned_documents
 SHARD = ["lane_idx", "lane", "is_eval", "src", "shard_id"]
 
 
-def token_counts(spark: SparkSession, sf_dir: str, encode: Callable[[Column], Column] | None = None) -> DataFrame:
-    """SHARD, doc_id, n: words, or tokens if `encode` turns a text column into an array of them (built-in functions or a pandas UDF)."""
+def token_counts(spark: SparkSession, sf_dir: str, encode: Callable[[Column], Column] | None = None, digest: bool = False) -> DataFrame:
+    """SHARD, doc_id, n: words, or tokens if `encode` turns a text column into an array of them (built-in functions or a pandas UDF).
+
+    With `digest` also h, the SHA-256 of the text, for queries that need both of one reading.
+    """
     n = word_counts(F.col("text")) if encode is None else F.size(encode(F.col("text"))).cast("long")
-    return laned_documents(spark, sf_dir).select(*SHARD, "doc_id", n.alias("n"))
+    return laned_documents(spark, sf_dir).select(*SHARD, "doc_id", n.alias("n"), *([text_digest().alias("h")] if digest else []))
+
+
+def text_digest() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
 
 
 def offsets(tokens: DataFrame) -> DataFrame:
@@ -89,13 +96,23 @@ def pieces(spark: SparkSession, sf_dir: str, tokens: DataFrame, context: int = P
     return rows.select(*SHARD, "doc_id", F.explode(own).alias("x")).select(*SHARD, "doc_id", "x.seq", "x.hash")
 
 
-def sequence_hashes(spark: SparkSession, sf_dir: str, offs: DataFrame, context: int = P.context) -> DataFrame:
-    """shard_id, seq, hash: over the hashes of the pieces in order (a sequence holds at most `context` of them). Texts meet `offs` as in `pieces`."""
-    docs = laned_documents(spark, sf_dir).select("shard_id", "doc_id", "text")
-    rows = docs.join(offs.where("n > 0").select("shard_id", "doc_id", "off").hint("shuffle_hash"), ["shard_id", "doc_id"])
-    own = rows.select("shard_id", "doc_id", F.explode(piece_hashes(F.col("text"), F.col("off"), context)).alias("x"))
-    own = own.groupBy("shard_id", F.col("x.seq").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "x.hash"))).alias("x"))
-    return own.select("shard_id", "seq", F.sha2(F.array_join(F.transform("x", lambda x: F.lower(F.hex(x["hash"]))), "\n"), 256).alias("hash"))
+def sequence_hashes(spark: SparkSession, sf_dir: str, offs: DataFrame, bases: DataFrame, context: int = P.context, batch: int = P.batch) -> DataFrame:
+    """batch_index, hashes: of the batch's sequences in order, each over the hashes of its pieces in order (at most `context` of them).
+
+    Texts of training shards, and no others, meet `offs` as in `pieces`. A shard's base makes offsets those of the whole training order, so
+    pieces carry the ordinals of their sequences and move once, to their batch.
+    """
+    docs = laned_documents(spark, sf_dir).where("not is_eval").select("shard_id", "doc_id", "text")
+    places = offs.where("n > 0").join(F.broadcast(bases), "shard_id")  # a row a shard
+    places = places.select("shard_id", "doc_id", (F.col("base") * context + F.col("off")).alias("off"))
+    rows = docs.join(places.hint("shuffle_hash"), ["shard_id", "doc_id"])
+    own = rows.select("doc_id", F.explode(piece_hashes(F.col("text"), F.col("off"), context)).alias("x"))
+    own = own.groupBy(F.floor(F.col("x.seq") / batch).alias("batch_index")).agg(F.array_sort(F.collect_list(F.struct("x.seq", "doc_id", "x.hash"))).alias("x"))
+
+    def hash_(ord_: Column) -> Column:
+        return F.sha2(F.array_join(F.transform(F.filter("x", lambda x: x["seq"] == ord_), lambda x: F.lower(F.hex(x["hash"]))), "\n"), 256)
+
+    return own.select("batch_index", F.transform(F.array_distinct(F.transform("x", lambda x: x["seq"])), hash_).alias("hashes"))
 
 
 def arrays(spark: SparkSession, sf_dir: str, tokens: DataFrame, context: int = P.context, vocab: int = P.vocab) -> DataFrame:
@@ -108,6 +125,6 @@ def arrays(spark: SparkSession, sf_dir: str, tokens: DataFrame, context: int = P
     return rows.select(*SHARD, "seq", F.concat("ids", zeros).alias("tokens"), F.concat(F.transform("ids", lambda _: F.lit(1).cast("long")), zeros).alias("mask"))
 
 
-def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = laned_documents(spark, sf_dir).select(*SHARD, "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    return ordered_hash(rows, SHARD, "doc_id", "h", "content_hash")
+def content_hashes(digests: DataFrame) -> DataFrame:
+    """SHARD, content_hash over the digests (h) of the documents in order."""
+    return ordered_hash(digests, SHARD, "doc_id", "h", "content_hash")

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lanewright.functions import columns
 from lanewright.functions.columns import piece_hashes, token_ids_of, word_counts, words
-from lanewright.operators import minhash, packing, temporal
+from lanewright.operators import audit, minhash, packing, temporal
 from lanewright.plans.queries import QUERIES, Corpus
 
 
@@ -102,3 +105,49 @@ def test_kept_frames_are_the_same(spark: SparkSession) -> None:
         x, y = getattr(a, f)(), getattr(b, f)()
         assert x.columns == y.columns and sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect())), f
     assert b.batches() is b.batches()
+
+
+def test_words_across_parts() -> None:
+    """Texts that touch, that are not UTF-8 or that end within a character give Python's words, in parts of any size."""
+    texts = [b"a", b"b c", None, b"", b"\xc2", b"\x85d", "\u3000e\u2003\u00a0f\u200b\u00e9".encode(), b"\xe2\x80 g\x1fh\n\ni ", b" j"]
+    want = [len((x or b"").decode("utf-8", "replace").split()) for x in texts]
+    for size in (1, 4, 1 << 19):
+        for some in (texts, [x for x in texts if x not in (b"\xc2", b"\x85d", texts[7])]):
+            parts = [np.diff(columns._begins(space, edges)[1]) for _, space, edges in columns._found(pa.array(some, pa.binary()), size)]
+            assert np.concatenate(parts).tolist() == [n for n, x in zip(want, texts) if x in some]
+
+
+def test_hashes_of_batches(spark: SparkSession) -> None:
+    """Pieces go to their batch in one move, those of training shards only, and give the hashes of sequences laid out one by one."""
+    c = Corpus(spark, "/root/testdata/sf0.001", keep=True)
+    rows = packing.laned_documents(spark, c.dir).where("not is_eval").orderBy("lane_idx", "src", "doc_id").collect()
+    want: list[str] = []
+    for _, docs in itertools.groupby(rows, lambda r: r["shard_id"]):
+        laid = [(r["doc_id"], w) for r in docs for w in (r["text"] or "").split()]
+        for i in range(0, len(laid), 128):
+            own = [" ".join(w for _, w in g) for _, g in itertools.groupby(laid[i : i + 128], lambda x: x[0])]
+            want.append(hashlib.sha256("\n".join(hashlib.sha256(x.encode()).hexdigest() for x in own).encode()).hexdigest())
+    hashes = packing.sequence_hashes(spark, c.dir, c.offs(), c.bases())
+    got = sorted((r["batch_index"], r["hashes"]) for r in hashes.collect())
+    assert got == [(i // 4, want[i : i + 4]) for i in range(0, len(want), 4)]
+    plan = hashes._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("Exchange hashpartitioning", plan.split("== Initial Plan ==")[-1])) == 3  # texts, offsets, pieces
+
+
+def test_digests_come_with_the_counts(spark: SparkSession) -> None:
+    """A verdict's manifests and decisions read no text again, and are those of the texts."""
+    c, plain = Corpus(spark, "/root/testdata/sf0.001", keep=True, digest=True), Corpus(spark, "/root/testdata/sf0.001")
+    assert c.tokens().columns == plain.tokens().columns
+    for f in ("manifests", "decisions"):
+        x, y = getattr(c, f)(), getattr(plain, f)()
+        assert sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect())), f
+        assert not any("documents.parquet" in name for name in x.inputFiles()) and any("documents.parquet" in name for name in y.inputFiles())
+
+
+def test_shards_are_read_once(spark: SparkSession) -> None:
+    """What is observed of shards comes from one reading of their files."""
+    docs = packing.laned_documents(spark, "/root/testdata/sf0.001").withColumn("tokenizer_hash", audit.tokenizer_hash())
+    found = audit.observed_manifests(docs)
+    assert not any("documents.parquet" in name for name in found.inputFiles())
+    want = Corpus(spark, "/root/testdata/sf0.001").manifests().select(found.columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
