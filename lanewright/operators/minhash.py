@@ -9,6 +9,9 @@ meets in any band, which ties a dense group together at one comparison a member.
 of one class yet; of these, only pairs of different classes are compared, in blocks of bounded size, each its own group, and bands
 with the same sets count once. A link inside a class decides nothing and is not looked for.
 
+Paragraphs of documents go through a sieve before they are hashed 128 times: a set of which more than a fifth is in no item at all
+cannot have a Jaccard of 0.8 with one. The sieve is a field of bits of bounded size, which lets some pass that need not and loses none.
+
 Defined cases: a text of fewer than 5 words is one shingle, one without words (or null) the empty set, alike to its equals only;
 repeated rows and equal texts share a class; a null id is kept and never names a class unless alone.
 """
@@ -16,6 +19,8 @@ repeated rows and equal texts share a class; a null id is kept and never names a
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.functions.columns import words
+from lanewright.functions.columns import _begins, _found, words
 from lanewright.operators.graph import components
 from lanewright.sources.shared import materialised
 
@@ -36,6 +41,10 @@ BLOCK = 500_000
 PART = 65_536
 #: Rows on either side of a square of a join, and rows of a part that is grouped in one task.
 SIDE, DEALT = 1024, 2_000_000
+#: Of the sieve: the binary logarithm of its bits, at most, and of those that a task collects in one piece.
+FIELD, PIECE = 28, 20
+#: Pairs that one task makes, rows of items that it holds meanwhile, and pairs that it makes at a time.
+CELL, HELD, STEP = 16_000_000, 1_000_000, 1 << 18
 _FOLD = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(42).integers(0, 2**64, HASHES, dtype=np.uint64)
 
@@ -67,8 +76,8 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _shingles(hashes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct n-word shingles of texts laid end to end, sorted within each text, and how many each text has."""
+def _windows(hashes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the n-word shingles of texts laid end to end, repeats included: the text and the hash."""
     wide = np.minimum(sizes, n)
     row = np.repeat(np.arange(len(sizes)), np.where(sizes > 0, sizes - wide + 1, 0))
     first = np.flatnonzero(np.diff(row, prepend=-1))
@@ -77,7 +86,12 @@ def _shingles(hashes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray
     h = k.astype(np.uint64)
     for j in range(n):
         h = np.where(j < k, _mix(h * _FOLD + w[np.minimum(at + j, len(w) - 1)]), h)
-    h = h.view(np.int64)
+    return row, h.view(np.int64)
+
+
+def _shingles(hashes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct n-word shingles of texts laid end to end, sorted within each text, and how many each text has."""
+    row, h = _windows(hashes, sizes, n)
     order = np.lexsort((h, row))
     h = h[order]
     new = (np.diff(h, prepend=0) != 0) | (np.diff(row, prepend=-1) != 0)
@@ -230,17 +244,181 @@ def near_copies(docs: DataFrame, least: float = LEAST, n: int = SHINGLE) -> Data
     return materialised(rows.select("doc_id", "digest")).join(named, "digest").select("doc_id", "class_id", "n_shingles")
 
 
+def _word_hashes(raw: np.ndarray, space: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A hash of each word of UTF-8 bytes, from its bytes alone."""
+    if not len(begins):
+        return np.zeros(0, np.int64)
+    gaps = np.diff(begins, append=len(raw))
+    at = np.arange(len(raw) - begins[0]) - np.repeat(begins - begins[0], gaps)
+    own = np.where(space, np.uint64(0), raw + np.uint64(1))[begins[0] :] * np.cumprod(np.full(gaps.max(), _FOLD))[at]
+    return _mix(np.add.reduceat(own, begins - begins[0])).view(np.int64)
+
+
+def _rough(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of some texts at a time: how many they are; of their shingles, repeats included, the text and a hash (another than that of the sets)."""
+    for raw, space, edges in _found(texts):
+        begins, upto = _begins(space, edges)
+        row, h = _windows(_word_hashes(raw, space, begins), np.diff(upto), n)
+        yield len(edges) - 1, row, h.view(np.uint64)
+
+
+def sieve(parts: DataFrame, text: str, n: int = SHINGLE) -> np.ndarray:
+    """A field of bits in which those of all shingles of the texts are set: 32 MB at most, a byte of it for 8 bytes of texts below that."""
+    size = parts.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    bits = min(FIELD, max(PIECE, size.bit_length()))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, h in _rough(b.column(0), n):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(h >> np.uint64(64 - bits)).astype(np.int32))], ["at"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = np.asarray(b.column(0))
+            for k in np.unique(at >> PIECE).tolist():
+                own = at[at >> PIECE == k] & ((1 << PIECE) - 1)
+                np.bitwise_or.at(pieces.setdefault(k, np.zeros(1 << PIECE - 3, np.uint8)), own >> 3, np.left_shift(1, own & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(pieces), pa.int32()), pa.array([x.tobytes() for x in pieces.values()], pa.binary())], ["piece", "bits"])
+
+    dealt = parts.select(F.col(text).cast("binary")).mapInArrow(places, "at int").repartition(F.shiftright("at", PIECE))
+    field = np.zeros((1 << bits - PIECE, 1 << PIECE - 3), np.uint8)
+    for r in dealt.mapInArrow(packed, "piece int, bits binary").toLocalIterator():  # the field, not the shingles
+        field[r["piece"]] |= np.frombuffer(r["bits"], np.uint8)
+    return field.ravel()
+
+
+def sieved(texts: pa.Array, field: np.ndarray, least: float = LEAST, n: int = SHINGLE) -> np.ndarray:
+    """Which texts may have a Jaccard of `least` with a text of the field: of their distinct shingles that share or more may be known."""
+    kept, bits = [np.zeros(0, bool)], len(field).bit_length() + 2
+    for count, row, h in _rough(texts, n):
+        at = (h >> np.uint64(64 - bits)).astype(np.int64)
+        known = (field[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        met = np.bincount(row[known], minlength=count)  # repeats included: no less than the distinct ones
+        lost = ~known & (met > 0)[row]
+        shift = np.uint64(min(63, 64 - int(count).bit_length()))
+        key = np.sort(row[lost].astype(np.uint64) << shift | h[lost] >> (np.uint64(64) - shift))
+        new = key[np.diff(key, prepend=np.uint64(2**64 - 1)) != 0]
+        every = met + np.bincount((new >> shift).astype(np.int64), minlength=count)
+        kept.append((met > 0) & (met >= (least - 1e-9) * every))
+    return np.concatenate(kept)
+
+
+def _indexed(code: np.ndarray, item: np.ndarray, none: np.ndarray, jaccard: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows sorted by item: the codes, where the rows of each begin and how many there are; by code each row's item and Jaccard; the items."""
+    new = (np.diff(item, prepend=0) != 0) | (np.diff(none, prepend=False) != 0)
+    new[0] = True
+    order = np.argsort(code, kind="stable")
+    codes, begin, size = np.unique(code[order], return_index=True, return_counts=True)
+    return codes, begin, size, (np.cumsum(new) - 1)[order], jaccard[order], item[new], none[new]
+
+
+def _pairs(index: tuple[np.ndarray, ...], code: np.ndarray, doc: np.ndarray, none: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For whole documents, their rows side by side: every item that shares a code with them, and the largest Jaccard of such codes."""
+    codes, begin, size, item, jaccard, items, no_item = index
+    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    hit = codes[at] == code
+    at, doc, none = at[hit], doc[hit], none[hit]
+    new = (np.diff(doc, prepend=0) != 0) | (np.diff(none, prepend=False) != 0)
+    new[:1] = True
+    own = np.cumsum(new) - 1
+    alone = (np.bincount(own) == 1)[own]
+    for rows in (np.flatnonzero(alone), np.flatnonzero(~alone)):
+        first = np.append(np.flatnonzero(np.diff(own[rows], prepend=-1)), len(rows))  # of each document
+        upto = np.append(0, np.cumsum(size[at[rows]]))
+        i = 0
+        while i < len(first) - 1:
+            j = max(i + 1, int(np.searchsorted(upto[first], upto[first[i]] + STEP, "right")) - 1)
+            r = rows[first[i] : first[j]]
+            n = size[at[r]]
+            row = np.repeat(r, n)
+            k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n - begin[at[r]], n)
+            which, near = item[k], jaccard[k]
+            if len(r) > j - i:
+                key = own[row] * len(items) + which
+                order = np.argsort(key, kind="stable")
+                key = key[order]
+                head = np.flatnonzero(np.diff(key, prepend=-1))
+                row, which, near = row[order][head], key[head] % len(items), np.maximum.reduceat(near[order], head)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row], mask=none[row]), pa.array(items[which], mask=no_item[which]), pa.array(near)], ["doc_id", "item_id", "jaccard"])
+            i = j
+
+
+def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each cell, from rows sorted by cell, side (items come first) and id."""
+    now, held, index, rest = None, [], None, None
+    for b in batches:
+        cell, side, *cols = (b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "side", "code", "id", "none", "jaccard"))
+        cuts = np.flatnonzero((np.diff(cell) != 0) | (np.diff(side) != 0)) + 1
+        for i, j in itertools.pairwise([0, *cuts.tolist(), len(cell)] if len(cell) else []):
+            if cell[i] != now:
+                if rest:
+                    yield from _pairs(index, *rest)
+                now, held, index, rest = cell[i], [], None, None
+            own = [c[i:j] for c in cols]
+            if side[i] == 0:
+                held.append(own)
+            elif held:
+                index = index or _indexed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                rest = [np.concatenate(c) for c in zip(rest, own[:3], strict=True)] if rest else own[:3]
+                last = np.flatnonzero((np.diff(rest[1]) != 0) | (np.diff(rest[2]) != 0))
+                if len(last):  # the last document may go on in the next batch
+                    yield from _pairs(index, *(c[: last[-1] + 1] for c in rest))
+                    rest = [c[last[-1] + 1 :] for c in rest]
+    if rest:
+        yield from _pairs(index, *rest)
+
+
+def best_pairs(given: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, item_id, jaccard: the largest Jaccard of a code that both have. given: distinct doc_id, code; asked: code, item_id, jaccard, one row for each code and item.
+
+    Such pairs can be as many as the product of both sides, so they are neither moved nor written: documents and items are dealt out to the
+    cells of a grid, their own rows to each cell of their row or column, and a cell's task makes its pairs once and for all.
+    """
+    count = lambda df, name: df.groupBy("code").agg(F.count("*").alias(name))
+    g, a, total = (x or 1 for x in count(given, "g").join(count(asked, "a"), "code").agg(F.sum("g"), F.sum("a"), F.sum(F.col("g") * F.col("a"))).first())
+    cells = max(int(given.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // CELL))
+    columns = max(1, -(-a // HELD), round(math.sqrt(cells * a / g)))
+    lines = -(-cells // columns)
+    place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def rows(df: DataFrame, side: int, key: str, line, column, jaccard) -> DataFrame:  # noqa: ANN001
+        df = df.select("code", F.coalesce(key, F.lit(0).cast("long")).alias("id"), F.col(key).isNull().alias("none"), jaccard.alias("jaccard"), line.alias("line"), column.alias("column"))
+        return df.select((F.col("line") * columns + F.col("column")).alias("cell"), F.lit(side).alias("side"), "code", "id", "none", "jaccard")
+
+    both = rows(asked, 0, "item_id", every(lines), place("item_id", columns), F.col("jaccard")).unionByName(rows(given, 1, "doc_id", place("doc_id", lines), every(columns), F.lit(0.0)))
+    return both.repartitionById(lines * columns, F.col("cell")).sortWithinPartitions("cell", "side", "none", "id").mapInArrow(_best, "doc_id bigint, item_id bigint, jaccard double")
+
+
 def near_paragraphs(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, n: int = SHINGLE) -> DataFrame:
     """doc_id, item_id, jaccard: the best Jaccard, `least` or more, of a paragraph of the document and one of the item.
 
     A paragraph is a line, or a run of lines up to an empty one: both are tried on either side.
     """
-    lines = lambda df, key: df.select(key, F.explode(F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n[ \t]*\n")))).alias("part")).where("part rlike '[^ \\t\\n]'")
-    mine, items = (materialised(printed(lines(df, key), "part", n)) for df, key in ((docs, "doc_id"), (benchmark, "item_id")))
-    left, right = (materialised(df.groupBy("digest").agg(F.first("gs").alias("gs"), F.first("bands").alias("bands"))) for df in (mine, items))
-    found = materialised(similar_pairs(left, right, least))
-    of = lambda df, key, digest: df.select(key, F.col("digest").alias(digest)).distinct()
-    asked = materialised(found.join(of(items, "item_id", "right_digest"), "right_digest").select("digest", "jaccard", "item_id"))
-    given = materialised(of(mine, "doc_id", "digest").join(found.select("digest").distinct(), "digest", "left_semi"))
-    met, total = _met(given, asked, "digest")
-    return _dealt(met.select("doc_id", "item_id", "jaccard"), total, "doc_id", "item_id").groupBy("doc_id", "item_id").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+
+    def lines(df: DataFrame, key: str) -> DataFrame:
+        part = F.explode(F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", "\n[ \t]*\n"))))
+        return df.select(F.col(key).cast("long").alias(key), part.alias("part")).where("part rlike '[^ \\t\\n]'")
+
+    hashed = lambda df, key: df.select(key, F.md5("part").alias("key"), "part")
+    items = materialised(hashed(lines(benchmark, "item_id"), "item_id"))
+    field = docs.sparkSession.sparkContext.broadcast(sieve(items, "part", n))
+
+    def may_meet(texts: pa.Array) -> pa.Array:
+        return pa.array(sieved(texts, field.value, least, n))
+
+    mine = materialised(hashed(lines(docs, "doc_id").where(F.arrow_udf(may_meet, "boolean")(F.col("part").cast("binary"))), "doc_id"))
+    field.unpersist()
+    side = lambda df, own: df.select("key", "part", F.lit(own).alias("own"), F.lit(not own).alias("item"))
+    sides = [F.max("own").alias("own"), F.max("item").alias("item")]
+    parts = side(mine, True).unionByName(side(items, False)).groupBy("key").agg(F.first("part").alias("part"), *sides)
+    prints_ = materialised(printed(parts, "part", n))
+    sets = materialised(prints_.groupBy("digest").agg(F.first("gs").alias("gs"), F.first("bands").alias("bands"), *sides))
+    found = materialised(similar_pairs(sets.where("own"), sets.where("item"), least))
+    codes = materialised(found.select("digest").distinct().select("digest", F.monotonically_increasing_id().alias("code")))
+    own = prints_.where("own").join(codes, "digest").select("key", "code")
+    given = materialised(mine.select("doc_id", "key").join(own, "key").select("doc_id", "code").distinct())
+    near = prints_.where("item").select("key", F.col("digest").alias("right_digest")).join(found, "right_digest").join(codes, "digest").select("key", "code", "jaccard")
+    asked = items.select("item_id", "key").join(near, "key").groupBy("code", "item_id").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
+    return best_pairs(given, materialised(asked))

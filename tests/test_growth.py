@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -151,3 +152,77 @@ def test_shards_are_read_once(spark: SparkSession) -> None:
     assert not any("documents.parquet" in name for name in found.inputFiles())
     want = Corpus(spark, "/root/testdata/sf0.001").manifests().select(found.columns)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_sieve_loses_none(spark: SparkSession) -> None:
+    """Every text with a Jaccard of 0.8 or more with a known one passes, a Jaccard of just 0.8 and texts of repeats too; unknown texts don't."""
+    rng = random.Random(5)
+    prose = lambda n: [f"w{rng.randrange(3000)}é" for _ in range(n)]
+    shingles = lambda t: {tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))} if t and t.split() else set()
+    known = [" ".join(prose(n)) for n in (1, 2, 4, 5, 6, 8, 9, 30, 200) for _ in range(6)] + ["ha " * 40, "ab " * 9 + "c d e f g", "x" * 5000, "", " 　"]
+    near = []
+    for t in known:
+        w = t.split()
+        near += [t, " " + "\t ".join(w) + " ", " ".join([*w, *w[-1:]]), t + " a b a b a b a b a b"]
+        for k in range(1, 8):
+            near.append(" ".join([*w[: len(w) - k], *["new"] * k]))
+            near.append(" ".join([*w, *[f"more{j}" for j in range(k)]]))
+    far = [" ".join(prose(n)) for n in (1, 3, 5, 50, 400) for _ in range(20)]
+    items = spark.createDataFrame([(t,) for t in [*known, None]], "t string").repartition(3)
+    field = minhash.sieve(items, "t")
+    kept = minhash.sieved(pa.array([*near, *far, None, ""]), field).tolist()
+    sets = [shingles(t) for t in known]
+    alike = lambda t: any(s and x and len(s & x) / len(s | x) >= 0.8 for s in [shingles(t)] for x in sets)
+    assert all(k for t, k in zip(near, kept, strict=False) if alike(t)) and sum(map(alike, near)) > 250
+    assert sum(kept[len(near) :]) <= 5 and not any(kept[-2:])
+    assert sum(kept[: len(near)]) < len(near) - 50
+    full = np.full(1 << 17, 255, np.uint8)  # a field that is full lets all pass
+    assert minhash.sieved(pa.array([*far, None]), full).tolist() == [True] * len(far) + [False]
+    assert minhash.sieve(items.where("false"), "t").any() == 0 and len(minhash.sieved(pa.array([], pa.string()), field)) == 0
+
+
+@pytest.mark.parametrize(("cell", "held", "step"), [(16_000_000, 1_000_000, 1 << 18), (50, 7, 5)])
+def test_best_pairs(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, cell: int, held: int, step: int) -> None:
+    """The largest Jaccard of the codes that two sides share: many cells, documents that go on over batches, null ids."""
+    rng = random.Random(7)
+    given = sorted({(rng.choice([None, 0, -5, *range(60)]), rng.choice([0, 0, *range(30)])) for _ in range(400)}, key=repr)
+    asked = {(rng.choice([0, 1, *range(5, 35)]), rng.choice([None, 0, -7, *range(40)])): rng.randrange(800, 1000) / 1000 for _ in range(300)}
+    want: dict[tuple, float] = {}
+    for d, c in given:
+        for (k, i), x in asked.items():
+            if c == k:
+                want[d, i] = max(x, want.get((d, i), 0))
+    for name, value in (("CELL", cell), ("HELD", held), ("STEP", step)):
+        monkeypatch.setattr(minhash, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        one = spark.createDataFrame(given, "doc_id long, code long")
+        two = spark.createDataFrame([(*k, x) for k, x in asked.items()], "code long, item_id long, jaccard double")
+        got = [(r["doc_id"], r["item_id"], r["jaccard"]) for r in minhash.best_pairs(one, two).collect()]
+        assert len(got) == len(want) and {(d, i): x for d, i, x in got} == want
+        assert minhash.best_pairs(one.where("false"), two).count() == minhash.best_pairs(one, two.where("false")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_paragraphs_move_less_than_pairs(spark: SparkSession) -> None:
+    """A line in 1,200 documents and 300 items gives 360,000 pairs: neither they nor lines that no item has are shuffled."""
+    line = "this one line stands in very many documents and in very many items"
+    own = lambda k: f" w{k}a w{k}b".join(f"x{k * j}" for j in range(1, 30))
+    docs = spark.createDataFrame([(k, f"{own(k)}\n{line}\n" + "\n".join(own(10_000 * j + k) for j in range(1, 9))) for k in range(1, 1201)], "doc_id long, text string").repartition(4)
+    items = spark.createDataFrame([(k, f"{line}\n{own(-k)}") for k in range(1, 301)], "item_id long, text string").repartition(4)
+
+    def moved() -> int:
+        sc = spark.sparkContext
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        records = {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+        new = sum(n for k, n in records.items() if k not in seen)
+        seen.update(records)
+        return new
+
+    seen: set[int] = set()
+    moved()
+    out = minhash.near_paragraphs(docs, items)
+    assert out.agg(F.count("*"), F.min("jaccard")).first() == (360_000, 1.0)
+    assert 0 < moved() < 60_000
