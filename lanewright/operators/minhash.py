@@ -378,7 +378,7 @@ def best_pairs(given: DataFrame, asked: DataFrame) -> DataFrame:
     count = lambda df, name: df.groupBy("code").agg(F.count("*").alias(name))
     g, a, total = (x or 1 for x in count(given, "g").join(count(asked, "a"), "code").agg(F.sum("g"), F.sum("a"), F.sum(F.col("g") * F.col("a"))).first())
     cells = max(int(given.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // CELL))
-    columns = max(1, -(-a // HELD), round(math.sqrt(cells * a / g)))
+    columns = max(1, -(-a // HELD), min(cells, round(math.sqrt(cells * a / g))))
     lines = -(-cells // columns)
     place = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
